@@ -1,64 +1,47 @@
-"""Array helpers that keep per-document work inside the row, without a shuffle."""
+"""Array expressions that keep per-document work inside the row, without a shuffle.
 
-from __future__ import annotations
+They are composed as SQL text: a nested expression then costs the driver one call
+to parse, where the same built lambda by lambda costs hundreds.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+NO_LONGS = "cast(array() AS array<bigint>)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``.
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once.
 
-    A column used inside a lambda is otherwise evaluated for every element.
+    An expression used inside a lambda is otherwise evaluated for every element.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _prefix(values: Column, start: Column) -> Column:
-    zero = F.struct(F.array().cast("array<bigint>").alias("out"), start.alias("total"))
-    return F.aggregate(
-        values,
-        zero,
-        lambda acc, x: F.struct(
-            F.concat(acc["out"], F.array(acc["total"])).alias("out"),
-            (acc["total"] + x).alias("total"),
-        ),
-        lambda acc: acc["out"],
-    )
+def _prefix(values: str, start: str) -> str:
+    return f"""aggregate({values}, struct({NO_LONGS} AS out, {start} AS total),
+        (acc, x) -> struct(concat(acc.out, array(acc.total)) AS out, acc.total + x AS total),
+        acc -> acc.out)"""
 
 
-def running_before(values: Column, block: int = 128) -> Column:
+def running_before(values: str, block: int = 128) -> str:
     """For each element the sum of the elements before it.
 
     Works in blocks, as a fold that appends to one long array copies that array
     at every step.
     """
-    longs = values.cast("array<bigint>")
-
-    def blocks_of(xs: Column) -> Column:
-        last = F.greatest(F.floor((F.size(xs) - 1) / block), F.lit(0)).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * block + 1, block))
+    blocks = f"""transform(sequence(0, greatest((size(longs) - 1) div {block}, 0)),
+        b -> slice(longs, cast(b * {block} + 1 AS int), {block}))"""
+    sums = "transform(blocks, b -> aggregate(b, 0L, (a, x) -> a + x))"
+    joined = f"""flatten(zip_with(blocks, {_prefix(sums, '0L')},
+        (part, base) -> {_prefix('part', 'base')}))"""
+    return let(f"cast({values} AS array<bigint>)", "longs", let(blocks, "blocks", joined))
 
-    def combine(blocks: Column) -> Column:
-        sums = F.transform(
-            blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x)
-        )
-        return F.flatten(F.zip_with(blocks, _prefix(sums, F.lit(0).cast("bigint")), _prefix))
 
-    return let(longs, lambda xs: let(blocks_of(xs), combine))
+def run_starts(values: str, same: str) -> str:
+    """Zero-based positions at which a run of equal neighbours begins.
 
-
-def run_starts(sorted_values: Column, same: Callable[[Column, Column], Column]) -> Column:
-    """Zero-based positions at which a run of equal neighbours begins."""
-    return let(
-        sorted_values,
-        lambda xs: F.filter(
-            F.transform(
-                xs,
-                lambda x, i: F.when((i == 0) | ~same(x, F.get(xs, i - 1)), i),
-            ),
-            lambda i: i.isNotNull(),
-        ),
-    )
+    ``values`` names an array; ``same`` compares the elements ``a`` and ``b``.
+    """
+    differs = f"NOT {let('x', 'a', let(f'get({values}, i - 1)', 'b', same))}"
+    return f"""filter(transform({values}, (x, i) -> CASE WHEN i = 0 OR {differs} THEN i END),
+        i -> i IS NOT NULL)"""

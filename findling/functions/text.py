@@ -5,7 +5,6 @@ from __future__ import annotations
 import glob
 import os
 import zipfile
-from collections.abc import Callable
 from functools import lru_cache
 
 import pyspark
@@ -33,33 +32,52 @@ def stop_words(lang: str) -> tuple[str, ...]:
     return tuple(sorted({w.strip().lower() for w in words if w.strip()}))
 
 
+# The same as SQL text, for use inside composed array expressions.
+WHITESPACE_TOKENS = r"array_remove(split({0}, '\\s+'), '')"
+
+
 def whitespace_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def word_tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, stop words included."""
-    return F.filter(F.split(F.lower(text), NON_WORD), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), NON_WORD), "")
+
+
+@lru_cache(maxsize=None)
+def _word_list(lang: str) -> str:
+    """The stop words that a token can equal, as a SQL list.
+
+    One parsed expression, as building the list of literals word by word would
+    take the driver longer than many a query runs.
+    """
+    return ", ".join(f"'{w}'" for w in stop_words(lang) if w.isalnum())
+
 
+def is_stop_word(term: str, lang: str) -> Column:
+    """Whether the column ``term`` is a stop word; compiles, unlike a test inside a lambda."""
+    found = [f"({lang} = '{code}' AND {term} IN ({_word_list(code)}))" for code in LANGUAGES]
+    return F.expr(f"coalesce({' OR '.join(found)}, false)")
 
-def _by_language(items: Column, lang: Column, term: Callable[[Column], Column]) -> Column:
-    def kept(code: str) -> Column:
-        return F.filter(items, lambda x: ~term(x).isin(*stop_words(code)))
 
-    chosen = items
-    for code in LANGUAGES:
-        chosen = F.when(lang == code, kept(code)).otherwise(chosen)
-    return chosen
+def _without_stop_words(items: str, term: str, lang: str) -> Column:
+    kept = [
+        f"WHEN '{code}' THEN filter({items}, x -> {term} NOT IN ({_word_list(code)}))"
+        for code in LANGUAGES
+    ]
+    return F.expr(f"CASE {lang} {' '.join(kept)} ELSE {items} END")
 
 
-def drop_stop_words(tokens: Column, lang: Column) -> Column:
-    return _by_language(tokens, lang, lambda t: t)
+def drop_stop_words(tokens: str, lang: str) -> Column:
+    """The array column ``tokens`` without the stop words of ``lang``; for short texts."""
+    return _without_stop_words(tokens, "x", lang)
 
 
-def placed_tokens(tokens: Column, lang: Column) -> Column:
-    """``(pos, term)`` structs; positions are counted before stop words are dropped."""
-    placed = F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
-    return _by_language(placed, lang, lambda p: p["term"])
+def placed_tokens(tokens: str, lang: str) -> Column:
+    """The same as ``(term, pos)`` structs; positions are counted before words are dropped."""
+    placed = f"transform({tokens}, (t, i) -> struct(t AS term, i AS pos))"
+    return _without_stop_words(placed, "x.term", lang)
 
 
 def bigrams(tokens: Column) -> Column:
@@ -79,7 +97,7 @@ def coverage(wanted: Column, have: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.array_remove(F.transform(F.split(text, SENTENCE_END), F.trim), "")
 
 
 def steady(value: Column) -> Column:

@@ -41,8 +41,9 @@ def extractive_answer(hits: DataFrame, queries: DataFrame) -> DataFrame:
 
     A deterministic stand-in for a generated answer.
     """
-    wanted = F.array_distinct(drop_stop_words(word_tokens(F.col("text")), F.col("lang")))
-    asked = queries.select("query_id", wanted.alias("wanted"))
+    asked = queries.select(
+        "query_id", "lang", word_tokens(F.col("text")).alias("words")
+    ).select("query_id", F.array_distinct(drop_stop_words("words", "lang")).alias("wanted"))
     order = W.partitionBy("query_id", "chunk_id").orderBy(F.desc("score"), "pos")
     best = (
         cite(hits)

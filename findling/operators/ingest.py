@@ -16,12 +16,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from findling.functions.arrays import let, run_starts, running_before
-from findling.functions.text import whitespace_tokens, word_tokens
+from findling.functions.text import WHITESPACE_TOKENS, word_tokens
 
 CHUNK_SIZE, CHUNK_OVERLAP, LINES_PER_PAGE, PIECE = 500, 0.10, 10, 100
 DEFAULT_DIM = 384
 RETENTION_DAYS, UPLOAD_LIMIT = 7, 3
 
+LINES = r"split(text, '\\n')"
+
 # The entities decoded in page text.
 ENTITIES = (
     ("&lt;", "<"),
@@ -73,16 +75,10 @@ def upload_quota(docs: DataFrame, limit: int = UPLOAD_LIMIT) -> DataFrame:
 
 def extract_pages(docs: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
     """One row per line with its page and its character range in the document."""
-    lines = F.split("text", "\n")
     keep = [c for c in ("tenant_id", "doc_id") if c in docs.columns]
-    placed = let(
-        lines,
-        lambda ls: F.arrays_zip(
-            running_before(F.transform(ls, lambda x: F.length(x) + 1)).alias("start"),
-            ls.alias("text"),
-        ),
-    )
-    rows = docs.select(*keep, F.posexplode(placed).alias("line_no", "line"))
+    starts = running_before("transform(ls, x -> length(x) + 1)")
+    placed = let(LINES, "ls", f"zip_with({starts}, ls, (s, t) -> struct(s AS start, t AS text))")
+    rows = docs.select(*keep, F.posexplode(F.expr(placed)).alias("line_no", "line"))
     start, text = F.col("line")["start"], F.col("line")["text"]
     return rows.select(
         *keep,
@@ -116,47 +112,37 @@ def extract_html_text(pages: DataFrame) -> DataFrame:
     ).filter(F.col("text") != "")
 
 
-def _chunk_rows(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    return spans.select(
+def _chunk_rows(docs: DataFrame, chunks: str, lines_per_page: int) -> DataFrame:
+    """One row per element of ``chunks``, an array over ``lines`` and ``doc``.
+
+    ``doc`` holds the tokens of the document and beside them the page of each.
+    """
+    pages = f"transform(lines, (l, i) -> array_repeat(cast(i div {lines_per_page} + 1 AS int), size(l)))"
+    doc = f"struct(flatten(lines) AS toks, flatten({pages}) AS pages)"
+    lines = f"transform({LINES}, x -> {WHITESPACE_TOKENS.format('x')})"
+    cut = F.expr(let(lines, "lines", let(doc, "doc", chunks)))
+    return docs.select("tenant_id", "doc_id", "lang", F.posexplode(cut).alias("i", "c")).select(
         "tenant_id",
         "doc_id",
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("i").cast("string")).alias(
             "chunk_id"
         ),
         "lang",
-        F.col("c")["page_no"].cast("int").alias("page_no"),
-        F.col("c")["last_page"].cast("int").alias("last_page"),
-        F.col("c")["start_tok"].cast("int").alias("start_tok"),
+        F.col("c")["page_no"].alias("page_no"),
+        F.col("c")["last_page"].alias("last_page"),
+        F.col("c")["start_tok"].alias("start_tok"),
         F.size(F.col("c")["toks"]).alias("n_tokens"),
         F.array_join(F.col("c")["toks"], " ").alias("text"),
     )
 
 
-def _paged_tokens(lines_per_page: int) -> Column:
-    """All tokens of the document as ``(term, page)``."""
-    return F.flatten(
-        F.transform(
-            F.split("text", "\n"),
-            lambda line, i: F.transform(
-                whitespace_tokens(line),
-                lambda t: F.struct(
-                    t.alias("t"),
-                    (F.floor(i / lines_per_page) + 1).cast("int").alias("page"),
-                ),
-            ),
-        )
-    )
-
-
-def _cut(toks: Column, first: Column, start: Column, length: Column) -> Column:
+def _cut(first: str, start: str, length: str) -> str:
     """A chunk of ``length`` tokens from ``start``; its pages count from ``first``."""
-    part = F.slice(toks, start + 1, length)
-    return F.struct(
-        F.get(toks, first)["page"].alias("page_no"),
-        F.element_at(part, -1)["page"].alias("last_page"),
-        start.alias("start_tok"),
-        F.transform(part, lambda x: x["t"]).alias("toks"),
-    )
+    return f"""struct(
+        get(doc.pages, {first}) AS page_no,
+        get(doc.pages, least({start} + {length}, size(doc.toks)) - 1) AS last_page,
+        {start} AS start_tok,
+        slice(doc.toks, {start} + 1, {length}) AS toks)"""
 
 
 def chunk_fixed(
@@ -167,22 +153,9 @@ def chunk_fixed(
 ) -> DataFrame:
     """Windows of ``size`` tokens; no window holds only tokens of the one before."""
     shared = int(size * overlap)
-    stride = size - shared
-
-    def windows(toks: Column) -> Column:
-        last = F.greatest(F.size(toks) - shared - 1, F.lit(0))
-        return F.when(
-            F.size(toks) > 0,
-            F.transform(
-                F.sequence(F.lit(0), last, F.lit(stride)),
-                lambda s: _cut(toks, s, s, F.lit(size)),
-            ),
-        )
-
-    cut = let(_paged_tokens(lines_per_page), windows)
-    return _chunk_rows(
-        docs, docs.select("tenant_id", "doc_id", "lang", F.posexplode(cut).alias("i", "c"))
-    )
+    starts = f"sequence(0, greatest(size(doc.toks) - {shared} - 1, 0), {size - shared})"
+    windows = f"transform({starts}, s -> {_cut('s', 's', str(size))})"
+    return _chunk_rows(docs, f"if(size(doc.toks) > 0, {windows}, NULL)", lines_per_page)
 
 
 def chunk_structured(
@@ -201,42 +174,26 @@ def chunk_structured(
     """
     shared = int(size * overlap)
     stride = size - shared
-
-    def pieces(n: Column) -> Column:
-        count = F.ceil(n / piece).cast("int")
-        return F.when(
-            n > 0,
-            F.transform(
-                F.sequence(F.lit(0), count - 1), lambda p: F.least(F.lit(piece), n - p * piece)
-            ),
-        ).otherwise(F.array().cast("array<int>"))
-
-    sizes = F.flatten(
-        F.transform(
-            F.split("text", "\n"), lambda line: pieces(F.size(whitespace_tokens(line)))
-        )
+    pieces = f"""transform(filter(lines, l -> size(l) > 0), l -> transform(
+        sequence(0, (size(l) - 1) div {piece}), p -> least({piece}, size(l) - cast(p AS int) * {piece})))"""
+    firsts = run_starts("before", f"a div {stride} = b div {stride}")
+    marks = let(
+        running_before(f"flatten({pieces})"),
+        "before",
+        f"transform({firsts}, i -> cast(get(before, i) AS int))",
     )
+    lead = let(
+        f"greatest(first - {shared}, 0)",
+        "start",
+        _cut("first", "start", "(coalesce(get(marks, i + 1), size(doc.toks)) - start)"),
+    )
+    chunks = let(marks, "marks", f"transform(marks, (first, i) -> {lead})")
+    return _chunk_rows(docs, f"if(size(doc.toks) > 0, {chunks}, NULL)", lines_per_page)
 
-    def starts(before: Column) -> Column:
-        same = lambda a, b: F.floor(a / stride) == F.floor(b / stride)
-        return F.transform(run_starts(before, same), lambda i: F.get(before, i).cast("int"))
-
-    marks = let(running_before(sizes), starts)
-
-    def chunks(toks: Column, at: Column) -> Column:
-        def one(first: Column, i: Column) -> Column:
-            start = F.greatest(first - shared, F.lit(0))
-            end = F.coalesce(F.get(at, i + 1), F.size(toks))
-            return _cut(toks, first, start, end - start)
-
-        return F.when(F.size(toks) > 0, F.transform(at, one))
 
-    cut = let(
-        _paged_tokens(lines_per_page), lambda toks: let(marks, lambda at: chunks(toks, at))
-    )
-    return _chunk_rows(
-        docs, docs.select("tenant_id", "doc_id", "lang", F.posexplode(cut).alias("i", "c"))
-    )
+def document_of(chunk_id: Column) -> Column:
+    """Chunk ids start with the id of their document."""
+    return F.substring_index(chunk_id, ":", 1).cast("bigint")
 
 
 def feature_hash(tokens: pa.ListArray, dim: int) -> np.ndarray:

@@ -2,90 +2,130 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from findling.functions.arrays import let, run_starts, running_before
-from findling.functions.text import drop_stop_words, placed_tokens, steady, word_tokens
+from findling.functions.text import is_stop_word, placed_tokens, steady, word_tokens
 
 K1, B = 1.2, 0.75
 
 
 def tokenize(df: DataFrame, key: str, text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per word that is no stop word of its language."""
-    placed = placed_tokens(word_tokens(F.col(text)), F.col(lang))
-    return df.select(key, F.explode(placed).alias("p")).select(
-        key, F.col("p")["pos"].alias("pos"), F.col("p")["term"].alias("term")
-    )
+    """One row per word that is no stop word of its language.
+
+    Positions are counted before stop words are dropped.
+    """
+    rows = df.select(key, lang, F.posexplode(word_tokens(F.col(text))).alias("pos", "term"))
+    return rows.filter(~is_stop_word("term", lang)).select(key, "pos", "term")
 
 
-def build_postings(chunks: DataFrame) -> DataFrame:
+def build_postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """``(tenant_id, term, chunk_id, doc_id, chunk_terms, tf, positions)``.
 
-    A chunk is one row, so its words are grouped by sorting inside that row and
-    nothing is shuffled to build the postings.
+    ``chunk_terms`` is the length of the chunk in words, stop words included.
+    Without ``only`` this is the whole index: a chunk is one row, so its words are
+    grouped by sorting inside that row and nothing is shuffled. With ``only``, a
+    table of ``(tenant_id, term)``, all other words are dropped as they are read
+    and just the rest is grouped; that serves a search over chunks not indexed.
     """
-
-    def grouped(places: Column) -> Column:
-        ordered = F.sort_array(
-            F.transform(
-                places, lambda p: F.struct(p["term"].alias("term"), p["pos"].alias("pos"))
+    ids = ("tenant_id", "chunk_id", "doc_id", "lang")
+    split = chunks.select(*ids, word_tokens(F.col("text")).alias("words"))
+    is_term = ~is_stop_word("term", "lang")
+    if only is not None:
+        return (
+            split.select(
+                *ids,
+                F.size("words").alias("chunk_terms"),
+                # A plain explode would have Spark test the array for emptiness first,
+                # and split every text twice for it. The join drops the null row.
+                F.posexplode_outer("words").alias("pos", "term"),
             )
-        )
-
-        def runs(xs: Column) -> Column:
-            return let(
-                run_starts(xs, lambda a, b: a["term"] == b["term"]),
-                lambda at: F.transform(
-                    at,
-                    lambda first, i: F.struct(
-                        F.get(xs, first)["term"].alias("term"),
-                        F.transform(
-                            F.slice(
-                                xs,
-                                first + 1,
-                                F.coalesce(F.get(at, i + 1), F.size(xs)) - first,
-                            ),
-                            lambda x: x["pos"],
-                        ).alias("positions"),
-                    ),
-                ),
+            .join(only.select("tenant_id", "term"), ["tenant_id", "term"], "left_semi")
+            .filter(is_term)
+            .groupBy("tenant_id", "term", "chunk_id", "doc_id", "chunk_terms")
+            .agg(
+                F.count(F.lit(1)).cast("int").alias("tf"),
+                F.sort_array(F.collect_list("pos")).alias("positions"),
             )
+        )
 
-        return F.struct(F.size(places).alias("n"), let(ordered, runs).alias("terms"))
-
-    words = let(placed_tokens(word_tokens(F.col("text")), F.col("lang")), grouped)
-    rows = chunks.select("tenant_id", "chunk_id", "doc_id", words.alias("w")).select(
-        "tenant_id",
-        "chunk_id",
-        "doc_id",
-        F.col("w")["n"].alias("chunk_terms"),
-        F.explode(F.col("w")["terms"]).alias("t"),
+    run = "slice(xs, first + 1, coalesce(get(firsts, i + 1), size(xs)) - first)"
+    runs = let(
+        run_starts("xs", "a.term = b.term"),
+        "firsts",
+        f"transform(firsts, (first, i) -> struct(get(xs, first).term AS term, {run} AS run))",
     )
-    return rows.select(
-        "tenant_id",
-        F.col("t")["term"].alias("term"),
-        "chunk_id",
-        "doc_id",
-        "chunk_terms",
-        F.size(F.col("t")["positions"]).alias("tf"),
-        F.col("t")["positions"].alias("positions"),
+    placed = "sort_array(transform(words, (t, i) -> struct(t AS term, i AS pos)))"
+    rows = split.select(
+        *ids,
+        F.size("words").alias("chunk_terms"),
+        F.explode(F.expr(let(placed, "xs", runs))).alias("t"),
+    )
+    return (
+        rows.withColumn("term", F.col("t")["term"])
+        .filter(is_term)
+        .select(
+            "tenant_id",
+            "term",
+            "chunk_id",
+            "doc_id",
+            "chunk_terms",
+            F.size(F.col("t")["run"]).alias("tf"),
+            F.col("t")["run"]["pos"].alias("positions"),
+        )
     )
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """Chunks and mean chunk length per tenant; chunks of stop words alone count as well."""
-    n_terms = F.size(drop_stop_words(word_tokens(F.col("text")), F.col("lang")))
+    """Number of chunks and their total length in words, per tenant."""
     return chunks.groupBy("tenant_id").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.sum(n_terms).alias("n_terms")
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.sum(F.size(word_tokens(F.col("text")))).alias("n_terms"),
     )
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
     """Document frequency and total occurrences of every term of a tenant."""
     return postings.groupBy("tenant_id", "term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
+        F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("cf")
+    )
+
+
+def search_stats(postings: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(tenant_id, term, df, cf, n_chunks, n_terms)`` of the whole index."""
+    return term_stats(postings).join(corpus_stats(chunks), "tenant_id")
+
+
+def asked_stats(chunks: DataFrame, only: DataFrame) -> DataFrame:
+    """The same without ``cf`` for the terms ``only`` names, in one pass over the chunks.
+
+    Every chunk also counts under the empty term, which yields the totals of its
+    tenant beside the counts of the terms.
+    """
+    empty = F.lit("")
+    asked = only.select("tenant_id", "term")
+    keyed = chunks.select("tenant_id", "lang", word_tokens(F.col("text")).alias("words")).select(
+        "tenant_id",
+        "lang",
+        F.size("words").alias("n"),
+        F.explode(F.concat(F.array(empty), F.array_distinct("words"))).alias("term"),
+    )
+    counts = (
+        keyed.join(
+            asked.unionByName(asked.withColumn("term", empty)), ["tenant_id", "term"], "left_semi"
+        )
+        .filter(~is_stop_word("term", "lang"))
+        .groupBy("tenant_id", "term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("n"))
+    )
+    tenant, total = W.partitionBy("tenant_id"), F.col("term") == ""
+    return (
+        counts.withColumn("n_chunks", F.max(F.when(total, F.col("df"))).over(tenant))
+        .withColumn("n_terms", F.max(F.when(total, F.col("n"))).over(tenant))
+        .filter(~total)
+        .drop("n")
     )
 
 
@@ -97,51 +137,44 @@ def parse_websearch(queries: DataFrame) -> DataFrame:
     A word that splits into several terms is asked for as a phrase. Stop words
     vanish but keep their place between the words of a phrase.
     """
-    raw = F.filter(
-        F.regexp_extract_all("text", F.lit(r'(-?"[^"]*"?|[^\s"]+)'), F.lit(1)),
-        lambda x: x != "",
+    # "or" joins only when something stands on both sides of it; what it joins
+    # does not open a group of its own.
+    joins = "transform(raw, (x, i) -> lower(x) = 'or' AND i > 0 AND i < size(raw) - 1)"
+    opens = "transform(joins, (j, i) -> if(j OR (i > 0 AND get(joins, i - 1)), 0, 1))"
+    groups = running_before("opens")
+    numbered = let(
+        groups,
+        "before",
+        """transform(raw, (x, i) -> struct(cast(get(before, i) + get(opens, i) AS int) AS grp,
+             i + 1 AS alt, get(joins, i) AS joins, x AS item))""",
     )
-
-    def place(items: Column) -> Column:
-        # "or" joins only when something stands on both sides of it.
-        joins = F.transform(
-            items, lambda x, i: (F.lower(x) == "or") & (i > 0) & (i < F.size(items) - 1)
-        )
-
-        def rows(joining: Column) -> Column:
-            opens = F.transform(
-                joining,
-                lambda j, i: F.when(
-                    j | ((i > 0) & F.coalesce(F.get(joining, i - 1), F.lit(False))), 0
-                ).otherwise(1),
-            )
-            return let(
-                running_before(opens),
-                lambda before: F.transform(
-                    items,
-                    lambda x, i: F.struct(
-                        (F.get(before, i) + F.get(opens, i)).cast("int").alias("grp"),
-                        (i + 1).alias("alt"),
-                        F.get(joining, i).alias("joins"),
-                        x.alias("item"),
-                    ),
-                ),
-            )
-
-        return let(joins, rows)
-
     items = queries.select(
-        "query_id", "tenant_id", "lang", F.explode(let(raw, place)).alias("i")
-    ).filter(~F.col("i")["joins"])
-    placed = placed_tokens(word_tokens(F.col("i")["item"]), F.col("lang"))
-    parsed = items.select(
         "query_id",
         "tenant_id",
-        F.col("i")["grp"].alias("grp"),
-        F.col("i")["alt"].alias("alt"),
-        F.col("i")["item"].startswith("-").alias("negated"),
-        placed.alias("placed"),
-    ).filter(F.size("placed") > 0)
+        "lang",
+        F.array_remove(
+            F.regexp_extract_all("text", F.lit(r'(-?"[^"]*"?|[^\s"]+)'), F.lit(1)), ""
+        ).alias("raw"),
+    )
+    items = (
+        items.withColumn("joins", F.expr(joins))
+        .withColumn("opens", F.expr(opens))
+        .select("query_id", "tenant_id", "lang", F.explode(F.expr(numbered)).alias("i"))
+        .filter(~F.col("i")["joins"])
+    )
+    parsed = (
+        items.select(
+            "query_id",
+            "tenant_id",
+            "lang",
+            F.col("i")["grp"].alias("grp"),
+            F.col("i")["alt"].alias("alt"),
+            F.col("i")["item"].startswith("-").alias("negated"),
+            word_tokens(F.col("i")["item"]).alias("words"),
+        )
+        .withColumn("placed", placed_tokens("words", "lang"))
+        .filter(F.size("placed") > 0)
+    )
     base = F.get("placed", F.lit(0))["pos"]
     return parsed.select(
         "query_id",
@@ -157,6 +190,14 @@ def parse_websearch(queries: DataFrame) -> DataFrame:
     )
 
 
+def asked_terms(parsed: DataFrame) -> DataFrame:
+    """``(tenant_id, term)`` of everything the queries name, exclusions included.
+
+    Repeats stay: the table only serves semi-joins.
+    """
+    return parsed.select("tenant_id", F.explode("terms").alias("term"))
+
+
 def query_terms(parsed: DataFrame) -> DataFrame:
     """Distinct required terms of each query."""
     return (
@@ -238,40 +279,36 @@ def lexical_match(parsed: DataFrame, postings: DataFrame) -> DataFrame:
 def bm25_topk(
     parsed: DataFrame,
     postings: DataFrame,
-    terms: DataFrame,
-    corpus: DataFrame,
+    stats: DataFrame,
     k: int,
     match: str = "all",
 ) -> DataFrame:
     """The best ``k`` chunks of each query by BM25, ties by chunk id.
 
     ``match='all'`` ranks what ``lexical_match`` accepts; ``'any'`` ranks every
-    chunk holding one required term. The query side is joined to its statistics
-    first and stays small, so the postings are read once and joined once.
+    chunk holding one required term. Postings of other terms are dropped first,
+    by a semi-join against the short list of asked terms.
     """
+    wanted = query_terms(parsed)
+    named = asked_terms(parsed)
+    keys = ["tenant_id", "term"]
     idf = F.log(
         F.lit(1.0) + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     )
-    weighted = (
-        query_terms(parsed)
-        .join(terms.select("tenant_id", "term", "df"), ["tenant_id", "term"])
-        .join(corpus, "tenant_id")
-        .select(
-            "query_id",
-            "tenant_id",
-            "term",
-            idf.alias("idf"),
-            (F.col("n_terms") / F.col("n_chunks")).alias("mean_terms"),
-        )
+    weights = stats.join(named, keys, "left_semi").select(
+        *keys, idf.alias("idf"), (F.col("n_terms") / F.col("n_chunks")).alias("mean_terms")
     )
     tf = F.col("tf")
     scale = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("chunk_terms") / F.col("mean_terms"))
     part = F.col("idf") * tf * (K1 + 1) / (tf + scale)
     scored = (
-        postings.select("tenant_id", "term", "chunk_id", "doc_id", "chunk_terms", "tf")
-        .join(weighted, ["tenant_id", "term"])
+        postings.select(*keys, "chunk_id", "doc_id", "chunk_terms", "tf")
+        .join(named, keys, "left_semi")
+        .join(weights, keys)
+        .select(*keys, "chunk_id", "doc_id", part.alias("part"))
+        .join(wanted, keys)
         .groupBy("query_id", "chunk_id", "doc_id")
-        .agg(steady(F.sum(part)).alias("score"))
+        .agg(steady(F.sum("part")).alias("score"))
     )
     if match == "all":
         scored = scored.join(lexical_match(parsed, postings), ["query_id", "chunk_id", "doc_id"])

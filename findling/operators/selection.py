@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from findling.session import written
+
 FAN = 32
 SLICES = FAN * FAN
 ACCURACY = 16 * SLICES
@@ -20,36 +22,41 @@ def exact_percentiles(
     task. Here a mergeable sketch cuts every group into slices of about equal
     weight, exact counts tell which slice holds each wanted rank, and only those
     slices are sorted, as counted values. The sketch steers; it never decides.
+    Three scans of two columns; all that is shuffled is counts.
     """
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull()
     )
     cuts = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    edges = data.groupBy(*keys).agg(
-        F.percentile_approx("_v", cuts, F.lit(ACCURACY)).alias("_edges"),
-        F.count(F.lit(1)).alias("_n"),
-    ).withColumn(
-        "_coarse",
-        F.transform(
-            F.sequence(F.lit(FAN), F.lit(SLICES - FAN), F.lit(FAN)),
-            lambda i: F.get("_edges", i - 1),
+    edges = written(
+        data.groupBy(*keys)
+        .agg(
+            F.percentile_approx("_v", cuts, F.lit(ACCURACY)).alias("_edges"),
+            F.count(F.lit(1)).alias("_n"),
+        )
+        .withColumn(
+            "_coarse",
+            F.transform(
+                F.sequence(F.lit(FAN), F.lit(SLICES - FAN), F.lit(FAN)),
+                lambda i: F.get("_edges", i - 1),
+            ),
         ),
+        "edges",
     )
-    counted = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     below = lambda edge: edge < F.col("_v")
     sliced = (
-        counted.join(edges, keys)
+        data.join(edges, keys)
         .withColumn("_block", F.size(F.filter("_coarse", below)) * FAN)
         .withColumn(
             "_slice",
             F.col("_block")
             + F.size(F.filter(F.slice("_edges", F.col("_block") + 1, F.lit(FAN - 1)), below)),
         )
-        .drop("_edges", "_coarse", "_block")
+        .select(*keys, "_v", "_n", "_slice")
     )
 
     weights = sliced.groupBy(*keys, "_slice").agg(
-        F.sum("_c").alias("_w"), F.first("_n").alias("_n")
+        F.count(F.lit(1)).alias("_w"), F.first("_n").alias("_n")
     )
     upto = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     weights = weights.withColumn("_before", F.coalesce(F.sum("_w").over(upto), F.lit(0)))
@@ -64,21 +71,26 @@ def exact_percentiles(
             for side, at in (("lo", F.floor), ("hi", F.ceil))
         ]
     )
-    wanted = (
+    wanted = written(
         weights.select(*keys, "_slice", "_before", "_w", F.explode(ranks).alias("_r"))
         .filter(
             (F.col("_r")["rank"] >= F.col("_before"))
             & (F.col("_r")["rank"] < F.col("_before") + F.col("_w"))
         )
         .groupBy(*keys, "_slice")
-        .agg(F.first("_before").alias("_before"), F.collect_list("_r").alias("_ranks"))
+        .agg(F.first("_before").alias("_before"), F.collect_list("_r").alias("_ranks")),
+        "ranks",
     )
 
-    inside = W.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    group = [*keys, "_slice"]
+    inside = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     placed = (
-        sliced.select(*keys, "_slice", "_v", "_c", "_n")
-        .join(wanted, [*keys, "_slice"])
-        .withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+        sliced.join(wanted.select(*group), group, "left_semi")
+        .groupBy(*group, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+        .withColumn("_held", F.sum("_c").over(inside))
+        .join(wanted, group)
+        .withColumn("_upto", F.col("_before") + F.col("_held"))
     )
     hits = placed.select(*keys, "_v", "_n", "_upto", "_c", F.explode("_ranks").alias("_r")).filter(
         (F.col("_r")["rank"] < F.col("_upto")) & (F.col("_r")["rank"] >= F.col("_upto") - F.col("_c"))

@@ -16,21 +16,22 @@ class Index:
     chunks: DataFrame
     vectors: DataFrame
     postings: DataFrame
-    terms: DataFrame
-    corpus: DataFrame
+    stats: DataFrame
     dim: int
 
 
-def index_chunks(chunks: DataFrame, dim: int = ingest.DEFAULT_DIM) -> Index:
-    postings = lexical.build_postings(chunks)
-    return Index(
-        chunks=chunks,
-        vectors=ingest.embed_chunks(chunks, dim),
-        postings=postings,
-        terms=lexical.term_stats(postings),
-        corpus=lexical.corpus_stats(chunks),
-        dim=dim,
-    )
+def index_chunks(
+    chunks: DataFrame, dim: int = ingest.DEFAULT_DIM, queries: DataFrame | None = None
+) -> Index:
+    """Everything retrieval needs, for all terms or only for those ``queries`` ask for."""
+    if queries is None:
+        postings = lexical.build_postings(chunks)
+        stats = lexical.search_stats(postings, chunks)
+    else:
+        only = lexical.asked_terms(lexical.parse_websearch(queries))
+        postings = lexical.build_postings(chunks, only)
+        stats = lexical.asked_stats(chunks, only)
+    return Index(chunks, ingest.embed_chunks(chunks, dim), postings, stats, dim)
 
 
 def dense_route(queries: DataFrame, index: Index, k: int) -> DataFrame:
@@ -40,7 +41,7 @@ def dense_route(queries: DataFrame, index: Index, k: int) -> DataFrame:
 
 def lexical_route(queries: DataFrame, index: Index, k: int, match: str = "any") -> DataFrame:
     parsed = lexical.parse_websearch(queries)
-    return lexical.bm25_topk(parsed, index.postings, index.terms, index.corpus, k, match)
+    return lexical.bm25_topk(parsed, index.postings, index.stats, k, match)
 
 
 def hybrid_search(queries: DataFrame, index: Index, k: int = 5, pool: int = 20) -> DataFrame:

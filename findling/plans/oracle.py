@@ -64,30 +64,28 @@ PARTS: dict[str, Callable[[], str]] = {
               FROM doc_toks WHERE len(toks) > 0)""",
     "chunks": lambda: _chunk_select("spans"),
     "pieces": lambda: """
-        SELECT doc_id, first_tok + p AS at, (first_tok + p) // 450 AS i
+        SELECT doc_id, first_tok + p AS tok_at, (first_tok + p) // 450 AS i
         FROM (SELECT *, unnest(range(0, n_tok, 100)) AS p FROM line_marks WHERE n_tok > 0)""",
     "structured_spans": lambda: """
         SELECT doc_id, tenant_id, lang, toks, own, greatest(own - 50, 0) AS start_tok,
                coalesce(lead(own) OVER (PARTITION BY doc_id ORDER BY i), len(toks)) AS end_tok, i
-        FROM (SELECT doc_id, i, min(at) AS own FROM pieces GROUP BY ALL) JOIN doc_toks USING (doc_id)""",
+        FROM (SELECT doc_id, i, min(tok_at) AS own FROM pieces GROUP BY ALL) JOIN doc_toks USING (doc_id)""",
     "structured_chunks": lambda: _chunk_select("structured_spans"),
     "words": lambda: f"""
-        SELECT tenant_id, doc_id, chunk_id, lang, unnest(ws) AS term,
+        SELECT tenant_id, doc_id, chunk_id, lang, len(ws) AS chunk_terms, unnest(ws) AS term,
                generate_subscripts(ws, 1) - 1 AS pos
         FROM (SELECT *, {WORDS.format('text')} AS ws FROM chunks)""",
     "kept": lambda: """
         SELECT w.* FROM words w ANTI JOIN stop s ON w.lang = s.lang AND w.term = s.word""",
     "postings": lambda: """
         SELECT tenant_id, term, chunk_id, doc_id, count(*) AS tf,
-               list(pos ORDER BY pos) AS positions,
-               sum(count(*)) OVER (PARTITION BY chunk_id)::BIGINT AS chunk_terms
-        FROM kept GROUP BY tenant_id, term, chunk_id, doc_id""",
+               list(pos ORDER BY pos) AS positions, chunk_terms
+        FROM kept GROUP BY tenant_id, term, chunk_id, doc_id, chunk_terms""",
     "terms": lambda: """
         SELECT tenant_id, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM postings GROUP BY ALL""",
-    "corpus": lambda: """
-        SELECT c.tenant_id, count(*) AS n_chunks, coalesce(sum(l.n), 0)::BIGINT AS n_terms
-        FROM chunks c LEFT JOIN (SELECT chunk_id, count(*) AS n FROM kept GROUP BY ALL) l USING (chunk_id)
-        GROUP BY ALL""",
+    "corpus": lambda: f"""
+        SELECT tenant_id, count(*) AS n_chunks, sum(len({WORDS.format('text')}))::BIGINT AS n_terms
+        FROM chunks GROUP BY ALL""",
     "asked": lambda: f"""
         SELECT item_id AS query_id, concat('src', item_id % 20) AS tenant_id, 'en' AS lang,
                array_to_string(({TOKENS.format('text')})[1:8], ' ') AS text
@@ -242,15 +240,27 @@ def _fused(k: int = reg.POOL) -> dict[str, str]:
     }
 
 
+def _wants(asked: str) -> dict[str, str]:
+    """The distinct words of each question that are no stop words."""
+    return {
+        "wants": f"""
+        SELECT query_id, coalesce(wanted, []) AS wanted
+        FROM {asked} LEFT JOIN (
+          SELECT query_id, list(DISTINCT term) AS wanted
+          FROM (SELECT w.* FROM (SELECT query_id, lang, unnest({WORDS.format('text')}) AS term FROM {asked}) w
+                ANTI JOIN stop s ON w.lang = s.lang AND w.term = s.word)
+          GROUP BY query_id) USING (query_id)"""
+    }
+
+
 def _reranked(asked: str, pool: str, k: int) -> dict[str, str]:
     pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: concat({0}[i], ' ', {0}[i + 1])))"
     share = "CASE WHEN len({0}) > 0 THEN len(list_intersect({0}, {1})) / len({0}) ELSE 0.0 END"
     return {
+        **_wants(asked),
         "asked_words": f"""
-        SELECT query_id, ws, {pairs.format('ws')} AS pairs,
-               list_filter(list_distinct(ws), lambda t: NOT list_contains(
-                 (SELECT list(word) FROM stop WHERE lang = 'en'), t)) AS wanted
-        FROM (SELECT query_id, {WORDS.format('text')} AS ws FROM {asked})""",
+        SELECT query_id, ws, {pairs.format('ws')} AS pairs, wanted
+        FROM (SELECT query_id, {WORDS.format('text')} AS ws FROM {asked}) JOIN wants USING (query_id)""",
         "reranked": f"""
         SELECT * FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
@@ -285,9 +295,7 @@ def _answers() -> dict[str, str]:
     share = "CASE WHEN len(wanted) > 0 THEN len(list_intersect(wanted, {0})) / len(wanted) ELSE 0.0 END"
     return {
         **_packed(),
-        "wants": f"""
-        SELECT query_id, list_filter(list_distinct({WORDS.format('text')}), lambda t: NOT list_contains(
-                 (SELECT list(word) FROM stop WHERE lang = 'en'), t)) AS wanted FROM asked""",
+        **_wants("asked"),
         "answers": f"""
         SELECT query_id, string_agg(concat(sentence, ' [', doc_id, ', Page ', page_no, ']'), ' ' ORDER BY rank) AS answer,
                count(*) AS n_cited
@@ -344,10 +352,6 @@ def _sql(final: str, **extra: str) -> str:
     return f"WITH {ctes}\n{final}" if ctes else final
 
 
-def oracle(final: str, **parts) -> Callable[[], str]:
-    return lambda: _sql(final, **{k: v for k, v in parts.items()})
-
-
 def _add(name: str, final: str, parts: Callable[[], dict[str, str]] = dict) -> None:
     ORACLE[name] = lambda: _sql(final, **parts())
 
@@ -590,8 +594,8 @@ _add(
     rf"""SELECT doc_id, md5(compact) AS compact, len({TOKENS.format('text')}) AS tokens_before,
                 len({TOKENS.format('compact')}) AS tokens_after
          FROM (SELECT d.doc_id, d.text, coalesce(c.compact, '') AS compact FROM docs d LEFT JOIN (
-           SELECT doc_id, string_agg(line, chr(10) ORDER BY at) AS compact FROM (
-             SELECT doc_id, line, min(line_no) AS at FROM (
+           SELECT doc_id, string_agg(line, chr(10) ORDER BY first_no) AS compact FROM (
+             SELECT doc_id, line, min(line_no) AS first_no FROM (
                SELECT doc_id, line_no, trim(regexp_replace(line, '[ \t\r\f]+', ' ', 'g')) AS line FROM doc_lines)
              WHERE line <> '' GROUP BY ALL) GROUP BY doc_id) c USING (doc_id))""",
 )

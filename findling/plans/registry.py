@@ -28,7 +28,7 @@ from findling.operators import (
     tenancy,
 )
 from findling.plans import hybrid
-from findling.session import scratch_folder
+from findling.session import scratch_folder, written
 from findling.sources import documents as src
 from findling.sources import index_store
 from findling.streaming import jobs
@@ -80,19 +80,18 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.chunk_fixed(_docs(spark, folder))
 
 
-def _index(spark: SparkSession, folder: str) -> hybrid.Index:
-    return hybrid.index_chunks(_chunks(spark, folder), DIM)
+def _index(spark: SparkSession, folder: str, asked: DataFrame) -> hybrid.Index:
+    return hybrid.index_chunks(_chunks(spark, folder), DIM, asked)
 
 
 def _lexical_hits(spark: SparkSession, folder: str, k: int = TOP) -> DataFrame:
-    index = _index(spark, folder)
-    return hybrid.lexical_route(src.search_queries(spark, folder), index, k)
+    asked = src.search_queries(spark, folder)
+    return hybrid.lexical_route(asked, _index(spark, folder, asked), k)
 
 
 def _hits_with_text(spark: SparkSession, folder: str) -> DataFrame:
-    hits = _lexical_hits(spark, folder).drop("doc_id")
-    chunks = _chunks(spark, folder).select("chunk_id", "doc_id", "page_no", "n_tokens", "text")
-    return chunks.join(hits, "chunk_id")
+    chunks = _chunks(spark, folder).select("chunk_id", "page_no", "n_tokens", "text")
+    return chunks.join(written(_lexical_hits(spark, folder), "hits"), "chunk_id")
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,12 +118,16 @@ def web_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def eval_queries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """One question per passage and tenant that holds it, and its relevance labels."""
-    qrels = metrics.qrels_from_passages(
+    """One question per passage and tenant that holds it, and its relevance labels.
+
+    The labels are written once, as every ranker and its scores refer to them.
+    """
+    labels = metrics.qrels_from_passages(
         src.scan_benchmark(spark, folder), _docs(spark, folder)
     ).withColumn(
         "query_id", F.col("item_id") * 100 + F.substring("tenant_id", 4, 10).cast("bigint")
     )
+    qrels = written(labels, "qrels")
     text = src.search_queries(spark, folder).select(
         F.col("query_id").alias("item_id"), "lang", "text"
     )
@@ -214,8 +217,9 @@ def metadata_filter(spark, folder):
 @query
 def isolation_audit(spark, folder):
     asked = src.search_queries(spark, folder)
-    index = _index(spark, folder)
-    return tenancy.isolation_audit(hybrid.dense_route(asked, index, POOL), index.chunks, asked)
+    index = _index(spark, folder, asked)
+    hits = written(hybrid.dense_route(asked, index, POOL), "hits")
+    return tenancy.isolation_audit(hits, index.chunks, asked)
 
 
 @query
@@ -306,8 +310,7 @@ def build_postings(spark, folder):
 @query
 def term_stats(spark, folder):
     chunks = _chunks(spark, folder)
-    stats = lexical.term_stats(lexical.build_postings(chunks))
-    return stats.join(lexical.corpus_stats(chunks), "tenant_id")
+    return lexical.search_stats(lexical.build_postings(chunks), chunks)
 
 
 @query
@@ -318,7 +321,8 @@ def parse_websearch(spark, folder):
 @query
 def lexical_match(spark, folder):
     parsed = lexical.parse_websearch(web_queries(spark, folder))
-    return lexical.lexical_match(parsed, lexical.build_postings(_chunks(spark, folder)))
+    postings = lexical.build_postings(_chunks(spark, folder), lexical.asked_terms(parsed))
+    return lexical.lexical_match(parsed, postings)
 
 
 @query
@@ -339,12 +343,13 @@ def bm25_topk(spark, folder):
 
 @query
 def bm25_topk_all(spark, folder):
-    index = _index(spark, folder)
-    return hybrid.lexical_route(web_queries(spark, folder), index, POOL, match="all")
+    asked = web_queries(spark, folder)
+    return hybrid.lexical_route(asked, _index(spark, folder, asked), POOL, match="all")
 
 
 def _routes(spark, folder) -> tuple[DataFrame, DataFrame]:
-    asked, index = src.search_queries(spark, folder), _index(spark, folder)
+    asked = src.search_queries(spark, folder)
+    index = _index(spark, folder, asked)
     return hybrid.dense_route(asked, index, POOL), hybrid.lexical_route(asked, index, POOL)
 
 
@@ -361,16 +366,16 @@ def candidate_pool(spark, folder):
 @query
 def rerank(spark, folder):
     """The lexical candidates, judged anew."""
-    asked, index = src.search_queries(spark, folder), _index(spark, folder)
+    asked = src.search_queries(spark, folder)
+    index = _index(spark, folder, asked)
     pool = hybrid.lexical_route(asked, index, POOL)
     return fusion.rerank(asked, pool, index.chunks, k=TOP)
 
 
 @query
 def hybrid_search(spark, folder):
-    return hybrid.hybrid_search(
-        src.search_queries(spark, folder), _index(spark, folder), TOP, POOL
-    )
+    asked = src.search_queries(spark, folder)
+    return hybrid.hybrid_search(asked, _index(spark, folder, asked), TOP, POOL)
 
 
 # Context, grounding, conversation
@@ -504,17 +509,16 @@ def qrels_from_passages(spark, folder):
 @query
 def retrieval_metrics(spark, folder):
     asked, qrels = eval_queries(spark, folder)
-    hits = hybrid.lexical_route(asked, _index(spark, folder), POOL)
+    hits = hybrid.lexical_route(asked, _index(spark, folder, asked), POOL)
     return metrics.retrieval_metrics(hits, qrels, 10)
 
 
 @query
 def compare_retrievers(spark, folder):
     asked, qrels = eval_queries(spark, folder)
-    index = _index(spark, folder)
-    owner = index.chunks.select("chunk_id", "doc_id")
-    by_vector = hybrid.dense_route(asked, index, POOL)
-    by_words = hybrid.lexical_route(asked, index, POOL)
+    index = _index(spark, folder, asked)
+    by_vector = written(hybrid.dense_route(asked, index, POOL), "hits")
+    by_words = written(hybrid.lexical_route(asked, index, POOL), "hits")
     order = W.partitionBy("query_id").orderBy("chunk_id")
     by_like = (
         containment.like_search(asked, index.chunks)
@@ -524,7 +528,7 @@ def compare_retrievers(spark, folder):
     fused = fusion.rrf_fuse(by_vector, by_words, k=POOL)
     lists = {"dense": by_vector, "like": by_like, "fused": fused}
     hits = {
-        name: owner.join(df.select("query_id", "chunk_id", "rank"), "chunk_id")
+        name: df.withColumn("doc_id", ingest.document_of(F.col("chunk_id")))
         for name, df in lists.items()
     }
     hits["lexical"] = by_words

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, name: str = "findling", **conf: str) -> SparkSession:
@@ -42,3 +42,15 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="findling-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the scratch folder and read back.
+
+    Used for small results that several branches of a plan need: they are
+    computed once, survive lost executors, and carry their real size, by which
+    Spark decides between a broadcast and a shuffle.
+    """
+    target = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
