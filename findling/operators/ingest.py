@@ -210,9 +210,10 @@ def feature_hash(tokens: pa.ListArray, dim: int) -> np.ndarray:
     bucket = np.fromiter((int(d[:8], 16) % dim for d in digests), np.int64, len(digests))
     sign = np.fromiter((1 - 2 * (int(d[8], 16) % 2) for d in digests), np.int64, len(digests))
     codes = words.indices.to_numpy(zero_copy_only=False)
-    sums = np.bincount(
+    cells = np.bincount(
         rows * dim + bucket[codes], weights=sign[codes], minlength=len(tokens) * dim
-    ).reshape(len(tokens), dim)
+    )
+    sums = cells.astype(np.float64).reshape(len(tokens), dim)
     length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
     return np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
 
