@@ -131,23 +131,22 @@ def history_summary(conv: DataFrame, n_turns: int, segment: int = 512) -> DataFr
     One row per ``segment`` turn numbers, so that an endless conversation becomes
     several summary rows instead of one row no task could hold.
     """
-    spoken = conv.filter(F.col("role") != "system")
+    first = F.coalesce(F.get(sentences(F.col("text")), F.lit(0)), F.lit(""))
+    spoken = conv.filter(F.col("role") != "system").select(
+        "conv_id",
+        F.floor(F.col("turn") / segment).alias("segment"),
+        "turn",
+        F.size(whitespace_tokens(F.col("text"))).alias("n_tokens"),
+        first.alias("first"),
+    )
     cut = (
         _recent_cut(spoken.select("conv_id", "turn"), n_turns)
         .groupBy("conv_id")
         .agg(F.min("turn").alias("oldest_kept"))
     )
     older = spoken.join(cut, "conv_id").filter(F.col("turn") < F.col("oldest_kept"))
-    first = F.coalesce(F.get(sentences(F.col("text")), F.lit(0)), F.lit(""))
     return (
-        older.select(
-            "conv_id",
-            F.floor(F.col("turn") / segment).alias("segment"),
-            "turn",
-            F.size(whitespace_tokens(F.col("text"))).alias("n_tokens"),
-            first.alias("first"),
-        )
-        .groupBy("conv_id", "segment")
+        older.groupBy("conv_id", "segment")
         .agg(
             F.count(F.lit(1)).alias("n_turns"),
             F.sum("n_tokens").alias("n_tokens"),

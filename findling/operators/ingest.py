@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from findling.functions.arrays import let, run_starts, running_before
 from findling.functions.text import WHITESPACE_TOKENS, word_tokens
+from findling.session import written
 
 CHUNK_SIZE, CHUNK_OVERLAP, LINES_PER_PAGE, PIECE = 500, 0.10, 10, 100
 DEFAULT_DIM = 384
@@ -62,6 +63,8 @@ def upload_quota(docs: DataFrame, limit: int = UPLOAD_LIMIT) -> DataFrame:
 
     Ranking with a bound lets every task keep only ``limit`` rows per tenant
     before the shuffle; the rest of a large tenant is never sorted in one place.
+    The admitted ids, ``limit`` per tenant, are written so that Spark knows their
+    size when they meet the documents again.
     """
     order = W.partitionBy("tenant_id").orderBy("uploaded_at", "doc_id")
     admitted = (
@@ -70,7 +73,8 @@ def upload_quota(docs: DataFrame, limit: int = UPLOAD_LIMIT) -> DataFrame:
         .filter(F.col("slot") <= limit)
         .select("doc_id", "slot")
     )
-    return docs.join(admitted, "doc_id", "left").withColumn("admitted", F.col("slot").isNotNull())
+    marked = docs.join(written(admitted, "admitted"), "doc_id", "left")
+    return marked.withColumn("admitted", F.col("slot").isNotNull())
 
 
 def extract_pages(docs: DataFrame, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:

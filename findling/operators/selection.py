@@ -8,9 +8,11 @@ from pyspark.sql.window import Window as W
 
 from findling.session import written
 
-FAN = 32
-SLICES = FAN * FAN
-ACCURACY = 16 * SLICES
+ACCURACY = 10_000
+# Twenty times the sketch's rank error to either side.
+MARGIN = 20 / ACCURACY
+# Below this the margin is under four ranks, and a group is sorted whole.
+SMALL = int(4 / MARGIN)
 
 
 def exact_percentiles(
@@ -19,90 +21,60 @@ def exact_percentiles(
     """Interpolated percentiles, one column per entry of ``points``.
 
     The built-in exact aggregate gathers all distinct values of a group in one
-    task. Here a mergeable sketch cuts every group into slices of about equal
-    weight, exact counts tell which slice holds each wanted rank, and only those
-    slices are sorted, as counted values. The sketch steers; it never decides.
-    Three scans of two columns; all that is shuffled is counts.
+    task. Here a mergeable sketch brackets each wanted value, rows below a bracket
+    are only counted, and just the rows inside, a few thousandths of the group,
+    are sorted, as counted values. The sketch steers; it never decides.
+    NaN is no value here.
     """
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull()
+        F.col("_v").isNotNull() & ~F.isnan("_v")
     )
-    cuts = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    edges = written(
-        data.groupBy(*keys)
-        .agg(
-            F.percentile_approx("_v", cuts, F.lit(ACCURACY)).alias("_edges"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-        .withColumn(
-            "_coarse",
-            F.transform(
-                F.sequence(F.lit(FAN), F.lit(SLICES - FAN), F.lit(FAN)),
-                lambda i: F.get("_edges", i - 1),
-            ),
-        ),
-        "edges",
-    )
-    below = lambda edge: edge < F.col("_v")
-    sliced = (
-        data.join(edges, keys)
-        .withColumn("_block", F.size(F.filter("_coarse", below)) * FAN)
-        .withColumn(
-            "_slice",
-            F.col("_block")
-            + F.size(F.filter(F.slice("_edges", F.col("_block") + 1, F.lit(FAN - 1)), below)),
-        )
-        .select(*keys, "_v", "_n", "_slice")
-    )
-
-    weights = sliced.groupBy(*keys, "_slice").agg(
-        F.count(F.lit(1)).alias("_w"), F.first("_n").alias("_n")
-    )
-    upto = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    weights = weights.withColumn("_before", F.coalesce(F.sum("_w").over(upto), F.lit(0)))
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                (at(F.lit(q) * (F.col("_n") - 1))).cast("bigint").alias("rank"),
-                F.lit(side).alias("side"),
-            )
-            for name, q in points.items()
-            for side, at in (("lo", F.floor), ("hi", F.ceil))
+    names = list(points)
+    marks = [min(max(points[n] + side, 0.0), 1.0) for n in names for side in (-MARGIN, MARGIN)]
+    found = F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), F.lit(ACCURACY))
+    edges = data.groupBy(*keys).agg(found.alias("_e"), F.count(F.lit(1)).alias("_n"))
+    bounds = []
+    for i, name in enumerate(names):
+        low, high = F.get("_e", F.lit(2 * i)), F.get("_e", F.lit(2 * i + 1))
+        if marks[2 * i] == 0.0:
+            low = F.lit(float("-inf"))
+        if marks[2 * i + 1] == 1.0:
+            high = F.lit(float("inf"))
+        whole = F.col("_n") < SMALL
+        bounds += [
+            F.when(whole, F.lit(float("-inf"))).otherwise(low).alias(f"_low_{name}"),
+            F.when(whole, F.lit(float("inf"))).otherwise(high).alias(f"_high_{name}"),
         ]
-    )
-    wanted = written(
-        weights.select(*keys, "_slice", "_before", "_w", F.explode(ranks).alias("_r"))
-        .filter(
-            (F.col("_r")["rank"] >= F.col("_before"))
-            & (F.col("_r")["rank"] < F.col("_before") + F.col("_w"))
-        )
-        .groupBy(*keys, "_slice")
-        .agg(F.first("_before").alias("_before"), F.collect_list("_r").alias("_ranks")),
-        "ranks",
-    )
+    # One short row per group, written so that Spark knows it may be broadcast.
+    edges = written(edges.select(*keys, "_n", *bounds), "edges")
+    bracketed = data.join(edges, keys)
 
-    group = [*keys, "_slice"]
-    inside = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    placed = (
-        sliced.join(wanted.select(*group), group, "left_semi")
-        .groupBy(*group, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-        .withColumn("_held", F.sum("_c").over(inside))
-        .join(wanted, group)
-        .withColumn("_upto", F.col("_before") + F.col("_held"))
+    below = bracketed.groupBy(*keys).agg(
+        F.first("_n").alias("_n"),
+        *[F.count_if(F.col("_v") < F.col(f"_low_{n}")).alias(f"_below_{n}") for n in names],
     )
-    hits = placed.select(*keys, "_v", "_n", "_upto", "_c", F.explode("_ranks").alias("_r")).filter(
-        (F.col("_r")["rank"] < F.col("_upto")) & (F.col("_r")["rank"] >= F.col("_upto") - F.col("_c"))
+    within = [
+        F.when(F.col("_v").between(F.col(f"_low_{n}"), F.col(f"_high_{n}")), F.lit(n))
+        for n in names
+    ]
+    inside = W.partitionBy(*keys, "_point").orderBy("_v")
+    counted = (
+        bracketed.select(*keys, "_v", F.explode(F.array_compact(F.array(*within))).alias("_point"))
+        .groupBy(*keys, "_point", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_upto", F.sum("_c").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+        .join(below, keys)
     )
 
-    def pick(name: str, side: str):
-        chosen = (F.col("_r")["name"] == name) & (F.col("_r")["side"] == side)
-        return F.max(F.when(chosen, F.col("_v")))
+    def at_rank(name: str, rank):
+        place = rank - F.col(f"_below_{name}")
+        here = (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_c"))
+        return F.max(F.when((F.col("_point") == name) & here, F.col("_v")))
 
-    def interpolated(name: str, q: float):
-        at = F.lit(q) * (F.max("_n") - 1)
-        share = at - F.floor(at)
-        return pick(name, "lo") + share * (pick(name, "hi") - pick(name, "lo"))
+    def interpolated(name: str):
+        at = F.lit(points[name]) * (F.col("_n") - 1)
+        low, high = at_rank(name, F.floor(at)), at_rank(name, F.ceil(at))
+        share = F.first(at - F.floor(at))
+        return low + share * (high - low)
 
-    return hits.groupBy(*keys).agg(*[interpolated(n, q).alias(n) for n, q in points.items()])
+    return counted.groupBy(*keys).agg(*[interpolated(n).alias(n) for n in names])

@@ -1,8 +1,9 @@
 """A published index: several tables that become visible together.
 
-Files of a commit go to a folder of their own; one manifest row, written last,
-makes them visible. Readers take the list of folders from the manifest once and
-keep to it, so they see all tables of a commit or none.
+Files of a commit go to a segment of their own in every table; one manifest row,
+written last, makes them visible. Readers take the list of segments from the
+manifest once and keep to it, so they see all tables of a commit or none.
+Publishing what ``read_index`` returns with ``mode="overwrite"`` merges segments.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from findling import schemas
 from findling.operators.ingest import DEFAULT_DIM, embed_chunks
@@ -55,15 +56,15 @@ def _write(df: DataFrame, target: str) -> None:
 
 
 def _read(spark: SparkSession, path: str, segments: list[str], table: str, schema) -> DataFrame:
+    """One scan over all visible folders, pruned by tenant."""
     if not segments:
         return spark.createDataFrame([], schema)
-    parts = [
-        spark.read.schema(schema).parquet(f"{path}/segments/{s}/{table}") for s in segments
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return (
+        spark.read.schema(StructType([*schema.fields, StructField("segment", StringType())]))
+        .option("basePath", f"{path}/{table}")
+        .parquet(*[f"{path}/{table}/segment={s}" for s in segments])
+        .drop("segment")
+    )
 
 
 def write_index(
@@ -87,10 +88,9 @@ def write_index(
         return version
     version += 1
     segment = f"{version:08d}"
-    folder = f"{path}/segments/{segment}"
-    _write(chunks, f"{folder}/chunks")
-    written = spark.read.schema(schemas.CHUNKS).parquet(f"{folder}/chunks")
-    _write(embed_chunks(written, dim, model), f"{folder}/vectors")
+    _write(chunks, f"{path}/chunks/segment={segment}")
+    stored = _read(spark, path, [segment], "chunks", schemas.CHUNKS)
+    _write(embed_chunks(stored, dim, model), f"{path}/vectors/segment={segment}")
     row = spark.createDataFrame([(version, mode, segment, batch_id)], MANIFEST)
     row.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest/{segment}")
     return version

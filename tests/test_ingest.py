@@ -143,7 +143,7 @@ def test_index_shows_whole_commits_only(spark, tmp_path):
     both = index_store.read_index(spark, path)
     assert both.chunks.count() == both.vectors.count() == 6
     # A segment whose manifest row is missing is not seen.
-    spark.range(1).write.parquet(f"{path}/segments/00000009/chunks")
+    other.write.partitionBy("tenant_id").parquet(f"{path}/chunks/segment=00000009")
     assert index_store.read_index(spark, path).segments == both.segments
     assert index_store.write_index(other, path, mode="overwrite", dim=8) == 3
     assert index_store.read_index(spark, path).chunks.count() == 3
