@@ -72,19 +72,20 @@ def isolation_audit(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> D
 
 
 def permission_table(spark: SparkSession) -> DataFrame:
-    rows = [(role, action) for role, actions in PERMISSIONS.items() for action in actions]
-    return spark.createDataFrame(rows, "role string, action string")
+    """The grants as an inline table, whose size Spark knows: joins with it broadcast."""
+    rows = [f"('{role}', '{a}')" for role, actions in PERMISSIONS.items() for a in actions]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS grants(role, action)")
 
 
 def authorize(requests: DataFrame, permissions: DataFrame) -> DataFrame:
-    """Append ``allowed``. The grants are a fixed table of a dozen rows, hence broadcast."""
+    """Append ``allowed``: whether the role was granted the action."""
     grants = permissions.distinct().withColumn("granted", F.lit(True))
     return (
-        requests.join(F.broadcast(grants), ["role", "action"], "left")
+        requests.join(grants, ["role", "action"], "left")
         .withColumn("allowed", F.coalesce("granted", F.lit(False)))
         .drop("granted")
     )
 
 
 def denied_requests(requests: DataFrame, permissions: DataFrame) -> DataFrame:
-    return requests.join(F.broadcast(permissions), ["role", "action"], "left_anti")
+    return requests.join(permissions, ["role", "action"], "left_anti")

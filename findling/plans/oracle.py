@@ -408,11 +408,6 @@ _add(
     "SELECT chunk_id, bucket, round(v, 6) + 0.0 AS value FROM chunks_cells",
     lambda: _embed("chunks", "chunk_id"),
 )
-_add(
-    "write_index",
-    f"""SELECT tenant_id, doc_id, chunk_id, n_tokens, CAST({reg.DIM} AS BIGINT) AS width,
-               md5(text) AS text_md5 FROM chunks""",
-)
 _add(
     "tenant_view",
     f"SELECT tenant_id, doc_id, lang, n_bytes FROM docs WHERE tenant_id = '{reg.TENANT}'",
@@ -443,6 +438,12 @@ _add(
     "retention_expired",
     f"SELECT doc_id, tenant_id, {TIME.format('uploaded_at')} AS uploaded_at FROM docs WHERE {EXPIRED}",
 )
+_add(
+    "write_index",
+    f"""SELECT c.tenant_id, c.doc_id, c.chunk_id, CAST(c.n_tokens AS BIGINT) AS n_tokens,
+               CAST({reg.DIM} AS BIGINT) AS width, md5(c.text) AS text_md5
+        FROM chunks c JOIN docs d USING (doc_id) WHERE NOT {EXPIRED}""",
+)
 _add(
     "cascade_delete",
     f"""SELECT tenant_id, sum(d)::BIGINT AS n_docs, sum(c)::BIGINT AS n_chunks FROM (

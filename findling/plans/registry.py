@@ -186,11 +186,12 @@ def embed_chunks(spark, folder):
 
 @query
 def write_index(spark, folder):
-    """Publish twice, the second time as a replacement, and read what is visible."""
+    """Publish, replace, delete what has expired, and read what is visible."""
     path = scratch_folder(spark, "index")
-    chunks = _chunks(spark, folder)
+    docs, chunks = _docs(spark, folder), _chunks(spark, folder)
     index_store.write_index(chunks.filter(F.col("lang") == "en"), path, dim=DIM)
     index_store.write_index(chunks, path, mode="overwrite", dim=DIM)
+    index_store.delete_documents(ingest.retention_expired(docs, src.ntz(AS_OF)), path)
     seen = index_store.read_index(spark, path)
     return seen.chunks.join(
         seen.vectors.select("chunk_id", F.size("embedding").alias("width")), "chunk_id"

@@ -12,11 +12,13 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from findling import schemas
 from findling.operators.ingest import DEFAULT_DIM, embed_chunks
 
+DELETED = StructType([StructField("doc_id", LongType())])
 MANIFEST = "version bigint, mode string, segment string, batch_id bigint"
 
 
@@ -35,17 +37,35 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], MANIFEST)
 
 
-def _live(spark: SparkSession, path: str) -> tuple[int, list[str], set[int]]:
-    """Newest version, folders visible in it, and batches already taken in.
+@dataclass(frozen=True)
+class _State:
+    version: int
+    segments: tuple[str, ...]
+    deletes: tuple[str, ...]
+    batches: frozenset[int]
+
+
+def _state(spark: SparkSession, path: str) -> _State:
+    """Newest version, what is visible in it, and the batches already taken in.
 
     One short row per commit comes to the driver, as file listings do.
     """
     rows = manifest(spark, path).orderBy("version").collect()
-    segments: list[str] = []
-    for row in rows:
-        segments = [row.segment] if row.mode == "overwrite" else [*segments, row.segment]
-    batches = {row.batch_id for row in rows if row.batch_id is not None}
-    return (rows[-1].version if rows else 0), segments, batches
+    start = max([i for i, row in enumerate(rows) if row.mode == "overwrite"], default=0)
+    visible = rows[start:]
+    return _State(
+        rows[-1].version if rows else 0,
+        tuple(r.segment for r in visible if r.mode != "delete"),
+        tuple(r.segment for r in visible if r.mode == "delete"),
+        frozenset(r.batch_id for r in rows if r.batch_id is not None),
+    )
+
+
+def _commit(spark: SparkSession, path: str, version: int, mode: str, batch_id: int | None) -> None:
+    """The last step of every change. Two writers at the same version: the second fails."""
+    segment = f"{version:08d}"
+    row = spark.createDataFrame([(version, mode, segment, batch_id)], MANIFEST)
+    row.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest/{segment}")
 
 
 def _write(df: DataFrame, target: str) -> None:
@@ -55,18 +75,29 @@ def _write(df: DataFrame, target: str) -> None:
     )
 
 
-def _read(spark: SparkSession, path: str, segments: list[str], table: str, schema) -> DataFrame:
-    """One scan over all visible folders, pruned by tenant."""
-    if not segments:
-        return spark.createDataFrame([], schema)
+def _scan(spark: SparkSession, path: str, table: str, segments: tuple[str, ...], schema):
+    """One scan over all named segments."""
     return (
         spark.read.schema(StructType([*schema.fields, StructField("segment", StringType())]))
         .option("basePath", f"{path}/{table}")
         .parquet(*[f"{path}/{table}/segment={s}" for s in segments])
-        .drop("segment")
     )
 
 
+def _read(spark: SparkSession, path: str, state: _State, table: str, schema) -> DataFrame:
+    """The visible rows, less those of documents deleted after they were written."""
+    if not state.segments:
+        return spark.createDataFrame([], schema)
+    rows = _scan(spark, path, table, state.segments, schema)
+    if state.deletes:
+        gone = _scan(spark, path, "deleted", state.deletes, DELETED).select(
+            F.col("doc_id").alias("gone_id"), F.col("segment").alias("gone_at")
+        )
+        later = (F.col("doc_id") == F.col("gone_id")) & (F.col("segment") < F.col("gone_at"))
+        rows = rows.join(gone, later, "left_anti")
+    return rows.drop("segment")
+
+
 def write_index(
     chunks: DataFrame,
     path: str,
@@ -83,25 +114,38 @@ def write_index(
     if mode not in ("append", "overwrite"):
         raise ValueError(f"mode must be 'append' or 'overwrite', not {mode!r}")
     spark = chunks.sparkSession
-    version, _, taken = _live(spark, path)
-    if batch_id is not None and batch_id in taken:
-        return version
-    version += 1
+    state = _state(spark, path)
+    if batch_id is not None and batch_id in state.batches:
+        return state.version
+    version = state.version + 1
     segment = f"{version:08d}"
     _write(chunks, f"{path}/chunks/segment={segment}")
-    stored = _read(spark, path, [segment], "chunks", schemas.CHUNKS)
+    stored = _scan(spark, path, "chunks", (segment,), schemas.CHUNKS)
     _write(embed_chunks(stored, dim, model), f"{path}/vectors/segment={segment}")
-    row = spark.createDataFrame([(version, mode, segment, batch_id)], MANIFEST)
-    row.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest/{segment}")
+    _commit(spark, path, version, mode, batch_id)
+    return version
+
+
+def delete_documents(doomed: DataFrame, path: str) -> int:
+    """Take documents out of all tables at once; returns the new version.
+
+    Only their ids are written. Readers leave their rows out, and the next
+    overwrite drops them for good. A document added again later is seen.
+    """
+    spark = doomed.sparkSession
+    version = _state(spark, path).version + 1
+    target = f"{path}/deleted/segment={version:08d}"
+    doomed.select("doc_id").write.mode("overwrite").parquet(target)
+    _commit(spark, path, version, "delete", None)
     return version
 
 
 def read_index(spark: SparkSession, path: str) -> Snapshot:
     """The newest published state; later commits do not show in it."""
-    version, segments, _ = _live(spark, path)
+    state = _state(spark, path)
     return Snapshot(
-        version,
-        tuple(segments),
-        _read(spark, path, segments, "chunks", schemas.CHUNKS),
-        _read(spark, path, segments, "vectors", schemas.VECTORS),
+        state.version,
+        state.segments,
+        _read(spark, path, state, "chunks", schemas.CHUNKS),
+        _read(spark, path, state, "vectors", schemas.VECTORS),
     )

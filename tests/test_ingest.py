@@ -147,6 +147,14 @@ def test_index_shows_whole_commits_only(spark, tmp_path):
     assert index_store.read_index(spark, path).segments == both.segments
     assert index_store.write_index(other, path, mode="overwrite", dim=8) == 3
     assert index_store.read_index(spark, path).chunks.count() == 3
+    doomed = spark.createDataFrame([(0,), (77,)], "doc_id bigint")
+    assert index_store.delete_documents(doomed, path) == 4
+    left = index_store.read_index(spark, path)
+    assert {r.doc_id for r in left.chunks.collect()} == {r.doc_id for r in left.vectors.collect()} == {1}
+    assert index_store.write_index(other, path, dim=8) == 5  # document 0 comes back
+    again = index_store.read_index(spark, path).chunks.groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in again} == {0: 2, 1: 2}
+    assert pinned.chunks.count() == 3
     plan = index_store.read_index(spark, path).chunks.filter("tenant_id = 'u'")
     assert "PartitionFilters: [isnotnull(tenant_id" in plan._jdf.queryExecution().toString()
 
