@@ -19,7 +19,7 @@ def rate_limit(ev: DataFrame, limit: int, seconds: int, slot_windows: int = 2) -
     width = seconds * MICROS
     slot = width * slot_windows
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    own = F.floor(F.col("micros") / slot)
+    own = F.expr(f"(micros - pmod(micros, {slot}L)) div {slot}L")
     lends = F.pmod(F.col("micros"), F.lit(slot)) >= slot - width
     slots = F.when(lends, F.array(own, own + 1)).otherwise(F.array(own))
     trailing = W.partitionBy("user_id", "slot").orderBy("micros").rangeBetween(-(width - 1), 0)

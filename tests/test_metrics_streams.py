@@ -36,6 +36,17 @@ def test_percentiles_are_exact(spark, shape):
         assert got["b"][name] == 5.0
 
 
+def test_sketched_latency_is_close(spark):
+    traces = src.scan_traces(spark, FOLDER)
+    exact = {(r.stage, r.day): r for r in metrics.latency_breakdown(traces).collect()}
+    close = metrics.latency_breakdown(traces, exact=False).collect()
+    assert len(close) == len(exact)
+    for r in close:
+        same = exact[r.stage, r.day]
+        assert (r.n, r.mean_latency, r.error_share) == (same.n, same.mean_latency, same.error_share)
+        assert r.p50 <= same.p95 and r.p99 >= same.p50
+
+
 def test_tool_arguments_that_do_not_parse(spark):
     rows = [('{"k": 1}',), ('{"k": 1, "z": 2}',), ('{"z": 2}',), ("{bad",), (None,)]
     df = spark.createDataFrame(rows, "args string").select(
