@@ -37,11 +37,11 @@ def running_before(values: str, block: int = 128) -> str:
     return let(f"cast({values} AS array<bigint>)", "longs", let(blocks, "blocks", joined))
 
 
-def run_starts(values: str, same: str) -> str:
-    """Zero-based positions at which a run of equal neighbours begins.
+def run_starts(values: str, part: str) -> str:
+    """Zero-based positions at which a run of neighbours with equal ``part`` begins.
 
-    ``values`` names an array; ``same`` compares the elements ``a`` and ``b``.
+    ``values`` names an array; ``part`` is what to compare of an element ``{0}``.
     """
-    differs = f"NOT {let('x', 'a', let(f'get({values}, i - 1)', 'b', same))}"
-    return f"""filter(transform({values}, (x, i) -> CASE WHEN i = 0 OR {differs} THEN i END),
+    same = f"{part.format('x')} = {part.format(f'get({values}, i - 1)')}"
+    return f"""filter(transform({values}, (x, i) -> CASE WHEN i = 0 OR NOT ({same}) THEN i END),
         i -> i IS NOT NULL)"""

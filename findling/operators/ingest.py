@@ -180,7 +180,7 @@ def chunk_structured(
     stride = size - shared
     pieces = f"""transform(filter(lines, l -> size(l) > 0), l -> transform(
         sequence(0, (size(l) - 1) div {piece}), p -> least({piece}, size(l) - cast(p AS int) * {piece})))"""
-    firsts = run_starts("before", f"a div {stride} = b div {stride}")
+    firsts = run_starts("before", f"{{0}} div {stride}")
     marks = let(
         running_before(f"flatten({pieces})"),
         "before",

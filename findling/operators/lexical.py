@@ -53,11 +53,13 @@ def build_postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFram
 
     run = "slice(xs, first + 1, coalesce(get(firsts, i + 1), size(xs)) - first)"
     runs = let(
-        run_starts("xs", "a.term = b.term"),
+        run_starts("xs", "{0}.words"),
         "firsts",
-        f"transform(firsts, (first, i) -> struct(get(xs, first).term AS term, {run} AS run))",
+        f"transform(firsts, (first, i) -> struct(get(xs, first).words AS term, {run} AS run))",
     )
-    placed = "sort_array(transform(words, (t, i) -> struct(t AS term, i AS pos)))"
+    # Zipped arrays compile, where a lambda per word would not.
+    places = "slice(sequence(0, size(words)), 1, size(words))"
+    placed = f"sort_array(arrays_zip(words, {places}))"
     rows = split.select(
         *ids,
         F.size("words").alias("chunk_terms"),
@@ -73,7 +75,7 @@ def build_postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFram
             "doc_id",
             "chunk_terms",
             F.size(F.col("t")["run"]).alias("tf"),
-            F.col("t")["run"]["pos"].alias("positions"),
+            F.col("t")["run"]["1"].alias("positions"),
         )
     )
 
