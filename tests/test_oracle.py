@@ -25,3 +25,9 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_tenant_filter_reaches_the_files(spark):
+    for name in ("tenant_view", "metadata_filter"):
+        plan = driver.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan()
+        assert "EqualTo(source,src3)" in plan.toString()
