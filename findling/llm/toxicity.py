@@ -24,17 +24,20 @@ from pyspark.sql import functions as F
 from findling.llm import grams
 from findling.llm.common import LOWER, broadcast_if_small, flat_texts, held_out, pieces
 
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6)
 BITS = 18
-FEATURES = 8192
-SAMPLE = 12_000  # labelled texts the linear classifier is fitted on, at most half of each class
+FEATURES = 2048
+SAMPLE = 8_000  # labelled texts the linear classifier is fitted on, at most half of each class
 THRESHOLD = 0.7
 PIECE_BYTES = 4 << 20
 SMALL_LABELS = 2_000_000
 SMOOTHING = 1.0
+PENALTY = 1.0  # on the squared weights, against the summed loss
 
+#: Lower case for ASCII and for the letters of Latin-1, white space to blanks.
 FOLD = LOWER.copy()
 FOLD[9:14] = 32
+FOLD[0xC0:0xDF] += 32
 
 
 @dataclass
@@ -45,9 +48,23 @@ class Model:
     bias: float
 
 
+def characters(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One folded byte per character up to U+07FF, two or three for others, and the new offsets.
+
+    Letters of Latin-1 keep codes of their own; the rest may share codes, as features
+    are hashed anyway.
+    """
+    lead = flat >= 0xC0
+    at = np.nonzero(lead[:-1])[0]
+    codes = flat.copy()
+    codes[at + 1] = 0x80 | (flat[at] & 3) << 6 | (flat[at + 1] & 0x3F)
+    before = np.concatenate([[0], np.cumsum(~lead)])
+    return FOLD[codes[~lead]], before[offsets]
+
+
 def text_buckets(flat: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None):
     """Distinct ``(text number, bucket)`` of the texts, ordered; only ``wanted`` buckets."""
-    out, starts = grams.framed(FOLD[flat], offsets)
+    out, starts = grams.framed(*characters(flat, offsets))
     keys = []
     for n in ORDERS:
         bucket, of = grams.gram_buckets(out, starts, n, BITS)
@@ -149,31 +166,43 @@ def _sample(labelled: DataFrame, wanted: np.ndarray, share: dict[int, float]):
     )
 
 
-def _regression(rows: list, ratios: np.ndarray, classes: np.ndarray, weigh: np.ndarray):
-    """Weights and bias of an L2 logistic regression on features worth their ratio.
+def _regression(x: np.ndarray, y: np.ndarray, weigh: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2 logistic regression, by Newton steps.
 
-    Full-batch gradient steps with momentum, from 0: the same rows in any order give
-    the same model but for rounding.
+    Each step is solved by conjugate gradients, so that no square matrix is built.
     """
-    where = np.concatenate([np.asarray(r, np.int64) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used, column = np.unique(where, return_inverse=True)
-    scale = ratios[used]
-    weights, bias = np.zeros(len(used)), float(np.log(weigh[classes == 1].sum() / weigh[classes == 0].sum()))
-    speed, bias_speed = np.zeros(len(used)), 0.0
-    worth = scale[column]
-    lengths = np.bincount(row, weights=worth**2, minlength=len(rows))
-    rate = 4.0 * weigh.sum() / max(1.0, (weigh * (lengths + 1)).sum())
-    total = weigh.sum()
-    for _ in range(300):
-        margin = np.bincount(row, weights=worth * weights[column], minlength=len(rows)) + bias
-        wrong = weigh * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - classes) / total
-        slope = np.bincount(column, weights=worth * wrong[row], minlength=len(used))
-        speed = 0.9 * speed - rate * (slope + 1e-5 * weights)
-        bias_speed = 0.9 * bias_speed - rate * wrong.sum()
-        weights += speed
-        bias += bias_speed
-    return used, weights * scale, bias
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
+    penalty = np.full(x.shape[1], PENALTY)
+    penalty[-1] = 0.0
+
+    def loss(w):
+        m = x @ w
+        return (weigh * (np.logaddexp(0, m) - y * m)).sum() + 0.5 * (penalty * w * w).sum()
+
+    w = np.zeros(x.shape[1])
+    w[-1] = np.log((weigh * y).sum() / (weigh * (1 - y)).sum())
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        slope = x.T @ (weigh * (p - y)) + penalty * w
+        curve = weigh * p * (1 - p) + 1e-9
+        step, rest = np.zeros_like(w), -slope
+        way, size = rest.copy(), rest @ rest
+        for _ in range(50):
+            bent = x.T @ (curve * (x @ way)) + penalty * way
+            far = size / max(way @ bent, 1e-30)
+            step += far * way
+            rest -= far * bent
+            size, before = rest @ rest, size
+            if size < 1e-6 * (slope @ slope):
+                break
+            way = rest + (size / before) * way
+        now, part = loss(w), 1.0
+        while loss(w + part * step) > now and part > 1e-3:
+            part /= 2
+        w += part * step
+        if now - loss(w) < 1e-6 * abs(now):
+            break
+    return w[:-1], float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -197,10 +226,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if len(set(classes)) < 2:
         return Model(weights, float(np.log(n_toxic / n_clean)))
     weigh = np.where(classes == 1, 1 / share[1], 1 / share[0])
-    used, values, bias = _regression(
-        sample["features"].tolist(), log_count_ratios(counts), classes, weigh
-    )
-    weights[used] = values
+    used = np.nonzero(wanted)[0]
+    scale = log_count_ratios(counts)[used]
+    x = np.zeros((len(sample), len(used)), np.float32)
+    for row, held in zip(x, sample["features"]):
+        row[np.searchsorted(used, held)] = 1
+    values, bias = _regression(x * scale.astype(np.float32), classes, weigh)
+    weights[used] = values * scale
     return Model(weights, bias)
 
 
