@@ -10,9 +10,12 @@ from findling.llm import (
     decontamination,
     exact_dedup,
     langid,
+    lm_scoring,
     mixing,
+    secrets_forest,
     simhash,
     toxicity,
+    warc,
 )
 from findling.llm.common import held_out, table
 
@@ -22,12 +25,21 @@ CONFLICT = [
 ]
 
 
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "source")
+    return secrets_forest.report(docs, F.col("source"))
+
+
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "lang")
     model = langid.fit(docs)
     return langid.identify(docs, model, "doc_id").withColumn("held_out", held_out(F.col("doc_id")))
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.report(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
     conflict = spark.createDataFrame(CONFLICT, "conv_id bigint, turn bigint, role string, text string")
@@ -45,6 +57,10 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(table(spark, folder, "documents", "doc_id", "text", "source"))
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.report(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -63,10 +79,13 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_secrets,
         op2_language,
+        op3_lm_score,
         op4_chat_format,
         op5_toxicity,
         op6_mix_sources,
+        op7_warc,
         op8_exact_dedup,
         op9_simhash,
         op10_decontaminate,
@@ -120,4 +139,71 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE = {"op6_mix_sources": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+
+
+def _op7_sql() -> str:
+    """The records of pages, with the patterns written out here once more."""
+    text = "html"
+    for name in ("script", "style", "head", "nav", "footer", "noscript", "template"):
+        text = f"regexp_replace({text}, '(?is)<{name}\\b.*?</{name}\\s*>', ' ', 'g')" if text != "html" else (
+            f"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), "
+            f"'(?is)<{name}\\b.*?</{name}\\s*>', ' ', 'g')"
+        )
+    lines = "p|div|li|ul|ol|br|h[1-6]|tr|table|article|section|header|main|blockquote|pre|hr|title"
+    text = f"regexp_replace({text}, '(?i)</?({lines})\\b[^>]*>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '<[^>]*>', ' ', 'g')"
+    for name, by in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"),
+                     ("&#39;", "chr(39)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"),
+                     ("&amp;", "'&'")):
+        text = f"replace({text}, '{name}', {by})"
+    text = f"regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g')"
+    text = f"trim(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+    uuid = (
+        "'<urn:uuid:' || substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4)"
+        " || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12) || '>'"
+    )
+    crlf = "chr(13) || chr(10)"
+    return f"""
+WITH page AS (
+    SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages
+), keyed AS (
+    SELECT *, md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || target_uri) AS k,
+           'sha256:' || sha256(html) AS payload_digest
+    FROM page
+), response AS (
+    SELECT *, {uuid.format("k")} AS refers_to FROM keyed
+), kinds AS (
+    SELECT page_id, refers_to, target_uri, payload_digest, 'conversion' AS record_type,
+           'text/plain; charset=utf-8' AS content_type, {text} AS block
+    FROM response
+    UNION ALL
+    SELECT page_id, refers_to, target_uri, payload_digest, 'metadata', 'application/warc-fields',
+           'title: ' || trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\\s*>', 1),
+                                            '\\s+', ' ', 'g')) || {crlf} ||
+           'html-lang: ' || regexp_extract(html, '(?i)<html[^>]*\\blang="([A-Za-z-]*)"', 1) || {crlf} ||
+           'outlinks: ' || len(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref='))::VARCHAR || {crlf} ||
+           'source-content-type: text/html; charset=utf-8' || {crlf} ||
+           'source-content-length: ' || octet_length(encode(html))::VARCHAR || {crlf} ||
+           'source-payload-digest: ' || payload_digest || {crlf}
+    FROM response
+), records AS (
+    SELECT *, {uuid.format("md5(record_type || '|' || refers_to)")} AS record_id,
+           'sha256:' || sha256(block) AS block_digest,
+           octet_length(encode(block))::BIGINT AS content_length
+    FROM kinds
+)
+SELECT page_id, record_type, record_id, refers_to, target_uri, payload_digest, block_digest,
+       content_type, content_length,
+       (len(block) - len(replace(block, chr(10), '')))::BIGINT AS n_lines,
+       sha256('WARC/1.1' || {crlf} || 'WARC-Type: ' || record_type || {crlf} ||
+              'WARC-Record-ID: ' || record_id || {crlf} || 'WARC-Date: 2024-01-01T00:00:00Z' || {crlf} ||
+              'WARC-Target-URI: ' || target_uri || {crlf} || 'WARC-Refers-To: ' || refers_to || {crlf} ||
+              'WARC-Payload-Digest: ' || payload_digest || {crlf} ||
+              'WARC-Block-Digest: ' || block_digest || {crlf} ||
+              'Content-Type: ' || content_type || {crlf} ||
+              'Content-Length: ' || content_length::VARCHAR || {crlf} || {crlf} || block) AS record_sha256
+FROM records
+"""
+
+
+ORACLE = {"op6_mix_sources": OP6_SQL, "op7_warc": _op7_sql(), "op8_exact_dedup": OP8_SQL}
