@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HELD_OUT = 1
 LOWER = np.arange(256, dtype=np.uint8)
@@ -54,3 +55,9 @@ def pieces(offsets: np.ndarray, most: int):
         last = max(last, first + 1)
         yield first, last
         first = last
+
+
+def schema_with(df: DataFrame, keep, made: str, prefix: str = "") -> T.StructType:
+    """The fields ``keep`` of ``df``, and those of the DDL text ``made`` with ``prefix``."""
+    new = [T.StructField(prefix + f.name, f.dataType) for f in T.StructType.fromDDL(made)]
+    return T.StructType([*(df.schema[c] for c in keep), *new])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findling.llm.common import LOWER, flat_texts, pieces
+from findling.llm.common import LOWER, flat_texts, pieces, schema_with
 from findling.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -199,7 +199,7 @@ def shard_hits(flat: np.ndarray, offsets: np.ndarray, phrases: Phrases, window:
 
 _SPANS = "array<struct<first:bigint,last:bigint>>"
 _SPAN_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-FOUND = {"n_words": "bigint", "spans": _SPANS, "byte_spans": _SPANS, "items": "array<string>"}
+FOUND = f"n_words bigint, spans {_SPANS}, byte_spans {_SPANS}, items array<string>"
 
 
 def _pass(docs: DataFrame, phrases: Phrases, keep: list[str], prefix: str) -> DataFrame:
@@ -228,13 +228,11 @@ def _pass(docs: DataFrame, phrases: Phrases, keep: list[str], prefix: str) -> Da
                         pa.array(as_structs[1], _SPAN_TYPE),
                         pa.array(named, pa.list_(pa.string())),
                     ],
-                    [*keep, *(prefix + name for name in FOUND)],
+                    [*keep, *(prefix + c for c in ("n_words", "spans", "byte_spans", "items"))],
                 )
 
     chosen = docs.select(*dict.fromkeys([*keep, "text"]))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep]
-    kinds += [f"`{prefix}{name}` {kind}" for name, kind in FOUND.items()]
-    return chosen.mapInArrow(found, ", ".join(kinds))
+    return chosen.mapInArrow(found, schema_with(chosen, keep, FOUND, prefix))
 
 
 def phrase_blocks(benchmark: DataFrame) -> Iterator[Phrases]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findling.llm import grams
-from findling.llm.common import LOWER, flat_texts, held_out, pieces
+from findling.llm.common import LOWER, flat_texts, held_out, pieces, schema_with
 
 ORDERS = (1, 2, 3)
 BITS = 12
@@ -225,10 +225,5 @@ def identify(docs: DataFrame, model: Model, *keep: str, prefix: str = "") -> Dat
             )
 
     chosen = docs.select(*dict.fromkeys([*keep, "text"]))
-    kinds = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep
-    )
-    return chosen.mapInArrow(
-        assigned,
-        f"{kinds}, `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}accepted` boolean",
-    )
+    made = "lang_pred string, score double, accepted boolean"
+    return chosen.mapInArrow(assigned, schema_with(chosen, keep, made, prefix))

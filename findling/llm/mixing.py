@@ -126,8 +126,11 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """Every document as often as the mix takes it, with ``copy_no`` from 1."""
-    columns = docs.columns
+    """Every document as often as the mix takes it, with ``copy_no`` from 1.
+
+    A column of that name that ``docs`` brings along is replaced.
+    """
+    columns = [c for c in docs.columns if c != "copy_no"]
     sizes = docs.groupBy("source").agg(F.sum(n_words("text")).alias("source_size"))
     rows = docs.withColumn("__coin", coin("doc_id", "text"))
     keep = [F.col(f"__row.{c}").alias(c) for c in columns]

@@ -22,7 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findling.llm import grams
-from findling.llm.common import LOWER, broadcast_if_small, flat_texts, held_out, pieces
+from findling.llm.common import (
+    LOWER,
+    broadcast_if_small,
+    flat_texts,
+    held_out,
+    pieces,
+    schema_with,
+)
 
 ORDERS = (3, 4, 5, 6)
 BITS = 18
@@ -260,6 +267,5 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 [*keep, "score", "predicted"],
             )
 
-    chosen = docs.select(*keep, "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep)
-    return chosen.mapInArrow(scored, f"{kinds}, score double, predicted int")
+    chosen = docs.select(*dict.fromkeys([*keep, "text"]))
+    return chosen.mapInArrow(scored, schema_with(chosen, keep, "score double, predicted int"))

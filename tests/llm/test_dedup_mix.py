@@ -1,0 +1,179 @@
+"""Exact and near deduplication and mixing against plain Python."""
+
+import random
+
+import plain
+import pytest
+from pyspark.sql import functions as F
+
+from findling.llm import exact_dedup, mixing, simhash
+
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def words(seed: int, n: int) -> str:
+    return " ".join(random.Random(seed).choices("ab cd ef gh ij kl mn op qr st uv".split(), k=n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = ["", None, "x", "x", "X", "one two", "One\ttwo", words(1, 30), words(1, 30), words(2, 4000)]
+    texts += [words(3, 300)] * 3 + [words(3, 299) + " zz", words(3, 298) + " zz yy", "été É"]
+    base = words(4, 400).split()
+    for k in range(40):  # a group of near copies
+        copy = list(base)
+        copy[k * 9] = f"w{k}"
+        texts.append(" ".join(copy))
+    rows = [(i, t, "en", f"s{i % 4}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
+    rows += [(3, "x", "en", "s1", 1), (None, "x", None, None, None), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def test_groups_of_equal_texts(docs):
+    got = exact_dedup.duplicate_groups(docs).collect()
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    groups = {}
+    for r in rows:
+        groups.setdefault(plain.sha(r.text or ""), []).append(r.doc_id)
+    for g in got:
+        ids = groups[g.text_sha256]
+        assert g.group_size == len(ids)
+        assert g.keep_id == max((i for i in ids if i is not None), default=None)
+    assert sum(g.kept for g in got) == len(groups)  # one of each, also of rows that share an id
+    assert all(g.doc_id == g.keep_id for g in got if g.kept)
+
+
+def test_kept_rows_keep_their_columns(spark, docs):
+    odd = docs.withColumn("block", F.lit(1)).withColumn("text_sha256", F.lit("z"))
+    kept = exact_dedup.drop_exact_copies(odd)
+    assert kept.columns == odd.columns
+    got = sorted((r.text or "", r.doc_id) for r in kept.collect())
+    best = {}
+    for r in docs.collect():
+        best[r.text or ""] = max(best.get(r.text or "", -1), -1 if r.doc_id is None else r.doc_id)
+    assert got == sorted(best.items())
+
+
+def test_filter_keeps_single_rows_from_the_shuffle(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    more = rows.unionByName(rows.filter("doc_id % 100 = 0"))
+    keyed = more.withColumn("k", F.xxhash64("text"))
+    marked = exact_dedup.mark_possible_repeats(keyed, "k", "maybe")
+    counts = {r.maybe: r["count"] for r in marked.groupBy("maybe").count().collect()}
+    assert counts[True] >= 400  # no repeat is missed
+    assert counts[True] < 800  # and few others meet
+
+
+def test_filter_too_large_for_a_broadcast(spark, docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BLOCKS", 0)
+    got = exact_dedup.duplicate_groups(docs)
+    assert sum(r.kept for r in got.collect()) == len({r.text or "" for r in docs.collect()})
+
+
+def test_fingerprints_and_components(docs):
+    known = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    rows = known.collect()
+    prints = {r.doc_id: plain.fingerprint(r.text) for r in rows}
+    parts = plain.components(prints)
+    for block in (simhash.BLOCK, 4):  # whole lists, and lists cut into blocks
+        got = {r.doc_id: r for r in simhash.components(known, block).collect()}
+        assert {i: r.fp % (1 << 64) for i, r in got.items()} == prints
+        assert {i: r.component_id for i, r in got.items()} == parts
+    assert len(set(parts.values())) < len(rows) - 30
+
+
+def test_random_fingerprints_lose_no_link(spark):
+    rnd = random.Random(5)
+    base = [rnd.getrandbits(64) for _ in range(60)]
+    prints = {}
+    for b in base:
+        for _ in range(8):
+            value = b
+            for bit in rnd.sample(range(64), rnd.randrange(5)):
+                value ^= 1 << bit
+            prints[len(prints)] = value
+    rows = [(v - (1 << 64) if v >= 1 << 63 else v,) for v in prints.values()]
+    df = spark.createDataFrame(rows, "fp bigint").distinct()
+    for block in (2048, 8):
+        hung = {r.a: r.b for r in simhash.smallest_connected(simhash.links(simhash.index_entries(df), block)).collect()}
+        groups = {}
+        for i, (v,) in enumerate(rows):
+            groups.setdefault(hung.get(v, v), set()).add(i)
+        mine = {frozenset(g) for g in groups.values()}
+        theirs = {}
+        for i, c in plain.components(prints).items():
+            theirs.setdefault(c, set()).add(i)
+        assert mine == {frozenset(g) for g in theirs.values()}
+
+
+def test_long_chain_is_one_component(spark):
+    chain = [(k, k + 1) for k in range(200)]
+    random.Random(1).shuffle(chain)
+    edges = spark.createDataFrame([(b, a) for a, b in chain], "a bigint, b bigint")
+    got = simhash.smallest_connected(edges).collect()
+    assert {r.b for r in got} == {0} and len(got) == 200
+
+
+def test_near_copies_go(docs):
+    kept = simhash.drop_near_copies(docs.withColumn("fp", F.lit(0)))
+    assert kept.columns == [*docs.columns, "fp"]
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(None) == 2  # rows without an id are never dropped
+    known = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()
+    parts = plain.components({r.doc_id: plain.fingerprint(r.text) for r in known})
+    # the rows without an id bring no smaller one into a component
+    assert sorted({i for i in ids if i is not None}) == sorted(set(parts.values()))
+
+
+def _figures(docs):
+    sizes = {}
+    for r in docs:
+        n = len(plain.SPACED.findall(r.text or ""))
+        sizes[r.source] = sizes.get(r.source, 0) + n
+    return sizes, plain.targets(sizes)
+
+
+def test_mix(docs):
+    rows = docs.collect()
+    sizes, targets = _figures(rows)
+    got = mixing.mix_report(docs).collect()
+    assert len(got) == len(rows)
+    want = []
+    for r in rows:
+        n = len(plain.SPACED.findall(r.text or ""))
+        rate = targets[r.source] / sizes[r.source] if sizes[r.source] else 0
+        want.append((r.doc_id, n, sizes[r.source], round(targets[r.source], 6), n * plain.copies(r.doc_id, r.text, rate)))
+    have = [(g.doc_id, g["size"], g.source_size, round(g.target, 6), g.taken) for g in got]
+    assert sorted(have, key=repr) == sorted(want, key=repr)
+    assert abs(sum(targets.values()) - 1.5 * sum(sizes.values())) < 1e-6
+    assert all(g.taken <= 2 * g["size"] for g in got)
+
+
+def test_mix_emits_copies(docs):
+    taken = {}
+    for g in mixing.mix_report(docs.filter("doc_id IS NOT NULL")).collect():
+        taken[g.doc_id] = taken.get(g.doc_id, 0) + g.taken
+    odd = docs.filter("doc_id IS NOT NULL").withColumn("copies", F.lit(9)).withColumn("copy_no", F.lit(7))
+    mixed = mixing.mix(odd)
+    assert mixed.columns == [*docs.columns, "copies", "copy_no"]
+    words_out = {}
+    for r in mixed.collect():
+        words_out[r.doc_id] = words_out.get(r.doc_id, 0) + len(plain.SPACED.findall(r.text or ""))
+    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in words_out.items() if v}
+
+
+def test_many_sources_are_ordered_by_code_point(spark):
+    names = [f"{c}{k}" for k in range(40) for c in ("a", "Z", "é", "\U0001f600", "￮")] + [None, ""]
+    rows = [(i, "w " * (1 + i % 7), s) for i, s in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    _, targets = _figures(df.collect())
+    got = {r.doc_id: r.target for r in mixing.mix_report(df).collect()}
+    assert all(abs(got[i] - targets[s]) < 1e-6 for i, s in enumerate(names))
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOC)
+    for made in (exact_dedup.duplicate_groups(none), exact_dedup.drop_exact_copies(none), simhash.report(none),
+                 simhash.drop_near_copies(none), mixing.mix_report(none), mixing.mix(none)):
+        assert made.collect() == []
