@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import zipfile
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyspark
@@ -40,9 +41,13 @@ def whitespace_tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+"), "")
 
 
-def word_tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits, stop words included."""
-    return F.array_remove(F.split(F.lower(text), NON_WORD), "")
+def word_tokens(text: Column, stem: Callable[[Column], Column] | None = None) -> Column:
+    """Lower-cased runs of letters and digits, stop words included.
+
+    ``stem`` maps the array of words to an array of their stems, e.g. a batch function.
+    """
+    words = F.array_remove(F.split(F.lower(text), NON_WORD), "")
+    return stem(words) if stem else words
 
 
 @lru_cache(maxsize=None)
@@ -55,6 +60,17 @@ def _word_list(lang: str) -> str:
     return ", ".join(f"'{w}'" for w in stop_words(lang) if w.isalnum())
 
 
+def likely_language(text: str) -> Column:
+    """The language whose stop words make up the most words; ties by code, ``en`` without any."""
+    words = rf"array_remove(split(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), '')"
+    counts = [
+        f"struct(size(filter({words}, x -> x IN ({_word_list(code)}))) AS n, {-rank} AS place, '{code}' AS code)"
+        for rank, code in enumerate(sorted(LANGUAGES))
+    ]
+    best = F.expr(f"greatest({', '.join(counts)})")
+    return F.when(best["n"] > 0, best["code"]).otherwise(F.lit("en"))
+
+
 def is_stop_word(term: str, lang: str) -> Column:
     """Whether the column ``term`` is a stop word; compiles, unlike a test inside a lambda."""
     found = [f"({lang} = '{code}' AND {term} IN ({_word_list(code)}))" for code in LANGUAGES]
@@ -97,7 +113,7 @@ def coverage(wanted: Column, have: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.array_remove(F.transform(F.split(text, SENTENCE_END), F.trim), "")
+    return F.array_remove(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), "")
 
 
 def steady(value: Column) -> Column:

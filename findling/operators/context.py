@@ -128,8 +128,8 @@ def history_window(conv: DataFrame, n_turns: int, budget: int) -> DataFrame:
 def history_summary(conv: DataFrame, n_turns: int, segment: int = 512) -> DataFrame:
     """Turns older than the last ``n_turns``: count, tokens and their first sentences in order.
 
-    One row per ``segment`` turn numbers, so that an endless conversation becomes
-    several summary rows instead of one row no task could hold.
+    One row per conversation. A long one is first summed up by ``segment`` turn
+    numbers, in different tasks; only the segments' summaries meet.
     """
     first = F.coalesce(F.get(sentences(F.col("text")), F.lit(0)), F.lit(""))
     spoken = conv.filter(F.col("role") != "system").select(
@@ -145,20 +145,21 @@ def history_summary(conv: DataFrame, n_turns: int, segment: int = 512) -> DataFr
         .agg(F.min("turn").alias("oldest_kept"))
     )
     older = spoken.join(cut, "conv_id").filter(F.col("turn") < F.col("oldest_kept"))
-    return (
+    joined = F.array_join(F.transform("firsts", lambda x: x["first"]), " | ")
+    segments = (
         older.groupBy("conv_id", "segment")
         .agg(
             F.count(F.lit(1)).alias("n_turns"),
             F.sum("n_tokens").alias("n_tokens"),
             F.sort_array(F.collect_list(F.struct("turn", "first"))).alias("firsts"),
         )
-        .select(
-            "conv_id",
-            "segment",
-            "n_turns",
-            "n_tokens",
-            F.array_join(F.transform("firsts", lambda x: x["first"]), " | ").alias("summary"),
-        )
+        .select("conv_id", "segment", "n_turns", "n_tokens", joined.alias("part"))
+    )
+    parts = F.sort_array(F.collect_list(F.struct("segment", "part")))
+    return segments.groupBy("conv_id").agg(
+        F.sum("n_turns").alias("n_turns"),
+        F.sum("n_tokens").alias("n_tokens"),
+        F.array_join(F.transform(parts, lambda x: x["part"]), " | ").alias("summary"),
     )
 
 

@@ -22,6 +22,7 @@ from findling.session import written
 CHUNK_SIZE, CHUNK_OVERLAP, LINES_PER_PAGE, PIECE = 500, 0.10, 10, 100
 DEFAULT_DIM = 384
 RETENTION_DAYS, UPLOAD_LIMIT = 7, 3
+MAX_UPLOAD_BYTES = 10_000  # the service's limit, for batch and stream alike
 
 LINES = r"split(text, '\\n')"
 
@@ -45,7 +46,7 @@ BLOCK = r"(?is)<(?:h[1-6]|p|li)\b[^>]*>.*?</(?:h[1-6]|p|li)>"
 
 
 def validate_uploads(
-    docs: DataFrame, max_bytes: int = 10_000, types: Iterable[str] = ("text/plain",)
+    docs: DataFrame, max_bytes: int, types: Iterable[str] = ("text/plain",)
 ) -> DataFrame:
     """Status ``PENDING``, or ``REJECTED`` with the first reason that applies."""
     reason = (
@@ -125,7 +126,11 @@ def _chunk_rows(docs: DataFrame, chunks: str, lines_per_page: int) -> DataFrame:
     doc = f"struct(flatten(lines) AS toks, flatten({pages}) AS pages)"
     lines = f"transform({LINES}, x -> {WHITESPACE_TOKENS.format('x')})"
     cut = F.expr(let(lines, "lines", let(doc, "doc", chunks)))
-    return docs.select("tenant_id", "doc_id", "lang", F.posexplode(cut).alias("i", "c")).select(
+    dated = ["uploaded_at"] if "uploaded_at" in docs.columns else []
+    # Unlike posexplode, the outer form does not test the cut for emptiness first, which
+    # would make it twice; a document without tokens gives a null row that is dropped.
+    rows = docs.select("tenant_id", "doc_id", "lang", *dated, F.posexplode_outer(cut).alias("i", "c"))
+    return rows.filter("i IS NOT NULL").select(
         "tenant_id",
         "doc_id",
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("i").cast("string")).alias(
@@ -137,6 +142,7 @@ def _chunk_rows(docs: DataFrame, chunks: str, lines_per_page: int) -> DataFrame:
         F.col("c")["start_tok"].alias("start_tok"),
         F.size(F.col("c")["toks"]).alias("n_tokens"),
         F.array_join(F.col("c")["toks"], " ").alias("text"),
+        *dated,
     )
 
 
@@ -269,9 +275,13 @@ def retention_expired(docs: DataFrame, as_of: Column, days: int = RETENTION_DAYS
 def cascade_delete(
     docs: DataFrame, chunks: DataFrame, doomed: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """The documents and chunks that stay once ``doomed`` documents are gone."""
-    gone = doomed.select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti"), chunks.join(gone, "doc_id", "left_anti")
+    """The documents and chunks that stay once ``doomed`` documents are gone.
+
+    A document goes only under the tenant that named it.
+    """
+    keys = ["tenant_id", "doc_id"]
+    gone = doomed.select(*keys)
+    return docs.join(gone, keys, "left_anti"), chunks.join(gone, keys, "left_anti")
 
 
 def mark_ready(docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -10,6 +10,12 @@ from findling.functions.arrays import let, run_starts, running_before
 from findling.functions.text import is_stop_word, placed_tokens, steady, word_tokens
 
 K1, B = 1.2, 0.75
+TERM_BUCKET, BUCKETS = "term_bucket", 32  # how stored postings are laid out
+
+
+def term_bucket() -> Column:
+    """The bucket of a tenant's term."""
+    return F.pmod(F.xxhash64("tenant_id", "term"), F.lit(BUCKETS)).cast("int")
 
 
 def tokenize(df: DataFrame, key: str, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -209,6 +215,14 @@ def query_terms(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _placed(terms: DataFrame, postings: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Asked terms with the bucket they are stored in, if the postings have any, and the keys
+    to meet them by: only the buckets that occur are then read."""
+    if TERM_BUCKET not in postings.columns:
+        return terms, ["tenant_id", "term"]
+    return terms.withColumn(TERM_BUCKET, term_bucket()), [TERM_BUCKET, "tenant_id", "term"]
+
+
 def lexical_match(parsed: DataFrame, postings: DataFrame) -> DataFrame:
     """``(query_id, chunk_id, doc_id)`` satisfying all groups and no exclusion.
 
@@ -232,7 +246,8 @@ def lexical_match(parsed: DataFrame, postings: DataFrame) -> DataFrame:
         F.col("t")["terms"].alias("term"),
         F.col("t")["offsets"].alias("off"),
     )
-    found = postings.join(asked, ["tenant_id", "term"]).select(
+    asked, keys = _placed(asked, postings)
+    found = postings.join(asked, keys).select(
         "query_id",
         "grp",
         "alt",
@@ -291,9 +306,8 @@ def bm25_topk(
     chunk holding one required term. Postings of other terms are dropped first,
     by a semi-join against the short list of asked terms.
     """
-    wanted = query_terms(parsed)
-    named = asked_terms(parsed)
-    keys = ["tenant_id", "term"]
+    wanted, keys = _placed(query_terms(parsed), postings)
+    named, _ = _placed(asked_terms(parsed), postings)
     idf = F.log(
         F.lit(1.0) + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     )

@@ -75,6 +75,7 @@ def exact_percentiles(
         at = F.lit(points[name]) * (F.col("_n") - 1)
         low, high = at_rank(name, F.floor(at)), at_rank(name, F.ceil(at))
         share = F.first(at - F.floor(at))
-        return low + share * (high - low)
+        missed = F.raise_error(F.lit(f"the rank of {name} lies outside its bracket"))
+        return F.coalesce(low + share * (high - low), missed.cast("double"))
 
     return counted.groupBy(*keys).agg(*[interpolated(n).alias(n) for n in names])

@@ -56,14 +56,18 @@ def metadata_filter(
 
 
 def isolation_audit(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """One row: hits checked, and hits whose chunk belongs to another tenant (must be 0)."""
+    """One row: hits checked, and hits not proven to stay within a tenant (must be 0).
+
+    A hit whose chunk or question is unknown, or has no tenant, is a leak.
+    """
     owner = chunks.select("chunk_id", F.col("tenant_id").alias("chunk_tenant"))
     asker = queries.select("query_id", F.col("tenant_id").alias("query_tenant"))
-    foreign = (F.col("chunk_tenant") != F.col("query_tenant")).cast("bigint")
+    same = F.coalesce(F.col("chunk_tenant") == F.col("query_tenant"), F.lit(False))
+    foreign = (~same).cast("bigint")
     return (
         hits.select("query_id", "chunk_id")
-        .join(asker, "query_id")
-        .join(owner, "chunk_id")
+        .join(asker, "query_id", "left")
+        .join(owner, "chunk_id", "left")
         .agg(
             F.count(F.lit(1)).alias("n_hits"),
             F.coalesce(F.sum(foreign), F.lit(0).cast("bigint")).alias("n_leaks"),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from findling.operators import dense, fusion, ingest, lexical
+from findling.sources import index_store
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,24 @@ def index_chunks(
     return Index(chunks, ingest.embed_chunks(chunks, dim), postings, stats, dim)
 
 
+def build_index(
+    chunks: DataFrame, base: str, dim: int = ingest.DEFAULT_DIM, model=None
+) -> tuple[str, str, str]:
+    """Store everything retrieval needs below ``base``; returns the folders for ``open_index``."""
+    spark = chunks.sparkSession
+    stored = index_store.store_chunks(chunks, base, dim, model)
+    return (stored, *index_store.store_terms(index_store.read_chunks(spark, stored), base))
+
+
+def open_index(
+    spark: SparkSession, folders: tuple[str, str, str], dim: int = ingest.DEFAULT_DIM
+) -> Index:
+    """A stored index. Searching it reads texts for the reranked pool only."""
+    chunks = index_store.read_chunks(spark, folders[0])
+    vectors = chunks.select("tenant_id", "doc_id", "chunk_id", "embedding")
+    return Index(chunks, vectors, *(spark.read.parquet(f) for f in folders[1:]), dim)
+
+
 def dense_route(queries: DataFrame, index: Index, k: int) -> DataFrame:
     asked = ingest.embed_chunks(queries, index.dim, keys=("query_id", "tenant_id"))
     return dense.dense_topk(asked, index.vectors, k)

@@ -86,22 +86,28 @@ PARTS: dict[str, Callable[[], str]] = {
     "corpus": lambda: f"""
         SELECT tenant_id, count(*) AS n_chunks, sum(len({WORDS.format('text')}))::BIGINT AS n_terms
         FROM chunks GROUP BY ALL""",
-    "asked": lambda: f"""
-        SELECT item_id AS query_id, concat('src', item_id % 20) AS tenant_id, 'en' AS lang,
-               array_to_string(({TOKENS.format('text')})[1:8], ' ') AS text
-        FROM benchmark""",
+    "asked_stops": lambda: f"""
+        SELECT b.item_id, s.lang, count(*) AS n
+        FROM (SELECT item_id, unnest({WORDS.format('text')}) AS term FROM benchmark) b
+        JOIN stop s ON s.word = b.term GROUP BY ALL""",
+    "asked": lambda: """
+        SELECT item_id AS query_id, concat('src', item_id % 20) AS tenant_id,
+               coalesce((SELECT l.lang FROM asked_stops l WHERE l.item_id = b.item_id
+                         ORDER BY l.n DESC, l.lang LIMIT 1), 'en') AS lang, text
+        FROM benchmark b""",
     "web_asked": lambda: """
         SELECT query_id, tenant_id, lang,
                CASE query_id % 5
-                 WHEN 0 THEN concat(w[1], ' ', w[2])
-                 WHEN 1 THEN concat('"', w[1], ' ', w[2], '"')
-                 WHEN 2 THEN concat(w[1], ' or ', w[2], ' or ', w[3])
-                 WHEN 3 THEN concat(w[1], ' -', w[2])
-                 ELSE concat(w[1], ' or ', w[2], ' or "', w[3], ' ', w[4], '"') END AS text
-        FROM (SELECT *, string_split(text, ' ') AS w FROM asked)""",
+                 WHEN 0 THEN array_to_string(w, ' ')
+                 WHEN 1 THEN concat('"', array_to_string(w, ' '), '"')
+                 WHEN 2 THEN array_to_string(w, ' or ')
+                 WHEN 3 THEN concat(array_to_string(w[1:len(w) - 1], ' or '), ' -', w[len(w)])
+                 ELSE concat(array_to_string(w[1:greatest(len(w) - 2, 0)], ' or '), ' or "',
+                             array_to_string(w[greatest(len(w) - 1, 1):], ' '), '"') END AS text
+        FROM (SELECT *, list_filter(string_split(text, ' '), lambda t: t <> '') AS w FROM asked)
+        WHERE len(w) > 0""",
     "labelled": lambda: """
-        SELECT b.item_id, d.tenant_id, d.doc_id,
-               b.item_id * 100 + CAST(substr(d.tenant_id, 4) AS BIGINT) AS query_id
+        SELECT b.item_id, d.tenant_id, d.doc_id, concat(b.item_id, '@', d.tenant_id) AS query_id
         FROM benchmark b JOIN docs d ON contains(d.text, b.text)""",
     "eval_asked": lambda: """
         SELECT DISTINCT l.query_id, l.tenant_id, a.lang, a.text
@@ -419,9 +425,15 @@ _add(
 )
 _add(
     "isolation_audit",
-    """SELECT count(*) AS n_hits, coalesce(sum((c.tenant_id <> q.tenant_id)::BIGINT), 0)::BIGINT AS n_leaks
-       FROM dense d JOIN chunks c USING (chunk_id) JOIN asked q ON q.query_id = d.query_id""",
-    lambda: _dense("asked"),
+    """SELECT count(*) AS n_hits,
+              count(*) FILTER (WHERE c.tenant_id IS NULL OR c.tenant_id IS DISTINCT FROM q.tenant_id) AS n_leaks
+       FROM reranked r LEFT JOIN chunks c USING (chunk_id) LEFT JOIN asked q ON q.query_id = r.query_id""",
+    lambda: {
+        **_dense("asked"),
+        **_bm25("asked", reg.POOL),
+        **_fused(),
+        **_reranked("asked", "fused", reg.TOP),
+    },
 )
 _add(
     "authorize",
@@ -512,8 +524,11 @@ _add(
 )
 _add(
     "like_search",
-    """SELECT q.query_id, c.chunk_id
-       FROM (SELECT query_id, tenant_id, array_to_string(string_split(text, ' ')[1 : query_id % 4 + 1], ' ') AS t
+    """SELECT q.query_id, c.chunk_id, CAST(instr(c.text, q.t) AS BIGINT) AS at
+       FROM (SELECT concat(query_id, ':whole') AS query_id, tenant_id, text AS t FROM asked
+             UNION ALL
+             SELECT concat(query_id, ':short'), tenant_id,
+                    array_to_string(list_filter(string_split(text, ' '), lambda t: t <> '')[1 : query_id % 4 + 1], ' ')
              FROM asked) q
        JOIN chunks c ON c.tenant_id = q.tenant_id AND contains(c.text, q.t)""",
 )
@@ -584,7 +599,7 @@ _add(
 )
 _add(
     "history_summary",
-    f"""SELECT conv_id, turn // 512 AS segment, count(*) AS n_turns,
+    f"""SELECT conv_id, count(*) AS n_turns,
                sum(len({TOKENS.format('text')}))::BIGINT AS n_tokens,
                string_agg(coalesce(({_sentences('text')})[1], ''), ' | ' ORDER BY turn) AS summary
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age
@@ -678,7 +693,8 @@ def _compare() -> str:
         **_reranked("eval_asked", "fused", reg.POOL),
         "liked": f"""
         SELECT * FROM (SELECT q.query_id, c.chunk_id,
-                              row_number() OVER (PARTITION BY q.query_id ORDER BY c.chunk_id) AS rank
+                              row_number() OVER (PARTITION BY q.query_id
+                                                 ORDER BY instr(c.text, q.text), c.chunk_id) AS rank
                        FROM eval_asked q JOIN chunks c ON c.tenant_id = q.tenant_id AND contains(c.text, q.text))
         WHERE rank <= {reg.POOL}""",
     }
@@ -717,10 +733,31 @@ _add(
 )
 _add(
     "stream_ingest",
-    """SELECT c.tenant_id, c.doc_id, c.chunk_id, c.page_no, CAST(c.n_tokens AS BIGINT) AS n_tokens,
-              md5(c.text) AS text_md5
-       FROM chunks c JOIN docs d USING (doc_id) WHERE d.mime = 'text/plain' AND d.n_bytes BETWEEN 1 AND 10000000""",
+    f"""SELECT c.tenant_id, c.doc_id, c.chunk_id, c.page_no, CAST(c.n_tokens AS BIGINT) AS n_tokens,
+               md5(c.text) AS text_md5
+        FROM chunks c JOIN docs d USING (doc_id) WHERE {REASON} IS NULL""",
 )
+_add(
+    "stream_status",
+    f"""SELECT doc_id, tenant_id, {TIME.format('uploaded_at')} AS uploaded_at, {REASON} AS reason,
+               CASE WHEN {REASON} IS NOT NULL THEN 'REJECTED'
+                    WHEN doc_id IN (SELECT doc_id FROM chunks) THEN 'READY' ELSE 'PENDING' END AS status
+        FROM docs""",
+)
+ORACLE["stream_admission"] = lambda: f"""
+    WITH RECURSIVE tries AS (
+        SELECT user_id, event_id, epoch_us(ts) AS m,
+               row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n
+        FROM events
+    ), judged AS (
+        SELECT user_id, event_id, n, true AS admitted, [m] AS kept FROM tries WHERE n = 1
+        UNION ALL
+        SELECT user_id, event_id, n, len(live) < {reg.LIMIT},
+               CASE WHEN len(live) < {reg.LIMIT} THEN list_append(live, m) ELSE live END
+        FROM (SELECT t.*, list_filter(j.kept, lambda k: k > t.m - {reg.WINDOW_SECONDS * 1_000_000}) AS live
+              FROM judged j JOIN tries t ON t.user_id = j.user_id AND t.n = j.n + 1)
+    )
+    SELECT event_id, user_id, admitted FROM judged"""
 _add(
     "stream_rate_windows",
     f"""SELECT user_id, {TIME.format('s')} AS window_start, count(*) AS n

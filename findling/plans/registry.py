@@ -77,20 +77,28 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.chunk_fixed(_docs(spark, folder))
+    return ingest.chunk_fixed(_docs(spark, folder)).drop("uploaded_at")
 
 
-def _index(spark: SparkSession, folder: str, asked: DataFrame) -> hybrid.Index:
-    return hybrid.index_chunks(_chunks(spark, folder), DIM, asked)
+_STORED: dict[tuple[str, str], tuple[str, str, str]] = {}
+
+
+def _index(spark: SparkSession, folder: str) -> hybrid.Index:
+    """The stored index of the tables in ``folder``: built once in a session, then searched."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        base = scratch_folder(spark, "index")
+        _STORED[key] = hybrid.build_index(_chunks(spark, folder), base, DIM)
+    return hybrid.open_index(spark, _STORED[key], DIM)
 
 
 def _lexical_hits(spark: SparkSession, folder: str, k: int = TOP) -> DataFrame:
     asked = src.search_queries(spark, folder)
-    return hybrid.lexical_route(asked, _index(spark, folder, asked), k)
+    return hybrid.lexical_route(asked, _index(spark, folder), k)
 
 
 def _hits_with_text(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _chunks(spark, folder).select("chunk_id", "page_no", "n_tokens", "text")
+    chunks = _index(spark, folder).chunks.select("chunk_id", "page_no", "n_tokens", "text")
     return chunks.join(written(_lexical_hits(spark, folder), "hits"), "chunk_id")
 
 
@@ -99,20 +107,22 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def web_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Every benchmark passage asked in one of five web-search forms."""
-    w = lambda i: F.get("w", F.lit(i - 1))
-    form = F.col("query_id") % 5
+    """All words of every benchmark passage, asked in one of five web-search forms."""
+    form, n = F.col("query_id") % 5, F.size("w")
+    upto = lambda k: F.array_join(F.slice("w", F.lit(1), F.greatest(n - k, F.lit(0))), " or ")
+    last = lambda k: F.array_join(F.slice("w", -F.least(n, F.lit(k)), F.lit(k)), " ")
     text = (
-        F.when(form == 0, F.concat_ws(" ", w(1), w(2)))
-        .when(form == 1, F.concat(F.lit('"'), w(1), F.lit(" "), w(2), F.lit('"')))
-        .when(form == 2, F.concat_ws(" or ", w(1), w(2), w(3)))
-        .when(form == 3, F.concat(w(1), F.lit(" -"), w(2)))
-        .otherwise(F.concat(w(1), F.lit(" or "), w(2), F.lit(' or "'), w(3), F.lit(" "), w(4), F.lit('"')))
+        F.when(form == 0, F.array_join("w", " "))
+        .when(form == 1, F.concat(F.lit('"'), F.array_join("w", " "), F.lit('"')))
+        .when(form == 2, upto(0))
+        .when(form == 3, F.concat(upto(1), F.lit(" -"), last(1)))
+        .otherwise(F.concat(upto(2), F.lit(' or "'), last(2), F.lit('"')))
     )
     words = F.filter(F.split("text", " "), lambda t: t != "")
     return (
         src.search_queries(spark, folder)
         .withColumn("w", words)
+        .filter(F.size("w") > 0)
         .select("query_id", "tenant_id", "lang", text.alias("text"))
     )
 
@@ -124,9 +134,7 @@ def eval_queries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     """
     labels = metrics.qrels_from_passages(
         src.scan_benchmark(spark, folder), _docs(spark, folder)
-    ).withColumn(
-        "query_id", F.col("item_id") * 100 + F.substring("tenant_id", 4, 10).cast("bigint")
-    )
+    ).withColumn("query_id", F.concat_ws("@", F.col("item_id").cast("string"), "tenant_id"))
     qrels = written(labels, "qrels")
     text = src.search_queries(spark, folder).select(
         F.col("query_id").alias("item_id"), "lang", "text"
@@ -145,7 +153,7 @@ def scan_documents(spark, folder):
 
 @query
 def validate_uploads(spark, folder):
-    checked = ingest.validate_uploads(_docs(spark, folder))
+    checked = ingest.validate_uploads(_docs(spark, folder), ingest.MAX_UPLOAD_BYTES)
     return checked.select("doc_id", "tenant_id", "n_bytes", "status", "reason")
 
 
@@ -172,7 +180,7 @@ def chunk_fixed(spark, folder):
 
 @query
 def chunk_structured(spark, folder):
-    return ingest.chunk_structured(_docs(spark, folder))
+    return ingest.chunk_structured(_docs(spark, folder)).drop("uploaded_at")
 
 
 @query
@@ -186,16 +194,15 @@ def embed_chunks(spark, folder):
 
 @query
 def write_index(spark, folder):
-    """Publish, replace, delete what has expired, and read what is visible."""
-    path = scratch_folder(spark, "index")
+    """Store chunks with their vectors, write anew without what has expired, and read that."""
+    base = scratch_folder(spark, "index")
     docs, chunks = _docs(spark, folder), _chunks(spark, folder)
-    index_store.write_index(chunks.filter(F.col("lang") == "en"), path, dim=DIM)
-    index_store.write_index(chunks, path, mode="overwrite", dim=DIM)
-    index_store.delete_documents(ingest.retention_expired(docs, src.ntz(AS_OF)), path)
-    seen = index_store.read_index(spark, path)
-    return seen.chunks.join(
-        seen.vectors.select("chunk_id", F.size("embedding").alias("width")), "chunk_id"
-    ).select("tenant_id", "doc_id", "chunk_id", "n_tokens", "width", "text")
+    stored = index_store.read_chunks(spark, index_store.store_chunks(chunks, base, DIM))
+    doomed = ingest.retention_expired(docs, src.ntz(AS_OF))
+    _, left = ingest.cascade_delete(docs, stored.drop("embedding"), doomed)
+    seen = index_store.read_chunks(spark, index_store.store_chunks(left, base, DIM))
+    width = F.size("embedding").alias("width")
+    return seen.select("tenant_id", "doc_id", "chunk_id", "n_tokens", width, "text")
 
 
 # Tenancy, authorisation, retention
@@ -217,10 +224,10 @@ def metadata_filter(spark, folder):
 
 @query
 def isolation_audit(spark, folder):
+    """The hits that users would see, and the owners of the chunks as documents state them."""
     asked = src.search_queries(spark, folder)
-    index = _index(spark, folder, asked)
-    hits = written(hybrid.dense_route(asked, index, POOL), "hits")
-    return tenancy.isolation_audit(hits, index.chunks, asked)
+    hits = hybrid.hybrid_search(asked, _index(spark, folder), TOP, POOL)
+    return tenancy.isolation_audit(written(hits, "hits"), _chunks(spark, folder), asked)
 
 
 @query
@@ -259,7 +266,8 @@ def cascade_delete(spark, folder):
 def mark_ready(spark, folder):
     """Only accepted uploads are chunked, so the rejected ones stay pending."""
     docs = _docs(spark, folder)
-    accepted = ingest.validate_uploads(docs).filter(F.col("status") == "PENDING")
+    checked = ingest.validate_uploads(docs, ingest.MAX_UPLOAD_BYTES)
+    accepted = checked.filter(F.col("status") == "PENDING")
     ready = ingest.mark_ready(docs, ingest.chunk_fixed(accepted))
     return ready.select("doc_id", "tenant_id", "status")
 
@@ -322,19 +330,21 @@ def parse_websearch(spark, folder):
 @query
 def lexical_match(spark, folder):
     parsed = lexical.parse_websearch(web_queries(spark, folder))
-    postings = lexical.build_postings(_chunks(spark, folder), lexical.asked_terms(parsed))
-    return lexical.lexical_match(parsed, postings)
+    return lexical.lexical_match(parsed, _index(spark, folder).postings)
 
 
 @query
 def like_search(spark, folder):
-    """One to four words per question, so that short and long patterns both occur."""
+    """Every passage whole, and beside it its first one to four words."""
     words = F.filter(F.split("text", " "), lambda t: t != "")
     n = (F.col("query_id") % 4 + 1).cast("int")
-    asked = src.search_queries(spark, folder).withColumn(
-        "text", F.array_join(F.slice(words, F.lit(1), n), " ")
-    )
-    return containment.like_search(asked, _chunks(spark, folder))
+    whole = src.search_queries(spark, folder)
+    short = whole.withColumn("text", F.array_join(F.slice(words, F.lit(1), n), " "))
+    forms = [
+        df.withColumn("query_id", F.concat(F.col("query_id").cast("string"), F.lit(f":{name}")))
+        for df, name in ((whole, "whole"), (short, "short"))
+    ]
+    return containment.like_search(forms[0].unionByName(forms[1]), _index(spark, folder).chunks)
 
 
 @query
@@ -345,12 +355,12 @@ def bm25_topk(spark, folder):
 @query
 def bm25_topk_all(spark, folder):
     asked = web_queries(spark, folder)
-    return hybrid.lexical_route(asked, _index(spark, folder, asked), POOL, match="all")
+    return hybrid.lexical_route(asked, _index(spark, folder), POOL, match="all")
 
 
 def _routes(spark, folder) -> tuple[DataFrame, DataFrame]:
     asked = src.search_queries(spark, folder)
-    index = _index(spark, folder, asked)
+    index = _index(spark, folder)
     return hybrid.dense_route(asked, index, POOL), hybrid.lexical_route(asked, index, POOL)
 
 
@@ -368,7 +378,7 @@ def candidate_pool(spark, folder):
 def rerank(spark, folder):
     """The lexical candidates, judged anew."""
     asked = src.search_queries(spark, folder)
-    index = _index(spark, folder, asked)
+    index = _index(spark, folder)
     pool = hybrid.lexical_route(asked, index, POOL)
     return fusion.rerank(asked, pool, index.chunks, k=TOP)
 
@@ -376,7 +386,7 @@ def rerank(spark, folder):
 @query
 def hybrid_search(spark, folder):
     asked = src.search_queries(spark, folder)
-    return hybrid.hybrid_search(asked, _index(spark, folder, asked), TOP, POOL)
+    return hybrid.hybrid_search(asked, _index(spark, folder), TOP, POOL)
 
 
 # Context, grounding, conversation
@@ -510,17 +520,17 @@ def qrels_from_passages(spark, folder):
 @query
 def retrieval_metrics(spark, folder):
     asked, qrels = eval_queries(spark, folder)
-    hits = hybrid.lexical_route(asked, _index(spark, folder, asked), POOL)
+    hits = hybrid.lexical_route(asked, _index(spark, folder), POOL)
     return metrics.retrieval_metrics(hits, qrels, 10)
 
 
 @query
 def compare_retrievers(spark, folder):
     asked, qrels = eval_queries(spark, folder)
-    index = _index(spark, folder, asked)
+    index = _index(spark, folder)
     by_vector = written(hybrid.dense_route(asked, index, POOL), "hits")
     by_words = written(hybrid.lexical_route(asked, index, POOL), "hits")
-    order = W.partitionBy("query_id").orderBy("chunk_id")
+    order = W.partitionBy("query_id").orderBy("at", "chunk_id")
     by_like = (
         containment.like_search(asked, index.chunks)
         .withColumn("rank", F.row_number().over(order))
@@ -551,14 +561,31 @@ def fixed_counters(spark, folder):
     return limits.fixed_counters(src.scan_events(spark, folder), "1 hour")
 
 
+def _ingested(spark: SparkSession, folder: str, *jobs_wanted: str) -> list[DataFrame]:
+    """What the named ingestion streams make of the documents."""
+    base, limit = scratch_folder(spark, "ingest"), ingest.MAX_UPLOAD_BYTES
+    made = []
+    for name in jobs_wanted:
+        docs, paths = jobs.stream_documents(spark, folder), (f"{base}/{name}", f"{base}/{name}-checkpoint")
+        start = {"chunks": jobs.stream_ingest, "statuses": jobs.stream_statuses}[name]
+        more = {"dim": DIM} if name == "chunks" else {}
+        start(docs, *paths, limit, **more).awaitTermination()
+        read = index_store.read_chunks(spark, paths[0])
+        made.append(index_store.newest_uploads(read) if name == "chunks" else read)
+    return made
+
+
 @query
 def stream_ingest(spark, folder):
-    path = scratch_folder(spark, "ingest")
-    jobs.stream_ingest(
-        spark, folder, f"{path}/index", f"{path}/checkpoint", DIM
-    ).awaitTermination()
-    seen = index_store.read_index(spark, f"{path}/index")
-    return seen.chunks.select("tenant_id", "doc_id", "chunk_id", "page_no", "n_tokens", "text")
+    (chunks,) = _ingested(spark, folder, "chunks")
+    return chunks.select("tenant_id", "doc_id", "chunk_id", "page_no", "n_tokens", "text")
+
+
+@query
+def stream_status(spark, folder):
+    """Every upload of the stream: searchable, or rejected and why."""
+    chunks, statuses = _ingested(spark, folder, "chunks", "statuses")
+    return jobs.ingested_status(statuses, chunks)
 
 
 @query

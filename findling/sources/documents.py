@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findling import schemas
+from findling.functions.text import likely_language
 
 EPOCH = "2024-01-01 00:00:00"
 SERVICE_VERSION = "0.1.0"
@@ -18,17 +19,6 @@ def _read(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """Give every core work when the files hold fewer pieces than there are cores.
-
-    A table of many files already does, and is left as it was read.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= 2 * cores:
-        return table
-    return table.repartition(cores, key)
-
-
 def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -53,7 +43,7 @@ def with_document_keys(raw: DataFrame) -> DataFrame:
 
 def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
     raw = _read(spark, folder, "documents", schemas.DOCUMENTS)
-    return with_document_keys(spread(raw, "doc_id"))
+    return with_document_keys(raw)
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -68,7 +58,7 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(_read(spark, folder, "pages", schemas.PAGES), "page_id")
+    return _read(spark, folder, "pages", schemas.PAGES)
 
 
 def scan_benchmark(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,16 +106,13 @@ def scan_traces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def search_queries(spark: SparkSession, folder: str, words: int = 8) -> DataFrame:
-    """The first words of every benchmark passage, asked within one tenant."""
-    head = F.slice(
-        F.filter(F.split("text", r"\s+"), lambda t: t != ""), F.lit(1), F.lit(words)
-    )
+def search_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark passage as a question, whole, asked within one tenant."""
     return scan_benchmark(spark, folder).select(
         F.col("item_id").alias("query_id"),
         F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("tenant_id"),
-        F.lit("en").alias("lang"),
-        F.array_join(head, " ").alias("text"),
+        likely_language("text").alias("lang"),
+        "text",
     )
 
 

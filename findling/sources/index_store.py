@@ -1,151 +1,73 @@
-"""A published index: several tables that become visible together.
+"""The stored index: Parquet tables that Spark's own writers commit.
 
-Files of a commit go to a segment of their own in every table; one manifest row,
-written last, makes them visible. Readers take the list of segments from the
-manifest once and keep to it, so they see all tables of a commit or none.
-Publishing what ``read_index`` returns with ``mode="overwrite"`` merges segments.
+``chunks``: the rows of chunks with the vector beside the text, so that one write
+makes both visible or neither, laid out by tenant. ``postings`` and ``stats``:
+terms, laid out by a bucket of tenant and term, sorted within; a search that
+names terms reads the buckets they fall into.
+
+Every batch write goes to a folder of its own, so writers never meet; streams
+write through the Parquet file sink, whose log Spark keeps and reads. A reader
+names the folders it wants. Of a document uploaded again, ``newest_uploads``
+shows the last one only.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import types as T
 
-from findling import schemas
 from findling.operators.ingest import DEFAULT_DIM, embed_chunks
+from findling.operators.lexical import TERM_BUCKET, build_postings, search_stats, term_bucket
 
-DELETED = StructType([StructField("doc_id", LongType())])
-MANIFEST = "version bigint, mode string, segment string, batch_id bigint"
 
+def with_vectors(chunks: DataFrame, dim: int = DEFAULT_DIM, model=None) -> DataFrame:
+    """The chunks with ``embedding`` in the same row."""
+    return embed_chunks(chunks, dim, model, keys=tuple(chunks.columns))
 
-@dataclass(frozen=True)
-class Snapshot:
-    version: int
-    segments: tuple[str, ...]
-    chunks: DataFrame
-    vectors: DataFrame
 
+def store_chunks(chunks: DataFrame, base: str, dim: int = DEFAULT_DIM, model=None) -> str:
+    """Write chunks and vectors at once, to a fresh folder below ``base``; returns it."""
+    folder = f"{base}/chunks-{uuid.uuid4().hex}"
+    rows = with_vectors(chunks, dim, model).hint("rebalance", "tenant_id")
+    rows.write.mode("errorifexists").partitionBy("tenant_id").parquet(folder)
+    return folder
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(MANIFEST).json(f"{path}/manifest/*")
-    except AnalysisException:
-        return spark.createDataFrame([], MANIFEST)
 
+def read_chunks(spark: SparkSession, *folders: str) -> DataFrame:
+    """Stored chunks of one or more folders, each read by its own log or listing.
 
-@dataclass(frozen=True)
-class _State:
-    version: int
-    segments: tuple[str, ...]
-    deletes: tuple[str, ...]
-    batches: frozenset[int]
+    Tenants are text, also where the names of their folders look like numbers.
+    """
 
+    def one(folder: str) -> DataFrame:
+        found = spark.read.parquet(folder).schema
+        fields = [T.StructField(f.name, T.StringType()) if f.name == "tenant_id" else f for f in found]
+        return spark.read.schema(T.StructType(fields)).parquet(folder)
 
-def _state(spark: SparkSession, path: str) -> _State:
-    """Newest version, what is visible in it, and the batches already taken in.
+    return reduce(DataFrame.unionByName, [one(f) for f in folders])
 
-    One short row per commit comes to the driver, as file listings do.
-    """
-    rows = manifest(spark, path).orderBy("version").collect()
-    start = max([i for i, row in enumerate(rows) if row.mode == "overwrite"], default=0)
-    visible = rows[start:]
-    return _State(
-        rows[-1].version if rows else 0,
-        tuple(r.segment for r in visible if r.mode != "delete"),
-        tuple(r.segment for r in visible if r.mode == "delete"),
-        frozenset(r.batch_id for r in rows if r.batch_id is not None),
-    )
-
-
-def _commit(spark: SparkSession, path: str, version: int, mode: str, batch_id: int | None) -> None:
-    """The last step of every change. Two writers at the same version: the second fails."""
-    segment = f"{version:08d}"
-    row = spark.createDataFrame([(version, mode, segment, batch_id)], MANIFEST)
-    row.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest/{segment}")
-
-
-def _write(df: DataFrame, target: str) -> None:
-    """Laid out by tenant; the hint splits large tenants and merges small ones into fair files."""
-    df.hint("rebalance", "tenant_id").write.mode("overwrite").partitionBy("tenant_id").parquet(
-        target
-    )
-
-
-def _scan(spark: SparkSession, path: str, table: str, segments: tuple[str, ...], schema):
-    """One scan over all named segments."""
-    return (
-        spark.read.schema(StructType([*schema.fields, StructField("segment", StringType())]))
-        .option("basePath", f"{path}/{table}")
-        .parquet(*[f"{path}/{table}/segment={s}" for s in segments])
-    )
-
-
-def _read(spark: SparkSession, path: str, state: _State, table: str, schema) -> DataFrame:
-    """The visible rows, less those of documents deleted after they were written."""
-    if not state.segments:
-        return spark.createDataFrame([], schema)
-    rows = _scan(spark, path, table, state.segments, schema)
-    if state.deletes:
-        gone = _scan(spark, path, "deleted", state.deletes, DELETED).select(
-            F.col("doc_id").alias("gone_id"), F.col("segment").alias("gone_at")
-        )
-        later = (F.col("doc_id") == F.col("gone_id")) & (F.col("segment") < F.col("gone_at"))
-        rows = rows.join(gone, later, "left_anti")
-    return rows.drop("segment")
-
-
-def write_index(
-    chunks: DataFrame,
-    path: str,
-    mode: str = "append",
-    dim: int = DEFAULT_DIM,
-    model=None,
-    batch_id: int | None = None,
-) -> int:
-    """Publish chunks and their vectors at once; returns the new version.
-
-    A ``batch_id`` that was published before changes nothing. Vectors are made
-    from the written chunks, so a costly or unsteady model runs once per chunk.
-    """
-    if mode not in ("append", "overwrite"):
-        raise ValueError(f"mode must be 'append' or 'overwrite', not {mode!r}")
-    spark = chunks.sparkSession
-    state = _state(spark, path)
-    if batch_id is not None and batch_id in state.batches:
-        return state.version
-    version = state.version + 1
-    segment = f"{version:08d}"
-    _write(chunks, f"{path}/chunks/segment={segment}")
-    stored = _scan(spark, path, "chunks", (segment,), schemas.CHUNKS)
-    _write(embed_chunks(stored, dim, model), f"{path}/vectors/segment={segment}")
-    _commit(spark, path, version, mode, batch_id)
-    return version
-
-
-def delete_documents(doomed: DataFrame, path: str) -> int:
-    """Take documents out of all tables at once; returns the new version.
-
-    Only their ids are written. Readers leave their rows out, and the next
-    overwrite drops them for good. A document added again later is seen.
-    """
-    spark = doomed.sparkSession
-    version = _state(spark, path).version + 1
-    target = f"{path}/deleted/segment={version:08d}"
-    doomed.select("doc_id").write.mode("overwrite").parquet(target)
-    _commit(spark, path, version, "delete", None)
-    return version
-
-
-def read_index(spark: SparkSession, path: str) -> Snapshot:
-    """The newest published state; later commits do not show in it."""
-    state = _state(spark, path)
-    return Snapshot(
-        state.version,
-        state.segments,
-        _read(spark, path, state, "chunks", schemas.CHUNKS),
-        _read(spark, path, state, "vectors", schemas.VECTORS),
-    )
+
+def newest_uploads(chunks: DataFrame) -> DataFrame:
+    """The chunks of each document's newest upload; the same upload delivered twice counts once."""
+    newest = chunks.groupBy("tenant_id", "doc_id").agg(F.max("uploaded_at").alias("uploaded_at"))
+    kept = chunks.join(newest, ["tenant_id", "doc_id", "uploaded_at"], "left_semi")
+    return kept.dropDuplicates(["tenant_id", "chunk_id"])
+
+
+def store_terms(chunks: DataFrame, base: str) -> tuple[str, str]:
+    """Write postings and statistics of stored chunks; returns their folders."""
+    spark, name = chunks.sparkSession, uuid.uuid4().hex
+    postings, stats = f"{base}/postings-{name}", f"{base}/stats-{name}"
+
+    def write(df: DataFrame, folder: str) -> None:
+        rows = df.withColumn(TERM_BUCKET, term_bucket()).hint("rebalance", TERM_BUCKET)
+        rows = rows.sortWithinPartitions(TERM_BUCKET, "tenant_id", "term")
+        rows.write.mode("errorifexists").partitionBy(TERM_BUCKET).parquet(folder)
+
+    write(build_postings(chunks), postings)
+    write(search_stats(spark.read.parquet(postings), chunks), stats)
+    return postings, stats

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from findling.operators import ingest, tenancy
 from findling.sources import documents as src
+from findling.plans import hybrid
 from findling.sources import index_store
 
 SCHEMA = "tenant_id string, doc_id bigint, lang string, text string"
@@ -130,33 +131,51 @@ def test_embedding_model_plugs_in(spark):
     assert got == {0: [4.0, 1.0], 1: [3.0, 1.0]}
 
 
-def test_index_shows_whole_commits_only(spark, tmp_path):
-    path = str(tmp_path / "index")
-    first = ingest.chunk_fixed(docs_of(spark, words(600), "b c"))
-    assert index_store.read_index(spark, path).version == 0
-    assert index_store.write_index(first, path, dim=8, batch_id=5) == 1
-    pinned = index_store.read_index(spark, path)
-    assert index_store.write_index(first, path, dim=8, batch_id=5) == 1  # seen before
-    other = first.withColumn("tenant_id", F.lit("u"))
-    assert index_store.write_index(other, path, dim=8) == 2
-    assert pinned.chunks.count() == pinned.vectors.count() == 3
-    both = index_store.read_index(spark, path)
-    assert both.chunks.count() == both.vectors.count() == 6
-    # A segment whose manifest row is missing is not seen.
-    other.write.partitionBy("tenant_id").parquet(f"{path}/chunks/segment=00000009")
-    assert index_store.read_index(spark, path).segments == both.segments
-    assert index_store.write_index(other, path, mode="overwrite", dim=8) == 3
-    assert index_store.read_index(spark, path).chunks.count() == 3
-    doomed = spark.createDataFrame([(0,), (77,)], "doc_id bigint")
-    assert index_store.delete_documents(doomed, path) == 4
-    left = index_store.read_index(spark, path)
-    assert {r.doc_id for r in left.chunks.collect()} == {r.doc_id for r in left.vectors.collect()} == {1}
-    assert index_store.write_index(other, path, dim=8) == 5  # document 0 comes back
-    again = index_store.read_index(spark, path).chunks.groupBy("doc_id").count().collect()
-    assert {r.doc_id: r["count"] for r in again} == {0: 2, 1: 2}
-    assert pinned.chunks.count() == 3
-    plan = index_store.read_index(spark, path).chunks.filter("tenant_id = 'u'")
-    assert "PartitionFilters: [isnotnull(tenant_id" in plan._jdf.queryExecution().toString()
+def stored(spark, docs, base, dim=8):
+    return index_store.store_chunks(ingest.chunk_fixed(docs), base, dim)
+
+
+def test_chunks_and_vectors_are_one_write(spark, tmp_path):
+    base = str(tmp_path / "index")
+    docs = docs_of(spark, words(600), "b c").withColumn("uploaded_at", F.lit(datetime(2024, 1, 1)))
+    one, two = stored(spark, docs, base), stored(spark, docs.withColumn("tenant_id", F.lit("007")), base)
+    assert one != two  # a second writer gets a folder of its own
+    seen = index_store.read_chunks(spark, one)
+    assert seen.count() == 3 and seen.filter("size(embedding) <> 8").count() == 0
+    both = index_store.read_chunks(spark, one, two)
+    assert {r.tenant_id for r in both.select("tenant_id").collect()} == {"t", "007"}
+    plan = both.filter("tenant_id = '007'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan
+
+
+def test_a_document_uploaded_again_shows_once(spark, tmp_path):
+    base = str(tmp_path / "index")
+    at = [F.lit(datetime(2024, 1, day)) for day in (1, 2)]
+    old = docs_of(spark, words(600), "b c").withColumn("uploaded_at", at[0])
+    new = docs_of(spark, words(100)).withColumn("uploaded_at", at[1])
+    folders = [stored(spark, d, base) for d in (old, new, new)]
+    seen = index_store.newest_uploads(index_store.read_chunks(spark, *folders)).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in seen) == [(0, 100), (1, 2)]
+
+
+def test_deletes_stay_within_their_tenant(spark):
+    docs = docs_of(spark, "a", "b").unionByName(docs_of(spark, "c").withColumn("tenant_id", F.lit("u")))
+    doomed = spark.createDataFrame([("u", 0), ("u", 1)], "tenant_id string, doc_id bigint")
+    left, chunks = ingest.cascade_delete(docs, ingest.chunk_fixed(docs), doomed)
+    for rows in (left, chunks):
+        assert sorted((r.tenant_id, r.doc_id) for r in rows.collect()) == [("t", 0), ("t", 1)]
+
+
+def test_search_of_a_stored_index_reads_no_text_before_the_rerank(spark, tmp_path):
+    docs = docs_of(spark, "alpha beta gamma", "beta delta", "omega")
+    folders = hybrid.build_index(ingest.chunk_fixed(docs), str(tmp_path / "index"), 8)
+    index = hybrid.open_index(spark, folders, 8)
+    asked = spark.createDataFrame([(1, "t", "en", "beta delta")], "query_id bigint, tenant_id string, lang string, text string")
+    for route in (hybrid.dense_route, hybrid.lexical_route):
+        plan = route(asked, index, 5)._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema" in plan and "text:string" not in plan
+    hits = hybrid.hybrid_search(asked, index, 2).collect()
+    assert [r.chunk_id for r in sorted(hits, key=lambda r: r.rank)][0] == "1:0"
 
 
 def test_tenant_view_refuses(spark):
@@ -170,10 +189,12 @@ def test_tenant_view_refuses(spark):
 
 
 def test_audit_counts_leaks(spark):
-    hits = spark.createDataFrame([(1, "a"), (1, "b")], "query_id bigint, chunk_id string")
-    chunks = spark.createDataFrame([("a", "t"), ("b", "u")], "chunk_id string, tenant_id string")
+    rows = [(1, "a"), (1, "b"), (1, "unknown"), (9, "a"), (1, "nobody's")]
+    hits = spark.createDataFrame(rows, "query_id bigint, chunk_id string")
+    owners = [("a", "t"), ("b", "u"), ("nobody's", None)]
+    chunks = spark.createDataFrame(owners, "chunk_id string, tenant_id string")
     asked = spark.createDataFrame([(1, "t")], "query_id bigint, tenant_id string")
-    assert tuple(tenancy.isolation_audit(hits, chunks, asked).first()) == (2, 1)
+    assert tuple(tenancy.isolation_audit(hits, chunks, asked).first()) == (5, 4)
 
 
 def test_files_are_read_as_bytes(spark, tmp_path):

@@ -130,15 +130,67 @@ def test_admission_equals_its_model(spark):
 
 
 def test_stream_ingest_twice_changes_nothing(spark, tmp_path):
-    out, checkpoint = str(tmp_path / "index"), str(tmp_path / "checkpoint")
+    limit = ingest.MAX_UPLOAD_BYTES
     for _ in range(2):
-        jobs.stream_ingest(spark, FOLDER, out, checkpoint, dim=8).awaitTermination()
-    snapshot = index_store.read_index(spark, out)
-    assert snapshot.version == 1
+        for start, name in ((jobs.stream_ingest, "chunks"), (jobs.stream_statuses, "statuses")):
+            docs = jobs.stream_documents(spark, FOLDER)
+            start(docs, str(tmp_path / name), str(tmp_path / f"{name}-log"), limit).awaitTermination()
     docs = src.scan_documents(spark, FOLDER)
-    fit = ingest.validate_uploads(docs, 10_000_000).filter("status = 'PENDING'")
+    fit = ingest.validate_uploads(docs, limit).filter("status = 'PENDING'")
     want = ingest.chunk_fixed(fit).select("chunk_id", F.md5("text"))
-    got = snapshot.chunks.select("chunk_id", F.md5("text"))
+    chunks = index_store.read_chunks(spark, str(tmp_path / "chunks"))
+    got = chunks.select("chunk_id", F.md5("text"))
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
-    status = {r.status for r in jobs.ingested_status(spark, docs, out).collect()}
-    assert status == {"READY", "PENDING"}
+    seen = jobs.ingested_status(index_store.read_chunks(spark, str(tmp_path / "statuses")), chunks)
+    states = {r.status: r.n for r in seen.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    assert sum(states.values()) == docs.count() and set(states) == {"READY", "REJECTED"}
+    assert seen.filter("status = 'REJECTED' AND reason IS NULL").count() == 0
+
+
+def files_in_turn(spark, tmp_path, name, parts, schema):
+    """Write each of ``parts`` as one file, to be read in this order."""
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(parts):
+        part = spark.createDataFrame(rows, schema)
+        part.coalesce(1).write.parquet(str(tmp_path / f"made{i}"))
+        made = next(f for f in os.listdir(tmp_path / f"made{i}") if f.endswith(".parquet"))
+        os.link(tmp_path / f"made{i}" / made, tmp_path / "in" / f"{name}{i}.parquet")
+        os.utime(tmp_path / "in" / f"{name}{i}.parquet", (1000 + i, 1000 + i))
+
+
+def test_two_streams_are_read_together(spark, tmp_path):
+    doc = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    files_in_turn(spark, tmp_path, "documents", [[(1, "a b", "en", "s", 3)], [(2, "c", "en", "s", 1)]], doc)
+    folders = []
+    for i in range(2):
+        docs = jobs.stream_documents(spark, str(tmp_path / "in"), f"documents{i}.parquet")
+        folders.append(str(tmp_path / f"out{i}"))
+        jobs.stream_ingest(docs, folders[-1], str(tmp_path / f"log{i}"), 100, dim=8).awaitTermination()
+    assert {r.doc_id for r in index_store.read_chunks(spark, *folders).collect()} == {1, 2}
+
+
+def test_retention_follows_the_newest_upload(spark, tmp_path):
+    """Document 1 comes again on day 3, together with an older copy; later files move the time on."""
+    schema = "doc_id bigint, tenant_id string, day int"
+    parts = [[(1, "a", 0)], [(1, "a", 3), (1, "a", 2)], [(2, "a", 8)], [(3, "a", 11)]]
+    files_in_turn(spark, tmp_path, "uploads", parts, schema)
+    raw = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "uploads*.parquet")
+        .option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    )
+    days = raw.withColumn("uploaded_at", F.lit(START) + F.make_dt_interval(F.col("day")))
+    out = jobs.run_available(jobs.stream_retention(days), "retention").collect()
+    assert [(r.doc_id, r.expires_at) for r in out] == [(1, START + timedelta(days=10))]
+
+
+def test_admission_over_several_files(spark, tmp_path):
+    """A user's list outlives the batch, and is gone once it cannot matter any more."""
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    row = lambda i, h: (i, START + timedelta(hours=h), 1, "view", 1.0, "{}")
+    parts = [[row(1, 0), row(2, 1)], [row(3, 2), row(4, 7)], [row(5, 90)], [row(6, 91)]]
+    files_in_turn(spark, tmp_path, "events", parts, schema)
+    stream = jobs.stream_events(spark, str(tmp_path / "in"), max_files=1)
+    out = jobs.run_available(jobs.stream_admission(stream, 2, 6 * 3600), "admission").collect()
+    assert {r.event_id: r.admitted for r in out} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True}
+
+
