@@ -20,6 +20,7 @@ from findling.session import written
 
 BLOCK_BITS = 32768  # the width of Spark's bitmaps: 4096 bytes
 BITS_PER_ROW = 32
+SALTS = 16  # parts that the rows of one text are split into where they meet
 BROADCAST_BLOCKS = 16384  # 64 MB; a larger filter is joined by a shuffle of slim rows
 
 
@@ -109,8 +110,12 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     groups = counted.groupBy("text_sha256").agg(
         F.max("doc_id").alias("keep_id"), F.sum("__copies").alias("group_size")
     )
+    # A group may hold a third of all rows: they are dealt over salts, to each of
+    # which the group's one line is copied.
+    salted = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = (
-        counted.join(groups, "text_sha256")
+        counted.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["text_sha256", "__salt"])
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
         .select(
             "doc_id",
