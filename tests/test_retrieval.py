@@ -176,3 +176,15 @@ def test_rerank_default_and_model(spark):
     longest = lambda asked, texts: np.array([float(len(t)) for t in texts])
     rows = fusion.rerank(q, pool, chunks, longest, k=1).collect()
     assert [r.chunk_id for r in rows] == ["0:0"]
+
+
+def test_the_rarest_pair_of_a_pattern_is_its_anchor(spark):
+    texts = [(i, f"x of the common words {i} of the end") for i in range(200)]
+    texts += [(1000, "so say of the common rare pair of the end now")]
+    asked = [(1, "say of the common rare pair of the end"), (2, "a of the never met b"), (3, "of the common words")]
+    tt = spark.createDataFrame(texts, "t bigint, text string")
+    pt = spark.createDataFrame(asked, "p bigint, text string")
+    found = containment.candidate_pairs(pt, tt, "p", "t").groupBy("_p").count().collect()
+    assert {r._p: r["count"] for r in found} == {1: 1, 3: 201}
+    got = containment.containment_pairs(pt, tt, "p", "t").collect()
+    assert {(r.p, r.t, r["at"]) for r in got} == {(1, 1000, 4)} | {(3, i, 3) for i in range(200)}
