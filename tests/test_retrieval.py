@@ -188,3 +188,15 @@ def test_the_rarest_pair_of_a_pattern_is_its_anchor(spark):
     assert {r._p: r["count"] for r in found} == {1: 1, 3: 201}
     got = containment.containment_pairs(pt, tt, "p", "t").collect()
     assert {(r.p, r.t, r["at"]) for r in got} == {(1, 1000, 4)} | {(3, i, 3) for i in range(200)}
+
+
+def test_questions_go_to_the_blocks_of_their_tenant(spark):
+    vec = F.array(F.rand(1), F.rand(2))
+    side = lambda n, key: spark.range(n).select(
+        (F.col("id") % 1000).cast("string").alias("tenant"), F.col("id").alias(key), vec.alias("vec")
+    )
+    hot = spark.range(400).select(F.lit("7").alias("tenant"), (F.col("id") + 10**6).alias("v"), vec.alias("vec"))
+    asked, stored = side(1000, "q"), side(3000, "v").unionByName(hot)
+    left, right = dense.tenant_blocks(asked, stored, 10_000, 80 * 20)
+    assert left.count() < 1100 and right.count() == 3400
+    assert left.filter("tenant = '7'").count() == 21  # 403 vectors, 20 a block
