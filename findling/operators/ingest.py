@@ -6,7 +6,9 @@ moves text, and one very long document costs one row, not one task per key.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -206,19 +208,23 @@ def document_of(chunk_id: Column) -> Column:
     return F.substring_index(chunk_id, ":", 1).cast("bigint")
 
 
+@lru_cache(maxsize=1 << 18)
+def _hashed(word: str) -> tuple[int, int]:
+    """Hash and sign of a word; kept across the batches of a task."""
+    digest = hashlib.md5(word.encode()).hexdigest()
+    return int(digest[:8], 16), 1 - 2 * (int(digest[8], 16) % 2)
+
+
 def feature_hash(tokens: pa.ListArray, dim: int) -> np.ndarray:
     """Signed token counts per md5 bucket, scaled to unit length, one row per list.
 
-    Each distinct token of the batch is hashed once.
+    Each distinct token of the batch is looked up once.
     """
-    import hashlib
-
     offsets = tokens.offsets.to_numpy()
     rows = np.repeat(np.arange(len(tokens)), np.diff(offsets))
     words = tokens.flatten().dictionary_encode()
-    digests = [hashlib.md5(w.encode()).hexdigest() for w in words.dictionary.to_pylist()]
-    bucket = np.fromiter((int(d[:8], 16) % dim for d in digests), np.int64, len(digests))
-    sign = np.fromiter((1 - 2 * (int(d[8], 16) % 2) for d in digests), np.int64, len(digests))
+    known = np.array([_hashed(w) for w in words.dictionary.to_pylist()], np.int64).reshape(-1, 2)
+    bucket, sign = known[:, 0] % dim, known[:, 1]
     codes = words.indices.to_numpy(zero_copy_only=False)
     cells = np.bincount(
         rows * dim + bucket[codes], weights=sign[codes], minlength=len(tokens) * dim

@@ -23,7 +23,9 @@ def tokenize(df: DataFrame, key: str, text: str = "text", lang: str = "lang") ->
 
     Positions are counted before stop words are dropped.
     """
-    rows = df.select(key, lang, F.posexplode(word_tokens(F.col(text))).alias("pos", "term"))
+    # A plain explode would test the array for emptiness first, and split every text twice.
+    words = F.posexplode_outer(word_tokens(F.col(text))).alias("pos", "term")
+    rows = df.select(key, lang, words).filter("pos IS NOT NULL")
     return rows.filter(~is_stop_word("term", lang)).select(key, "pos", "term")
 
 
