@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from findling.operators import ingest, limits, metrics
+from findling.operators import ingest, limits, metrics, selection
 from findling.operators.selection import exact_percentiles
 from findling.sources import documents as src
 from findling.sources import index_store
@@ -30,10 +30,24 @@ def test_percentiles_are_exact(spark, shape):
     rows = [("a", float(v)) for v in values] + [("b", 5.0), ("b", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     points = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", points).collect()}
-    for name, q in points.items():
-        assert got["a"][name] == pytest.approx(float(np.quantile(values, q)), rel=1e-12, abs=1e-12)
-        assert got["b"][name] == 5.0
+    for most in (1_000_000, 40):  # the second has every bracket narrowed
+        got = {r.g: r for r in exact_percentiles(df, ["g"], "v", points, most).collect()}
+        for name, q in points.items():
+            assert got["a"][name] == pytest.approx(float(np.quantile(values, q)), rel=1e-12, abs=1e-12)
+            assert got["b"][name] == 5.0
+
+
+def test_a_rank_outside_its_bracket_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(selection, "SMALL", 0)
+    monkeypatch.setattr(
+        selection, "_first_brackets",
+        lambda data, keys, points: data.groupBy(*keys).agg(
+            F.count("*").alias("_n"), F.lit(0.0).alias("_low_p50"), F.lit(1.0).alias("_high_p50")
+        ),
+    )
+    df = spark.range(100).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
+    with pytest.raises(Exception, match="outside its bracket"):
+        exact_percentiles(df, ["g"], "v", {"p50": 0.5}).collect()
 
 
 def test_sketched_latency_is_close(spark):
