@@ -217,6 +217,15 @@ def query_terms(parsed: DataFrame) -> DataFrame:
     )
 
 
+def in_asked_buckets(stored: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``stored`` cut to the folders that the asked terms fall into; at most ``BUCKETS``
+    numbers come to the driver. A table not laid out by bucket stays as it is."""
+    if TERM_BUCKET not in stored.columns:
+        return stored
+    asked = asked_terms(parsed).select(term_bucket().alias("b")).distinct().collect()
+    return stored.filter(F.col(TERM_BUCKET).isin([r.b for r in asked]))
+
+
 def _placed(terms: DataFrame, postings: DataFrame) -> tuple[DataFrame, list[str]]:
     """Asked terms with the bucket they are stored in, if the postings have any, and the keys
     to meet them by: only the buckets that occur are then read."""

@@ -60,7 +60,8 @@ def dense_route(queries: DataFrame, index: Index, k: int) -> DataFrame:
 
 def lexical_route(queries: DataFrame, index: Index, k: int, match: str = "any") -> DataFrame:
     parsed = lexical.parse_websearch(queries)
-    return lexical.bm25_topk(parsed, index.postings, index.stats, k, match)
+    tables = [lexical.in_asked_buckets(t, parsed) for t in (index.postings, index.stats)]
+    return lexical.bm25_topk(parsed, *tables, k, match)
 
 
 def hybrid_search(queries: DataFrame, index: Index, k: int = 5, pool: int = 20) -> DataFrame:

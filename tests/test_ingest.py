@@ -174,6 +174,8 @@ def test_search_of_a_stored_index_reads_no_text_before_the_rerank(spark, tmp_pat
     for route in (hybrid.dense_route, hybrid.lexical_route):
         plan = route(asked, index, 5)._jdf.queryExecution().executedPlan().toString()
         assert "ReadSchema" in plan and "text:string" not in plan
+    plan = hybrid.lexical_route(asked, index, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "term_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     hits = hybrid.hybrid_search(asked, index, 2).collect()
     assert [r.chunk_id for r in sorted(hits, key=lambda r: r.rank)][0] == "1:0"
 
