@@ -247,9 +247,8 @@ def phrase_blocks(benchmark: DataFrame) -> Iterator[Phrases]:
 
 def find_spans(docs: DataFrame, benchmark: DataFrame) -> list[DataFrame]:
     """Per block of phrases ``doc_id, n_words, spans, byte_spans, items``."""
-    blocks = list(phrase_blocks(benchmark))
-    empty = make_phrases([], [])
-    return [_pass(docs, b, ["doc_id"], "") for b in blocks or [empty]]
+    passes = [_pass(docs, block, ["doc_id"], "") for block in phrase_blocks(benchmark)]
+    return passes or [_pass(docs, make_phrases([], []), ["doc_id"], "")]
 
 
 

@@ -54,36 +54,55 @@ def shingles(text: bytes, n: int = WORDS) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(n)))))
 
 
-def _majorities(digests: list[bytes], sizes: list[int]) -> np.ndarray:
-    """Fingerprints of texts that have ``sizes`` hashes each, in order; none gives zero."""
+def _bits(runs: list[bytes]) -> np.ndarray:
+    digests = b"".join(xxh64_digest(r, SEED) for r in runs)
+    return np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+
+
+def _majorities(runs: list[bytes], sizes: list[int]) -> np.ndarray:
+    """Fingerprints of texts that have ``sizes`` of the ``runs`` each, in order; none gives zero."""
     out = np.zeros(len(sizes), np.uint64)
     counts = np.array(sizes, np.int64)
     filled = np.nonzero(counts)[0]
     if len(filled):
-        bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
         starts = np.concatenate([[0], np.cumsum(counts[filled])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        ones = np.add.reduceat(_bits(runs), starts, axis=0, dtype=np.int64)
         packed = np.packbits(2 * ones > counts[filled, None], axis=1)
         out[filled] = packed.view(">u8")[:, 0]
     return out
 
 
+def _long_majority(runs: list[bytes], most: int) -> np.ndarray:
+    """The same of one long text, ``most`` hashes at a time."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(runs), most):
+        ones += _bits(runs[at : at + most]).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(runs)).view(">u8").astype(np.uint64)
+
+
+def fingerprints_of(texts: Iterator[bytes], most: int = SHINGLES_AT_ONCE) -> np.ndarray:
+    """The majority of each bit over the hashes of all shingles, text by text."""
+    parts, waiting, sizes = [np.zeros(0, np.uint64)], [], []
+    for text in texts:
+        runs = shingles(text)
+        if len(waiting) + len(runs) > most:
+            parts.append(_majorities(waiting, sizes))
+            waiting, sizes = [], []
+        if len(runs) > most:
+            parts.append(_long_majority(runs, most))
+        else:
+            waiting += runs
+            sizes.append(len(runs))
+    return np.concatenate([*parts, _majorities(waiting, sizes)])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the majority of each bit over the XXH64 of all shingles of a text."""
+    """``doc_id, fp``: the fingerprint of every whole text, as a signed number."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, digests, sizes, waiting = [], [], [], 0
-            for value in batch.column("text").cast(pa.large_binary()):
-                runs = shingles(value.as_py() or b"")
-                digests += [xxh64_digest(r, SEED) for r in runs]
-                sizes.append(len(runs))
-                waiting += len(runs)
-                if waiting >= SHINGLES_AT_ONCE:
-                    parts.append(_majorities(digests, sizes))
-                    digests, sizes, waiting = [], [], 0
-            parts.append(_majorities(digests, sizes))
-            fp = np.concatenate(parts).view(np.int64)
+            texts = (t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary()))
+            fp = fingerprints_of(texts).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))

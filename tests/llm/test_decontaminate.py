@@ -4,11 +4,13 @@ import random
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from findling.llm import decontamination as dc
 from findling.llm import fm_index
+from findling.llm.common import flat_texts
 
 DOC = "doc_id bigint, text string, lang string"
 
@@ -84,10 +86,19 @@ def test_small_shards_and_many_blocks(tables, monkeypatch):
     docs, benchmark, items = tables
     monkeypatch.setattr(dc, "BLOCK_BYTES", 60)
     monkeypatch.setattr(dc, "SHARD_BYTES", 100)
-    monkeypatch.setattr(dc, "LOCATE_AT_ONCE", 7)
     check(dc.report(docs, benchmark), docs, items)
 
 
+def test_occurrences_located_a_few_at_a_time(tables, monkeypatch):
+    docs, _, items = tables
+    phrases = dc.make_phrases(*map(list, zip(*[(i, t or "") for i, t in items])))
+    flat, offsets = flat_texts(pa.array([r.text for r in docs.collect()]))
+    whole = dc.shard_hits(flat, offsets, phrases)
+    monkeypatch.setattr(dc, "LOCATE_AT_ONCE", 7)
+    few = dc.shard_hits(flat, offsets, phrases)
+    assert (whole.spans, whole.items) == (few.spans, few.items) and sum(map(len, few.spans)) > 10
+
+
 def test_clean_and_cut(tables):
     docs, benchmark, items = tables
     odd = docs.withColumn("spans", F.lit("s")).withColumn("items", F.array(F.lit(1)))

@@ -83,6 +83,13 @@ def test_fingerprints_and_components(docs):
     assert len(set(parts.values())) < len(rows) - 30
 
 
+def test_fingerprints_of_pieces():
+    texts = ["", "a", words(1, 2), words(2, 3), words(3, 50), "", words(4, 9), words(5, 400), "É é", words(6, 7)]
+    want = [plain.fingerprint(t) for t in texts]
+    for most in (1, 5, 60, 10_000):
+        assert simhash.fingerprints_of((t.encode() for t in texts), most).tolist() == want
+
+
 def test_random_fingerprints_lose_no_link(spark):
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(60)]

@@ -58,6 +58,13 @@ def test_language_of_odd_rows(odd):
     assert not {1, 2, 3} & {r.doc_id for r in kept.collect()}
 
 
+def test_language_without_anything_to_learn_from(odd):
+    blank = odd.withColumn("lang", F.lit(None).cast("string"))
+    got = langid.identify(blank.select("doc_id", "text"), langid.fit(blank), "doc_id").collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
+    assert {r.doc_id for r in got if not r.accepted} == {1, 2, 3}
+
+
 def test_language_rejects_what_is_like_nothing_learned(spark, docs):
     rows = [(10_000 + k, "zqxj wvkq jjxq " * 50, "en", "s", 5) for k in range(3)]
     junk = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
