@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 def framed(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -20,22 +22,33 @@ def framed(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, starts
 
 
-def gram_buckets(out: np.ndarray, starts: np.ndarray, n: int, bits: int):
-    """Bucket and text number of every run of ``n`` bytes within a framed text; n up to 7."""
-    size = min(len(out) - n + 1, int(starts[-1]))
-    if size <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = np.full(size, n, np.uint64)
-    for k in range(n):
-        code <<= np.uint64(8)
-        code |= out[k : k + size]
-    code *= MULTIPLIER
-    code >>= np.uint64(64 - bits)
-    of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:size]
+def gram_buckets(
+    out: np.ndarray, starts: np.ndarray, orders: tuple[int, ...], bits: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """``n`` and the bucket at every place for each of ``orders``, which ascend up to 7.
+
+    Runs that leave their text are among them; ``leaving`` names their places.
+    """
+    end = int(starts[-1])
+    wide = orders[-1] > 3
+    kind = np.uint64 if wide else np.uint32
+    factor = kind(MULTIPLIER) if wide else kind(MULTIPLIER >> 32 | 1)
+    shift = kind((64 if wide else 32) - bits)
+    code = out.astype(kind)
+    for n in range(1, orders[-1] + 1):
+        if n > 1:
+            code = code[:-1] << kind(8)
+            code |= out[n - 1 :]
+        if n in orders:
+            tagged = code[:end] + kind(n << 8 * min(n, 7 if wide else 3))
+            tagged *= factor
+            tagged >>= shift
+            yield n, tagged
+
+
+def leaving(starts: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Places from which a run of ``n`` bytes reaches into the text after the next blank."""
     if n < 3:
-        return code.astype(np.int64), of
-    across = np.zeros(len(out), bool)  # runs that begin in one text and end in the next
-    for k in range(1, n - 1):
-        across[np.maximum(starts[1:] - k, 0)] = True
-    inside = ~across[:size]
-    return code[inside].astype(np.int64), of[inside]
+        return np.zeros(0, np.int64)
+    at = (starts[1:, None] - np.arange(1, n - 1)[None, :]).ravel()
+    return np.unique(at[(at >= 0) & (at < size)])

@@ -35,8 +35,8 @@ LENGTH_BINS = 24  # powers of two of a text's number of n-grams
 REJECT_SHARE = 0.001  # of training texts of a length lie below the floor before the slack
 REJECT_SLACK = 0.5
 UNKNOWN = "und"
-PIECE_BYTES = 4 << 20
-ROWS = 512
+PIECE_BYTES = 512 << 10
+ROWS = 256
 
 #: Bytes that are no part of a letter become blanks: digits, punctuation, control characters.
 FOLD = LOWER.copy()
@@ -56,13 +56,16 @@ class Model:
 
 def _counts(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts x buckets: how often each n-gram bucket occurs."""
-    n = len(offsets) - 1
+    n_texts = len(offsets) - 1
     out, starts = grams.framed(FOLD[flat], offsets)
-    total = np.zeros(n * SIZE, np.int64)
-    for order in ORDERS:
-        bucket, of = grams.gram_buckets(out, starts, order, BITS)
-        total += np.bincount(of << BITS | bucket, minlength=n * SIZE)
-    return total.reshape(n, SIZE)
+    row = np.repeat(np.arange(n_texts, dtype=np.int64) * SIZE, np.diff(starts))
+    total = np.zeros(n_texts * SIZE, np.int64)
+    for n, bucket in grams.gram_buckets(out, starts, ORDERS, BITS):
+        cells = row[: len(bucket)] + bucket
+        total += np.bincount(cells, minlength=len(total))
+        left = grams.leaving(starts, n, len(bucket))
+        np.subtract.at(total, cells[left], 1)
+    return total.reshape(n_texts, SIZE)
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:

@@ -36,7 +36,7 @@ BITS = 18
 FEATURES = 2048
 SAMPLE = 8_000  # labelled texts the linear classifier is fitted on, at most half of each class
 THRESHOLD = 0.7
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 256 << 10
 SMALL_LABELS = 2_000_000
 SMOOTHING = 1.0
 PENALTY = 1.0  # on the squared weights, against the summed loss
@@ -69,20 +69,37 @@ def characters(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return FOLD[codes[~lead]], before[offsets]
 
 
-def text_buckets(flat: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None):
-    """Distinct ``(text number, bucket)`` of the texts, ordered; only ``wanted`` buckets."""
+def wanted_buckets(flat: np.ndarray, offsets: np.ndarray, wanted: np.ndarray):
+    """Distinct ``(text number, bucket)`` among the ``wanted`` buckets, ordered."""
     out, starts = grams.framed(*characters(flat, offsets))
     keys = []
-    for n in ORDERS:
-        bucket, of = grams.gram_buckets(out, starts, n, BITS)
-        if wanted is not None:
-            kept = wanted[bucket]
-            bucket, of = bucket[kept], of[kept]
-        keys.append(np.unique(of << BITS | bucket))
-    keys = np.unique(np.concatenate(keys))
+    for n, bucket in grams.gram_buckets(out, starts, ORDERS, BITS):
+        place = np.flatnonzero(wanted[bucket])
+        of = np.searchsorted(starts, place, side="right") - 1
+        inside = place + n - 1 <= starts[of + 1]
+        keys.append(of[inside] << BITS | bucket[place[inside]].astype(np.int64))
+    keys = np.sort(np.concatenate(keys))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
+def count_present(flat: np.ndarray, offsets: np.ndarray, kind: np.ndarray, totals: np.ndarray):
+    """Add to ``totals[kind of the text]`` one for each bucket that a text holds."""
+    out, starts = grams.framed(*characters(flat, offsets))
+    by_order = []
+    for n, bucket in grams.gram_buckets(out, starts, ORDERS, BITS):
+        bucket = bucket.astype(np.int32)
+        bucket[grams.leaving(starts, n, len(bucket))] = 1 << BITS  # counted nowhere
+        by_order.append(bucket)
+    held = np.zeros((1 << BITS) + 1, bool)
+    for k in range(len(starts) - 1):
+        for bucket in by_order:
+            held[bucket[starts[k] : starts[k + 1]]] = True
+        present = np.flatnonzero(held[:-1])
+        totals[kind[k], present] += 1
+        held[present], held[-1] = False, False
+
+
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Training texts ``doc_id, text, toxic``, without the held-out fold."""
     known = (
@@ -108,10 +125,8 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             totals[1, -1] += toxic.sum()
             for first, last in pieces(offsets, PIECE_BYTES):
                 part = offsets[first : last + 1]
-                of, bucket = text_buckets(flat[part[0] : part[-1]], part - part[0])
-                for c in (0, 1):
-                    chosen = bucket[toxic[first:last][of] == bool(c)]
-                    totals[c, :-1] += np.bincount(chosen, minlength=1 << BITS)
+                kind = toxic[first:last].astype(np.int64)
+                count_present(flat[part[0] : part[-1]], part - part[0], kind, totals)
         seen = np.nonzero(totals.sum(0))[0]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.where(seen == 1 << BITS, -1, seen)), pa.array(totals[1, seen]),
@@ -154,7 +169,7 @@ def _sample(labelled: DataFrame, wanted: np.ndarray, share: dict[int, float]):
             flat, offsets = flat_texts(batch.column("text"))
             for first, last in pieces(offsets, PIECE_BYTES):
                 part = offsets[first : last + 1]
-                of, bucket = text_buckets(flat[part[0] : part[-1]], part - part[0], wanted)
+                of, bucket = wanted_buckets(flat[part[0] : part[-1]], part - part[0], wanted)
                 ends = np.searchsorted(of, np.arange(last - first + 1))
                 lists = pa.ListArray.from_arrays(
                     pa.array(ends, pa.int32()), pa.array(bucket, pa.int32())
@@ -256,7 +271,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             margin = np.full(batch.num_rows, bias)
             for first, last in pieces(offsets, PIECE_BYTES):
                 part = offsets[first : last + 1]
-                of, bucket = text_buckets(flat[part[0] : part[-1]], part - part[0], wanted)
+                of, bucket = wanted_buckets(flat[part[0] : part[-1]], part - part[0], wanted)
                 margin[first:last] += np.bincount(
                     of, weights=weights[bucket], minlength=last - first
                 )
