@@ -8,8 +8,9 @@ with the largest cosine, and is accepted unless it lies further away than
 nearly all training texts of a like length do from theirs.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
-and is not accepted. Without training texts everything is ``und``. Ties go to
-the language that is first by name. An empty table gives an empty table.
+and is not accepted. Without training texts everything is ``und``, and whatever
+has a letter is accepted, as there is nothing to be far from. Ties go to the
+language that is first by name. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findling.llm import grams
@@ -30,7 +31,7 @@ ORDERS = (1, 2, 3)
 BITS = 12
 SIZE = 1 << BITS
 CENTROIDS = 3
-SAMPLE = 2400  # training texts that the centroids are clustered on, shared by the languages
+SAMPLE = 2400  # training texts the centroids are clustered on, shared by the languages, 20 each at least
 LENGTH_BINS = 24  # powers of two of a text's number of n-grams
 REJECT_SHARE = 0.001  # of training texts of a length lie below the floor before the slack
 REJECT_SLACK = 0.5
@@ -127,15 +128,17 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def _sample(texts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and n-gram counts of each language's texts of least hash."""
-    per_language = SAMPLE // max(1, texts.select("lang").distinct().count())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    least = (
-        texts.select("doc_id", "lang")
-        .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= max(1, per_language))
-        .select("doc_id", "lang")
+    """Languages and n-gram counts of a hash sample, about as many texts of each language.
+
+    Only the number of texts of each language reaches the driver before.
+    """
+    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
+    if not sizes:
+        return [], np.zeros((0, SIZE), np.int32)
+    share = F.create_map(
+        *[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max(20, SAMPLE / len(sizes)) / n))]
     )
+    coin = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +149,7 @@ def _sample(texts: DataFrame) -> tuple[list[str], np.ndarray]:
                     ["lang", "counts"],
                 )
 
-    chosen = texts.join(F.broadcast(least), ["doc_id", "lang"], "left_semi")
+    chosen = texts.filter(coin < share[F.col("lang")])
     rows = chosen.select("lang", "text").mapInArrow(count, "lang string, counts binary").toPandas()
     rows = rows.sort_values(["lang", "counts"], kind="stable")
     matrix = np.frombuffer(b"".join(rows["counts"]), np.int32).reshape(-1, SIZE)
@@ -218,9 +221,9 @@ def identify(docs: DataFrame, model: Model, *keep: str, prefix: str = "") -> Dat
                     best[first:last] = model.of[top]
                     cosine[first:last] = np.clip(near[np.arange(len(top)), top], 0, 1)
                     accepted[first:last] = cosine[first:last] >= model.floors[_bins(counts)]
-                lettered = has_letter(text)
-                best[~lettered], cosine[~lettered] = len(model.languages), 0.0
-                accepted &= lettered
+            lettered = has_letter(text)
+            best[~lettered], cosine[~lettered] = len(model.languages), 0.0
+            accepted = accepted & lettered if model.languages else lettered
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep]
                 + [pa.array(names[best], pa.string()), pa.array(cosine), pa.array(accepted)],
