@@ -3,7 +3,8 @@
 Each task cuts its documents into shards of bounded size, indexes all words of a
 shard, searches every test phrase backwards, locates the occurrences and merges
 them into removal spans. Documents are not shuffled; phrases reach the tasks in
-blocks of bounded size, one pass per block.
+blocks of bounded size. One pass over the documents searches all blocks, one
+after the other, so that many blocks give what one would.
 
 A phrase is each run of ``WINDOW`` words of an item, or all words of a shorter
 item. Words are compared lower-cased (A-Z); what the index finds by 64-bit word
@@ -12,16 +13,17 @@ hashes is compared byte by byte.
 Defined results: a null text has no words, nor has an item with a null text any
 phrase. An item listed twice counts once, one without id not among the items.
 An empty table of either kind gives documents without hits. Rows of documents
-sharing an id are scored each by itself, while one block of phrases suffices.
+sharing an id, or without one, are scored each by itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from findling.llm.fm_index import FMIndex
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 8 << 20  # of test items that are searched in one pass
+BLOCK_BYTES = 8 << 20  # of test items that a task holds at once
 LOCATE_AT_ONCE = 1 << 18
 
 IS_WORD = np.ones(256, bool)
@@ -108,20 +110,24 @@ def _same_bytes(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
     return same
 
 
-def occurrences(words: Words, phrases: Phrases, window: int = WINDOW):
-    """``(word, phrase)`` number of every occurrence of a phrase within one text of the shard."""
+def index_words(words: Words) -> tuple[FMIndex, np.ndarray]:
+    """The index of a shard, and its different word hashes in order."""
     n_texts = len(words.first) - 1
-    none = np.zeros(0, np.int64)
-    if not len(words.code) or not len(phrases.start):
-        return none, none
     known, ids = np.unique(words.code, return_inverse=True)
     n_words = np.diff(words.first)
     symbols = np.zeros(len(ids) + n_texts, np.int64)
     of = np.repeat(np.arange(n_texts), n_words)
     symbols[np.arange(len(ids)) + of + 1] = ids + n_texts
     symbols[words.first[:-1] + np.arange(n_texts)] = np.arange(n_texts)
-    index = FMIndex(symbols, len(known) + n_texts)
+    return FMIndex(symbols, len(known) + n_texts), known
 
+
+def occurrences(words: Words, index: FMIndex, known: np.ndarray, phrases: Phrases, window: int = WINDOW):
+    """``(word, phrase)`` number of every occurrence of a phrase within one text of the shard."""
+    n_texts = len(words.first) - 1
+    none = np.zeros(0, np.int64)
+    if not len(phrases.start):
+        return none, none
     spot = np.minimum(np.searchsorted(known, phrases.words.code), len(known) - 1)
     symbol = np.where(known[spot] == phrases.words.code, spot + n_texts, -1)
     back = np.arange(window)[None, :] - window
@@ -166,22 +172,35 @@ class Hits:
     n_words: np.ndarray
     spans: list  # of (first word, last word + 1) within each text
     byte_spans: list  # of (first byte, last byte + 1) within each text
-    items: list  # of item places
+    items: list  # of item ids, null ones left out
 
 
 def shard_hits(flat: np.ndarray, offsets: np.ndarray, phrases: Phrases, window: int = WINDOW) -> Hits:
+    return hits_of_blocks(flat, offsets, [phrases], window)
+
+
+def hits_of_blocks(
+    flat: np.ndarray, offsets: np.ndarray, blocks: Iterable[Phrases], window: int = WINDOW
+) -> Hits:
+    """Hits of all blocks in the texts as they stand; the shard is indexed once."""
     words = split_words(flat, offsets)
-    word, phrase = occurrences(words, phrases, window)
     n_texts = len(offsets) - 1
     out = Hits(np.diff(words.first), [[] for _ in range(n_texts)], [[] for _ in range(n_texts)],
                [[] for _ in range(n_texts)])
-    if not len(word):
+    if not len(words.code):
         return out
-    change = np.bincount(word, minlength=len(words.code) + 1) - np.bincount(
-        word + phrases.length[phrase], minlength=len(words.code) + 1
-    )
-    hit = np.cumsum(change)[:-1] > 0
+    index, known = index_words(words)
     text_of = np.repeat(np.arange(n_texts), out.n_words)
+    change = np.zeros(len(words.code) + 1, np.int64)
+    for phrases in blocks:
+        word, phrase = occurrences(words, index, known, phrases, window)
+        change += np.bincount(word, minlength=len(change))
+        change -= np.bincount(word + phrases.length[phrase], minlength=len(change))
+        n_items = len(phrases.ids)
+        for pair in np.unique(text_of[word] * n_items + phrases.item[phrase]).tolist():
+            if (name := phrases.ids[pair % n_items]) is not None:
+                out.items[pair // n_items].append(name)
+    hit = np.cumsum(change)[:-1] > 0
     fresh = np.concatenate([[True], text_of[1:] != text_of[:-1]])
     begins = np.nonzero(hit & (fresh | ~np.concatenate([[False], hit[:-1]])))[0]
     last = hit & np.concatenate([fresh[1:] | ~hit[1:], [True]])
@@ -191,9 +210,6 @@ def shard_hits(flat: np.ndarray, offsets: np.ndarray, phrases: Phrases, window:
         base, origin = int(words.first[t]), int(offsets[t])
         out.spans[t].append((b - base, e - base))
         out.byte_spans[t].append((int(words.start[b]) - origin, int(words.end[e - 1]) - origin))
-    n_items = len(phrases.ids)
-    for pair in np.unique(text_of[word] * n_items + phrases.item[phrase]).tolist():
-        out.items[pair // n_items].append(pair % n_items)
     return out
 
 
@@ -202,24 +218,29 @@ _SPAN_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 FOUND = f"n_words bigint, spans {_SPANS}, byte_spans {_SPANS}, items array<string>"
 
 
-def _pass(docs: DataFrame, phrases: Phrases, keep: list[str], prefix: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(phrases)  # BLOCK_BYTES of text, or one item
+def _one_at_a_time(held: list[Broadcast]) -> Iterator[Phrases]:
+    """The blocks in order; of several, a task lets go of one before it reads the next."""
+    for block in held:
+        yield block.value
+        if len(held) > 1 and block._path is not None:  # it can be read from its file again
+            del block._value
+
+
+def _pass(docs: DataFrame, blocks: Iterable[Phrases], keep: list[str], prefix: str) -> DataFrame:
+    context = docs.sparkSession.sparkContext
+    held = [context.broadcast(b) for b in blocks]  # each BLOCK_BYTES of text, or one item
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = held.value
         for batch in batches:
             flat, offsets = flat_texts(batch.column("text"))
             for first, last in pieces(offsets, SHARD_BYTES):
                 part = offsets[first : last + 1]
-                hits = shard_hits(flat[part[0] : part[-1]], part - part[0], phrases)
+                hits = hits_of_blocks(flat[part[0] : part[-1]], part - part[0], _one_at_a_time(held))
                 as_structs = [
                     [[{"first": a, "last": b} for a, b in row] for row in rows]
                     for rows in (hits.spans, hits.byte_spans)
                 ]
-                named = [
-                    [str(phrases.ids[k]) for k in row if phrases.ids[k] is not None]
-                    for row in hits.items
-                ]
+                named = [list(map(str, row)) for row in hits.items]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(first, last - first) for c in keep]
                     + [
@@ -245,21 +266,15 @@ def phrase_blocks(benchmark: DataFrame) -> Iterator[Phrases]:
         yield make_phrases(part["item_id"].to_pylist(), part["text"].to_pylist())
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame) -> list[DataFrame]:
-    """Per block of phrases ``doc_id, n_words, spans, byte_spans, items``."""
-    passes = [_pass(docs, block, ["doc_id"], "") for block in phrase_blocks(benchmark)]
-    return passes or [_pass(docs, make_phrases([], []), ["doc_id"], "")]
-
+def find_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, n_words, spans, byte_spans, items`` of every row of ``docs``."""
+    return _pass(docs, phrase_blocks(benchmark), ["doc_id"], "")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every document."""
-    parts = find_spans(docs, benchmark)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"])
-    if len(parts) == 1:
-        found = parts[0].withColumn("n_hit", n_hit)
-    else:
-        found = _merged(parts)
+    found = find_spans(docs, benchmark).withColumn("n_hit", n_hit)
     items = F.array_sort(F.array_distinct("items"))
     return found.select(
         "doc_id",
@@ -271,29 +286,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """Spans and items that several blocks found in the same document, joined."""
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return stacked.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.flatten(F.collect_list("items")).alias("items"),
-    ).withColumn(
-        "n_hit",
-        F.aggregate(
-            "spans",
-            F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
-            lambda acc, s: F.struct(
-                (acc["n"] + F.greatest(s["last"] - F.greatest(s["first"], acc["end"]), F.lit(0))).alias("n"),
-                F.greatest(acc["end"], s["last"]).alias("end"),
-            ),
-            lambda acc: acc["n"],
-        ),
-    )
-
-
 def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with the removal spans taken out of ``text``; a blank stands for each span."""
     columns = docs.columns
@@ -315,7 +307,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     kinds = docs.schema
     for phrases in phrase_blocks(benchmark):
-        docs = _pass(docs, phrases, columns, "__found_").mapInArrow(without, kinds)
+        docs = _pass(docs, [phrases], columns, "__found_").mapInArrow(without, kinds)
     return docs
 
 
@@ -323,6 +315,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a test phrase."""
     columns = docs.columns
     for phrases in phrase_blocks(benchmark):
-        marked = _pass(docs, phrases, columns, "__found_")
+        marked = _pass(docs, [phrases], columns, "__found_")
         docs = marked.filter(F.size("__found_spans") == 0).select(*columns)
     return docs

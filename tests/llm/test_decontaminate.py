@@ -89,6 +89,23 @@ def test_small_shards_and_many_blocks(tables, monkeypatch):
     check(dc.report(docs, benchmark), docs, items)
 
 
+def test_blocks_keep_rows_without_or_with_the_same_id(spark, tables, monkeypatch):
+    docs, benchmark, items = tables
+    passage = items[0][1]
+    texts = [(None, passage), (None, "x y z"), (None, "clean"), (None, "clean"), (7, passage), (7, "clean"),
+             (7, passage + " x y z"), (7, None)]
+    same = spark.createDataFrame([(i, t, "en") for i, t in texts], DOC)
+    known = plain.windows(items)
+    want = []
+    for i, t in texts:
+        n, hit, names = plain.contamination(t, known)
+        want.append((i, n, hit, len(names), plain.sha(",".join(names)), hit > 0))
+    for size in (dc.BLOCK_BYTES, 60):
+        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+        got = [tuple(r) for r in dc.report(same, benchmark).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), size
+
+
 def test_occurrences_located_a_few_at_a_time(tables, monkeypatch):
     docs, _, items = tables
     phrases = dc.make_phrases(*map(list, zip(*[(i, t or "") for i, t in items])))
