@@ -287,7 +287,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with the removal spans taken out of ``text``; a blank stands for each span."""
+    """``docs`` with the removal spans taken out of ``text``; a blank stands for each span.
+
+    Spans are those of all blocks in the text as it came, merged, and cut once.
+    """
     columns = docs.columns
 
     def cut(texts: pa.Array, spans: pa.Array) -> list:
@@ -305,16 +308,10 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             kept = [body.cast(pa.string()) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(kept, columns)
 
-    kinds = docs.schema
-    for phrases in phrase_blocks(benchmark):
-        docs = _pass(docs, [phrases], columns, "__found_").mapInArrow(without, kinds)
-    return docs
+    return _pass(docs, phrase_blocks(benchmark), columns, "__found_").mapInArrow(without, docs.schema)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a test phrase."""
-    columns = docs.columns
-    for phrases in phrase_blocks(benchmark):
-        marked = _pass(docs, [phrases], columns, "__found_")
-        docs = marked.filter(F.size("__found_spans") == 0).select(*columns)
-    return docs
+    marked = _pass(docs, phrase_blocks(benchmark), docs.columns, "__found_")
+    return marked.filter(F.size("__found_spans") == 0).select(*docs.columns)

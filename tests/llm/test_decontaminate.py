@@ -130,6 +130,22 @@ def test_clean_and_cut(tables):
     assert all(cut[r.doc_id] == r.text for r in docs.collect() if r.doc_id not in dirty)
 
 
+def test_cut_does_not_depend_on_blocks(spark, monkeypatch):
+    long = make(1, 40, "q w e r t y u i o p l k j h").split()
+    items = [(k, " ".join(long[at : at + 10])) for k, at in enumerate((0, 4, 12, 18, 30))]
+    across = " ".join(long[25:30] + long[35:40])  # stands together only once a span between is cut
+    items.append((9, across))
+    texts = [" ".join(long), " ".join(long[25:30] + long[0:10] + long[35:40]), across, "a b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    want = ["  " + " ".join(long[28:30]) + "  ", " ".join(long[25:30]) + "   " + " ".join(long[35:40]), " ",
+            "a b", None]
+    for size in (dc.BLOCK_BYTES, 60, 25):
+        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+        got = {r.doc_id: r.text for r in dc.cut_spans(docs, benchmark).collect()}
+        assert [got[i] for i in range(len(texts))] == want, size
+
+
 def test_empty_tables(spark, tables):
     docs, benchmark, _ = tables
     assert dc.report(docs.limit(0), benchmark).collect() == []
