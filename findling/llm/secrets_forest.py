@@ -1,14 +1,19 @@
 """Secret scans: candidates by pattern, false alarms removed by a random forest.
 
-Every long run of key characters is a candidate. The forest sees its length,
+Candidates are values given to the name of a credential, of four characters or
+more (eight for tokens and keys) whatever they consist of, bearer tokens, heads
+of private keys, and every long run of key characters, vendors' keys among them.
+An unquoted value ends before closing punctuation. The forest sees its length,
 the mix and transitions of its characters, how much of it dictionary words
 cover, the path it stands in and the words beside it, and is trained on
 labelled findings. Everything runs in SQL expressions and Spark's own learner.
 
 Labels come with the caller (``fit(..., labels)``). Without any,
-``distant_labels`` names clear cases by the company they keep: a quoted value
-assigned to the name of a credential is a finding; a value without digits, or of
-digits alone, or marked as an example, is a false alarm; the rest is unlabelled.
+``distant_labels`` names clear cases by any of several rules: a quoted value
+assigned to the name of a credential, a bare one of letters and digits, a bearer
+token of both, a vendor's key or the head of a private key, wherever they stand,
+is a finding; a value without digits, or of digits alone, or marked as an
+example, is a false alarm; the rest, and what is both, is unlabelled.
 
 Defined results: a null text holds no candidates, a null path is empty. Equal
 candidates at different places are scored each. Without findings of both kinds
@@ -27,7 +32,6 @@ from pyspark.sql import functions as F
 from findling.functions.arrays import running_before
 from findling.session import written
 
-CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}"
 CONTEXT = 48  # characters kept on either side of a candidate
 WORD = r"[a-z]{3,}"
 COMMON = 20  # occurrences in all texts from which a word is in the dictionary
@@ -37,7 +41,37 @@ DEPTH = 6
 THRESHOLD = 0.5
 
 #: Names that a credential is given; fixed values.
-KEY_NAMES = "token|secret|passw|pwd|api_?key|access_?key|private_?key|auth|bearer|credential"
+PASSWORD_NAMES = "secret|passw|pwd|credential"
+TOKEN_NAMES = "token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?!ors?[^a-z])|bearer"
+KEY_NAMES = f"{PASSWORD_NAMES}|{TOKEN_NAMES}"
+
+#: Patterns that Java and Python read alike.
+RUN = r"[A-Za-z0-9+/_\-]"
+BARE = r"""[^ \t\r\n"]"""
+LAST = r"""[^ \t\r\n".,;)\]}>]"""
+PEM = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+BEARER = r"(?<![A-Za-z0-9])(?i:bearer)[ \t]+"
+
+
+def _given_to(names: str) -> str:
+    """The whole run that holds one of ``names``, and what assigns a value to it."""
+    return rf"""(?<!{RUN}){RUN}*(?i:{names}){RUN}*["']?[ \t\r\n]*(?:=>|:=|={{1,3}}|:)[ \t\r\n]*"""
+
+
+def _value(least: int) -> str:
+    return rf"""(?:"[^"\n]{{{least},}}"|'[^'\n]{{{least},}}'|{BARE}{{{least - 1},}}{LAST})"""
+
+
+CANDIDATE = "|".join([
+    _given_to(PASSWORD_NAMES) + _value(4),
+    _given_to(TOKEN_NAMES) + _value(8),
+    BEARER + r"[A-Za-z0-9._~+/=\-]{7,}[A-Za-z0-9_~+/=\-]",
+    PEM,
+    RUN + "{16,}",
+])
+#: What stands before the value within a candidate's match.
+LEAD = rf"""^(?:{_given_to(KEY_NAMES)}["']?|{BEARER})"""
+VENDOR = f"^(sk-[A-Za-z0-9_-]{{16,}}|gh[pousr]_[A-Za-z0-9]{{20,}}|AKIA[A-Z0-9]{{16}}|{PEM})$"
 #: Words beside values that are no secrets; fixed values.
 HARMLESS = "example|sample|dummy|placeholder|checksum|digest|sha1|sha256|md5|commit|uuid|hash"
 TEST_PATHS = "test|spec|fixture|example|mock|docs?/"
@@ -48,6 +82,8 @@ FEATURES = {
     "upper": "regexp_count(value, '[A-Z]') / length(value)",
     "lower": "regexp_count(value, '[a-z]') / length(value)",
     "marks": "regexp_count(value, '[-+/_]') / length(value)",
+    "blanks": "regexp_count(value, ' ') / length(value)",
+    "other_marks": "regexp_count(value, '[^-A-Za-z0-9+/_ ]') / length(value)",
     "hex_only": "int(value rlike '^([0-9a-f]+|[0-9A-F]+)$')",
     "distinct": "size(array_distinct(split(value, ''))) / length(value)",
     "letter_digit": "regexp_count(value, '[A-Za-z](?=[0-9])') / length(value)",
@@ -86,13 +122,20 @@ def candidates(docs: DataFrame, path: Column) -> DataFrame:
             F.split("text", CANDIDATE, -1).alias("rest"),
         )
     )
+    lead = F.transform("found", lambda m: F.regexp_extract(m, LEAD, 0))
+    closing = """transform(found, (m, i) -> int(right(lead[i], 1) IN ('"', "'") AND length(m) > length(lead[i])
+        AND right(m, 1) = right(lead[i], 1)))"""
     gaps = "transform(found, (v, i) -> length(rest[i]) + CASE WHEN i > 0 THEN length(found[i - 1]) ELSE 0 END)"
     # What stands before the gaps of earlier candidates, and this one's own gap.
     ends = f"zip_with({running_before('gaps')}, gaps, (a, b) -> a + b)"
-    each = f"""transform(found, (v, i) -> struct(ends[i] AS at, v AS value,
-        right(rest[i], {CONTEXT}) AS before, left(rest[i + 1], {CONTEXT}) AS after))"""
+    each = f"""transform(found, (v, i) -> struct(ends[i] + length(lead[i]) AS at,
+        substring(v, length(lead[i]) + 1, length(v) - length(lead[i]) - closing[i]) AS value,
+        right(concat(right(rest[i], {CONTEXT}), lead[i]), {CONTEXT}) AS before,
+        left(concat(right(v, closing[i]), left(rest[i + 1], {CONTEXT})), {CONTEXT}) AS after))"""
     return (
-        found.withColumn("gaps", F.expr(gaps))
+        found.withColumn("lead", lead)
+        .withColumn("closing", F.expr(closing))
+        .withColumn("gaps", F.expr(gaps))
         .withColumn("ends", F.expr(ends))
         .select("doc_id", "path", F.explode(F.expr(each)).alias("c"))
         .select("doc_id", "c.at", "c.value", "c.before", "c.after", "path")
@@ -136,9 +179,13 @@ def featured(found: DataFrame) -> DataFrame:
 
 def distant_labels(found: DataFrame) -> DataFrame:
     """``found`` with ``label``: 1, 0, or null where the case is not clear."""
+    named = f"{FEATURES['key_beside']} = 1 AND {FEATURES['assigned']} = 1"
+    mixed = "value rlike '[0-9]' AND value rlike '[A-Za-z]'"
     secret = (
-        F.expr(FEATURES["key_beside"]) + F.expr(FEATURES["assigned"]) + F.expr(FEATURES["quoted"])
-    ) == 3
+        F.expr(f"({named} AND {FEATURES['quoted']} = 1) OR ({named} AND {mixed})")
+        | F.expr(f"before rlike '(?i)bearer[ \\\\t]+$' AND {mixed}")
+        | F.col("value").rlike(VENDOR)
+    )
     harmless = F.expr(
         f"value rlike '^[A-Za-z]+$' OR value rlike '^[0-9]+$' OR {FEATURES['harmless_near']} = 1"
     )
@@ -194,12 +241,13 @@ def scan(docs: DataFrame, path: Column, labels: DataFrame | None = None) -> Data
 
 
 def report(docs: DataFrame, path: Column) -> DataFrame:
-    """Candidates without the secret itself: its digest and first characters stand for it."""
+    """Candidates without the secret itself: its digest and first characters stand for it,
+    a quarter of a short one at most."""
     return scan(docs, path).select(
         "doc_id",
         "at",
         F.length("value").alias("n_chars"),
-        F.concat(F.left("value", F.lit(4)), F.lit("...")).alias("masked"),
+        F.expr("concat(left(value, least(4, length(value) div 4)), '...')").alias("masked"),
         F.sha2("value", 256).alias("value_sha256"),
         "coverage",
         "score",

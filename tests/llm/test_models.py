@@ -171,6 +171,31 @@ def test_secret_findings(spark, docs):
     assert not found[found["value"].str.fullmatch("[0-9]+|[A-Za-z]+")]["is_secret"].any()
 
 
+def test_short_unquoted_and_punctuated_secrets(spark):
+    rnd = random.Random(4)
+
+    def key(n, letters="abcdefghkmXYZ0123456789"):
+        return "a1" + "".join(rnd.choices(letters, k=n - 2))
+
+    forms = [('password = "{}"', lambda: "s3cr3t!" + key(5)), ("pwd={}", lambda: "hunter" + str(rnd.randrange(10))),
+             ("API_KEY={}", lambda: key(24)), ("DATABASE_PASSWORD={}", lambda: key(8)),
+             ("Authorization: Bearer {}", lambda: key(12) + "." + key(9)), ("see {} in prose",
+             lambda: "AKIA" + "".join(rnd.choices("ABCDEFGH0123456789", k=16))), ("/api/v1/users/password: '{}'.",
+             lambda: "p w;" + key(5)), ("\n{}\n", lambda: "-----BEGIN RSA PRIVATE KEY-----")]
+    rows, want = [], {}
+    for k in range(400):
+        form, made = forms[k % len(forms)]
+        value = made()
+        text = f"été {form.format(value)}, the end plainwordplainword{'ab'[k % 2] * 3}"
+        rows.append((k, text, "en", None))
+        want[k] = (text.index(value), value)
+    found = secrets_forest.scan(spark.createDataFrame(rows, DOC), F.col("source")).toPandas()
+    got = {(r.doc_id, r.at, r.value): r.is_secret for r in found.itertuples()}
+    for k, (at, value) in want.items():
+        assert got.get((k, at, value)), rows[k]
+    assert not found[found["value"].str.startswith("plainword")]["is_secret"].any()
+
+
 def test_forest_generalises_from_given_labels(spark):
     rnd = random.Random(3)
     rows, labels = [], []
