@@ -13,8 +13,11 @@ from findling.llm import (
     lm_scoring,
     mixing,
     secrets_forest,
+    sentence_pieces,
     simhash,
+    source_audit,
     toxicity,
+    vector_codes,
     warc,
 )
 from findling.llm.common import held_out, table
@@ -76,6 +79,21 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.report(table(spark, folder, "documents", "text", "lang", "source"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.report(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op13_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = sentence_pieces.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return sentence_pieces.report(table(spark, folder, "documents", "doc_id", "text"), model)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +107,9 @@ QUERIES = {
         op8_exact_dedup,
         op9_simhash,
         op10_decontaminate,
+        op11_source_divergence,
+        op12_vector_codes,
+        op13_sentence_pieces,
     )
 }
 
@@ -206,4 +227,55 @@ FROM records
 """
 
 
-ORACLE = {"op6_mix_sources": OP6_SQL, "op7_warc": _op7_sql(), "op8_exact_dedup": OP8_SQL}
+OP11_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), per_doc AS (
+    SELECT lang, source, d, term, count(*) AS n
+    FROM (SELECT lang, source, d,
+                 unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs)
+    GROUP BY ALL
+), held AS (
+    SELECT lang, source, term, sum(n) AS n, count(*) AS df FROM per_doc GROUP BY ALL
+), kept AS (
+    SELECT lang, term, sum(n) AS total FROM held GROUP BY ALL HAVING sum(df) >= 3
+), langs AS (
+    SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang
+), sizes AS (
+    SELECT h.lang, h.source, sum(h.n) AS source_n FROM held h JOIN kept k USING (lang, term) GROUP BY ALL
+), shares AS (  -- every group and every kept term of its language
+    SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+           1 + 1000000000::HUGEINT * (coalesce(h.n, 0) + 1) // (coalesce(s.source_n, 0) + l.v) AS p,
+           1 + 1000000000::HUGEINT * (k.total + 1) // (l.lang_n + l.v) AS q
+    FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+    LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term
+    LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY ALL
+), every_pair AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+    FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+    FROM (SELECT * FROM every_pair UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE = {
+    "op6_mix_sources": OP6_SQL,
+    "op7_warc": _op7_sql(),
+    "op8_exact_dedup": OP8_SQL,
+    "op11_source_divergence": OP11_SQL,
+}
