@@ -2,10 +2,9 @@
 
 Each task reads its documents once and counts postings (how often, and in how many
 documents, a source has a term) into a block in memory. When the block is full it
-is spilled as a run, sorted by language and term, to a table in the scratch folder.
-Runs are then dealt over hash shards of their terms, as many as their measured size
-asks for, and a shard's runs are merged by a heap into one line per term: in how
-many documents, and how often in each source. Terms of too few documents go there.
+is spilled as runs sorted by term, one for each language and hash shard, into Spark's
+shuffle. The runs of a shard are merged by a heap into frequencies; terms of too few
+documents go there. There are as many shards as the size of all texts asks for.
 
 Sources are compared over all kept terms of their language, which most of them do
 not hold. For a pair of sources the sum is therefore a base, as if neither had any
@@ -29,11 +28,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from heapq import merge
+from heapq import heapify, heappop, heapreplace
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -45,16 +45,20 @@ LEAST_DOCUMENTS = 3
 TERM_RANKS = 200
 UNIT = 1_000_000_000
 PIECE_BYTES = 1 << 20  # of text that is cut into terms at once
-BLOCK_ENTRIES = 1 << 18  # postings in a task's memory before it spills them
+BLOCK_ENTRIES = 1 << 19  # postings in a task's memory before it spills them
 BLOCK_BYTES = 64 << 20  # and bytes of their terms
-SHARD_ROWS = 1 << 19  # lines of runs that a task merges at once
+SHARD_BYTES = 32 << 20  # of text whose postings a task merges
+POOL_LINES = 1 << 19  # that a merge holds open at once
 PAIRS_AT_ONCE = 1 << 21
 SUMS_HELD = 1 << 20
 
 _TERMS = re.compile(rb"[a-z\x80-\xff]+").findall
 _GAP = re.compile(rb"[^A-Za-z\x80-\xff]")
-RUN = "lang string, term string, sources array<string>, counts array<bigint>, dfs array<bigint>, run bigint"
-POSTINGS = "lang string, term string, df bigint, sources array<string>, counts array<bigint>"
+RUN = """shard int, lang string, names array<string>, terms binary, source array<int>,
+    counts array<bigint>, dfs array<bigint>"""
+POSTINGS = "lang string, term string, source string, n bigint, total bigint"
+LINE = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("source", pa.string()),
+                  ("n", pa.int64()), ("df", pa.int64())])
 
 
 def term_lists(text: bytes, piece: int = PIECE_BYTES) -> Iterator[list[bytes]]:
@@ -88,36 +92,51 @@ class Block:
     def full(self) -> bool:
         return self.entries >= BLOCK_ENTRIES or self.bytes >= BLOCK_BYTES
 
-    def spill(self, run: int) -> Iterator[pa.RecordBatch]:
-        """The block as a run in order of language and term; an empty term lists the sources."""
-        lines: dict[tuple[str, bytes], list] = {}
-        for (lang, source), (counts, dfs) in sorted(self.held.items()):
-            lines.setdefault((lang, b""), []).append((source, 0, 0))
-            for term, n in counts.items():
-                lines.setdefault((lang, term), []).append((source, n, dfs[term]))
-        order = sorted(lines)
-        for first in range(0, len(order), 1 << 15):
-            keys = order[first : first + (1 << 15)]
-            lists = [lines[key] for key in keys]
-            parts = [[[posting[i] for posting in row] for row in lists] for i in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang for lang, _ in keys], pa.string()),
-                    pa.array([term for _, term in keys], pa.binary()).cast(pa.string()),
-                    pa.array(parts[0], pa.list_(pa.string())),
-                    pa.array(parts[1], pa.list_(pa.int64())),
-                    pa.array(parts[2], pa.list_(pa.int64())),
-                    pa.array(np.full(len(keys), run)),
-                ],
-                ["lang", "term", "sources", "counts", "dfs", "run"],
-            )
-
-
-def index_runs(docs: DataFrame) -> DataFrame:
-    """The sorted runs of all documents, ``lang, term, sources, counts, dfs, run``."""
+    def spill(self, shards: int) -> Iterator[pa.RecordBatch]:
+        """The block as runs, one of each language and hash shard, in order of terms.
+
+        A run's terms stand in one string with blanks between, once for each source
+        that has them. The empty term, of shard 0, lists the sources of a language.
+        """
+        by_lang: dict[str, list] = {}
+        for (lang, source), postings in self.held.items():
+            by_lang.setdefault(lang, []).append((source, *postings))
+        for lang, parts in by_lang.items():
+            terms, counts, dfs, codes = [b""] * len(parts), [], [], []
+            for code, (_, count, df) in enumerate(parts):
+                terms.extend(count)
+                counts.extend(count.values())
+                dfs.extend(map(df.__getitem__, count))
+                codes.append(np.full(len(count), code))
+            empty = np.zeros(len(parts), np.int64)
+            code = np.concatenate([np.arange(len(parts)), *codes])
+            counts = np.concatenate([empty, np.array(counts, np.int64)])
+            dfs = np.concatenate([empty, np.array(dfs, np.int64)])
+            shard = np.fromiter(map(crc32, terms), np.int64, len(terms)) % shards
+            order = pc.array_sort_indices(pa.array(terms, pa.large_binary())).to_numpy()
+            order = order[np.argsort(shard[order], kind="stable")]
+            ordered = list(map(terms.__getitem__, order.tolist()))
+            at = shard[order]
+            edges = np.nonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))[0].tolist()
+            names = [name for name, *_ in parts]
+            for a, b in zip(edges[:-1], edges[1:]):
+                some = order[a:b]
+                lists = [code[some].astype(np.int32), counts[some], dfs[some]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at[a]], pa.int32()), pa.array([lang], pa.string()),
+                     pa.array([names], pa.list_(pa.string())), pa.array([b" ".join(ordered[a:b])], pa.binary()),
+                     *(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), pa.array(x)) for x in lists)],
+                    ["shard", "lang", "names", "terms", "source", "counts", "dfs"],
+                )
+
+
+def index_runs(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The sorted runs of all documents, and over how many shards they are dealt."""
+    read = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = TaskContext.get().partitionId() << 32
         block = Block()
         for batch in batches:
             flat, offsets = flat_texts(batch.column(0))
@@ -125,92 +144,125 @@ def index_runs(docs: DataFrame) -> DataFrame:
             for row, (lang, source) in enumerate(zip(langs, sources)):
                 block.add(lang, source, flat[offsets[row] : offsets[row + 1]].tobytes())
                 if block.full:
-                    yield from block.spill(run)
-                    run, block = run + 1, Block()
-        if block.held:
-            yield from block.spill(run)
+                    yield from block.spill(shards)
+                    block = Block()
+        yield from block.spill(shards)
 
-    read = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    return read.mapInArrow(indexed, RUN)
+    return read.mapInArrow(indexed, RUN), shards
 
 
-def _lines(run: pa.Table) -> Iterator[tuple]:
-    """The lines of a run in order, a slice of them as Python objects at a time."""
-    for batch in run.to_batches(max_chunksize=2048):
-        yield from zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "sources", "counts", "dfs")))
+class Run:
+    """A sorted run, of which a stretch of lines is read at a time."""
 
+    def __init__(self, row: dict, names: pa.Array, stretch: int):
+        self.lang, self.names, self.stretch = row["lang"].as_py(), names, stretch
+        self.terms = row["terms"].as_py().split(b" ")
+        self.columns = [row[c].values for c in ("source", "counts", "dfs")]
+        self.at = 0
 
-def merged_lines(runs: list[pa.Table], least: int) -> Iterator[tuple]:
-    """``lang, term, df, sources, counts`` of a shard, by a heap over the heads of its runs.
+    def read(self) -> pa.Table:
+        some = slice(self.at, self.at + self.stretch)
+        terms = pa.array(self.terms[some], pa.binary())
+        source, counts, dfs = (c.slice(self.at, self.stretch) for c in self.columns)
+        lang = pa.array([self.lang], pa.string()).take(pa.array(np.zeros(len(terms), np.int64)))
+        self.at += len(terms)
+        return pa.Table.from_arrays([lang, terms, self.names.take(source), counts, dfs], schema=LINE)
 
-    Terms of fewer than ``least`` documents are left out; the empty term stays.
-    """
+    @property
+    def last(self) -> tuple[str, bytes]:
+        """Language and term of the last line read."""
+        return self.lang, self.terms[self.at - 1]
 
-    def line(lang: str, term: str, df: int, counts: dict) -> tuple | None:
-        if term and df < least:
-            return None
-        return lang, term, df, list(counts), list(counts.values())
-
-    lang = term = None
-    df, found = 0, {}
-    for at, of, sources, counts, dfs in merge(*map(_lines, runs), key=lambda x: (x[0], x[1])):
-        if of != term or at != lang:
-            if term is not None and (done := line(lang, term, df, found)):
-                yield done
-            lang, term, df, found = at, of, 0, {}
-        df += sum(dfs)
-        for source, n in zip(sources, counts):
-            found[source] = found.get(source, 0) + n
-    if term is not None and (done := line(lang, term, df, found)):
-        yield done
-
-
-def merge_runs(runs: DataFrame, least: int = LEAST_DOCUMENTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``lang, term, df, sources, counts`` of all terms in at least ``least`` documents of
-    their language, and under an empty term all sources of each language."""
-    shards = max(1, -(-runs.count() // shard_rows))
-    dealt = (
-        runs.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)))
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard", "run", "lang", "term")  # every run as it was spilled
-    )
 
-    def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = pa.Table.from_batches(parts)
-        run = shard.column("run").to_numpy()
-        edges = np.nonzero(np.concatenate([[True], run[1:] != run[:-1], [True]]))[0]
-        held = [shard.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:])]
-        lines = merged_lines(held, least)
-        while some := [line for _, line in zip(range(1 << 14), lines)]:
-            arrays = [pa.array(c, t.type) for c, t in zip(zip(*some), schema)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    schema = pa.schema(
-        [("lang", pa.string()), ("term", pa.string()), ("df", pa.int64()),
-         ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
-    )
+def _added_up(lines: pa.Table) -> pa.Table:
+    """One line for each language, term and source, in order of the first two."""
+    sums = lines.group_by(["lang", "term", "source"], use_threads=False).aggregate([("n", "sum"), ("df", "sum")])
+    sums = sums.select(["lang", "term", "source", "n_sum", "df_sum"]).rename_columns(LINE.names)
+    return sums.sort_by([("lang", "ascending"), ("term", "ascending")])
+
+
+def merged_lines(runs: list[Run], pool_lines: int = POOL_LINES) -> Iterator[pa.Table]:
+    """The lines of all runs in order of language and term, those of one term together.
+
+    A heap names the run whose lines in memory end first: it is read further, as
+    long as the pool has room. No unread line comes before that end then, so the
+    terms before it are complete, and leave the pool.
+    """
+    pool, size = [], 0
+
+    def read(run: Run) -> None:
+        nonlocal size
+        pool.append(run.read())
+        size += len(pool[-1])
+
+    for run in runs:
+        read(run)
+    heads = [(run.last, i) for i, run in enumerate(runs) if run.at < len(run.terms)]
+    heapify(heads)
+    while heads:
+        run = runs[heads[0][1]]
+        read(run)
+        if run.at < len(run.terms):
+            heapreplace(heads, (run.last, heads[0][1]))
+        else:
+            heappop(heads)
+        if size >= pool_lines and heads:
+            lang, term = heads[0][0]
+            lines = _added_up(pa.concat_tables(pool))
+            before = pc.or_(
+                pc.less(lines["lang"], lang),
+                pc.and_(pc.equal(lines["lang"], lang), pc.less(lines["term"], pa.scalar(term, pa.binary()))),
+            )
+            n = pc.sum(before).as_py() or 0
+            yield lines.slice(0, n)
+            pool, size = [lines.slice(n)], len(lines) - n
+            if size >= pool_lines // 2:  # terms of many sources: more room, not more merging
+                pool_lines *= 2
+    if pool:
+        yield _added_up(pa.concat_tables(pool))
+
+
+def kept_lines(lines: pa.Table, least: int) -> pa.RecordBatch | None:
+    """The lines of terms in at least ``least`` documents, with each term's total."""
+    if not len(lines):
+        return None
+    lines = lines.combine_chunks()
+    codes = [lines[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "term")]
+    fresh = np.concatenate([[True], (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])])
+    starts = np.nonzero(fresh)[0]
+    sizes = np.diff(np.append(starts, len(lines)))
+    df = np.add.reduceat(lines["df"].to_numpy(), starts)
+    total = np.repeat(np.add.reduceat(lines["n"].to_numpy(), starts), sizes)
+    empty = pc.equal(pc.binary_length(lines["term"]), 0).to_numpy()
+    keep = pa.array(np.repeat(df >= least, sizes) | empty)
+    term = lines["term"].cast(pa.string())
+    out = pa.table([lines["lang"], term, lines["source"], lines["n"], pa.array(total)],
+                   ["lang", "term", "source", "n", "total"])
+    return out.filter(keep)
+
+
+def merge_runs(runs: DataFrame, shards: int, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """``lang, term, source, n, total``: how often a source, and its whole language, has a
+    term of at least ``least`` documents; under an empty term all sources, with zeros."""
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, current = [], None
+        held = []
         for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            edges = np.nonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))[0]
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if a < b:
-                    if held and shard[a] != current:
-                        yield from out(held)
-                        held = []
-                    held.append(batch.slice(a, b - a))
-                    current = shard[a]
-        if held:
-            yield from out(held)
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            for i in range(len(batch)):
+                row = {name: column[i] for name, column in columns.items()}
+                held.append((row, row["names"].values))
+        stretch = max(256, POOL_LINES // max(1, 2 * len(held)))
+        for lines in merged_lines([Run(row, names, stretch) for row, names in held]):
+            if (kept := kept_lines(lines, least)) is not None:
+                yield from kept.to_batches(max_chunksize=1 << 16)
 
-    return dealt.mapInArrow(merged, POSTINGS)
+    return runs.repartition(shards, "shard").mapInArrow(merged, POSTINGS)
 
 
 def index(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """The written postings of all kept terms, and the sources of each language."""
-    return written(merge_runs(written(index_runs(docs), "term-runs"), least), "term-postings")
+    return written(merge_runs(*index_runs(docs), least), "term-postings")
 
 
 def _share(count: str, total: str) -> str:
@@ -230,31 +282,19 @@ def group_totals(postings: DataFrame) -> DataFrame:
     ``place`` numbers the sources of a language, ``p0`` is the share of a term that
     the source does not hold.
     """
-    kept = F.col("term") != ""
-    langs = postings.groupBy("lang").agg(
-        F.count_if(kept).alias("v"), F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")).alias("lang_n")
-    )
-    sources = (
-        postings.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("s"))
-        .groupBy("lang", F.col("s.sources").alias("source"))
-        .agg(F.sum("s.counts").alias("n"))
-    )
+    sources = postings.groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    terms = postings.filter("term != ''").groupBy("lang", "term").agg(F.first("total").alias("total"))
+    langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("source"))
     p0 = F.expr(f"CASE WHEN v > 0 THEN {_share('0', 'n + v')} END")
-    totals = sources.join(langs, "lang").withColumn("place", place).withColumn("p0", p0)
+    totals = sources.join(langs, "lang", "left").withColumn("v", F.coalesce("v", F.lit(0).cast("bigint")))
+    totals = totals.withColumn("place", place).withColumn("p0", p0)
     return written(totals.select("lang", "source", "place", "n", "v", "lang_n", "p0"), "source-totals")
 
 
 def shares(postings: DataFrame, totals: DataFrame) -> DataFrame:
     """``lang, term, source, place, p, q, p0`` of every kept term that a source holds."""
-    held = (
-        postings.filter("term != ''")
-        .select(
-            "lang", "term", F.expr("aggregate(counts, 0L, (a, x) -> a + x)").alias("total"),
-            F.explode(F.arrays_zip("sources", "counts")).alias("s"),
-        )
-        .select("lang", "term", "total", F.col("s.sources").alias("source"), F.col("s.counts").alias("n_term"))
-    )
+    held = postings.filter("term != ''").withColumnRenamed("n", "n_term")
     p, q = _share("n_term", "n + v"), _share("total", "lang_n + v")
     return held.join(totals, ["lang", "source"]).select(
         "lang", "term", "source", "place", F.expr(p).alias("p"), F.expr(q).alias("q"), "p0"
