@@ -39,9 +39,12 @@ from findling.llm.common import flat_texts, pieces
 
 SPACE = "▁"  # stands for a blank inside pieces
 BATCH_BYTES = 4 << 20  # of text that a task encodes at once
-CACHE_RUNS = 1 << 17  # runs whose ids a task remembers
+CACHE_RUNS = 1 << 18  # runs whose ids a task remembers
+PROBED_AT_ONCE = 512
 CACHE_CHARACTERS = 48  # a longer run is not remembered
-NEVER = 1 << 62  # the rank of a pair that is no piece
+NEVER = (1 << 31) - 1  # the rank of a pair that is no piece
+NEVER32 = np.int32(NEVER)
+RUNS_AT_ONCE = 1 << 14
 PLACE_BITS = 40  # of an entry of the agenda; the rank of its score stands above
 
 #: Fixed values of the file format: kinds of pieces, and field numbers.
@@ -125,7 +128,9 @@ class Vocabulary(dict):
         #: Neighbouring characters inside any piece; between two others no merge reaches.
         self.inner = {n[i : i + 2] for n in self.rank for i in range(len(n) - 1)}
         words = all(p[0] == SPACE or p[1] != SPACE for p in self.inner)
-        self.runs = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if words else "(?s:.+)").findall
+        joins = "".join(sorted({c for p in self.inner for c in p} - {SPACE}))
+        pattern = f"{SPACE}*[{re.escape(joins)}]+|{SPACE}+|." if words and joins else ".+"
+        self.runs = re.compile(pattern, re.DOTALL).findall
         fixed = sorted((self.names[i] for i in whole if self.kinds[i] == USER_DEFINED), key=len)
         self.fixed = re.compile("(" + "|".join(map(re.escape, fixed[::-1])) + ")") if fixed else None
 
@@ -139,6 +144,37 @@ class Vocabulary(dict):
             elif kind == UNKNOWN:
                 self.surface[i] = surface
         self._library = None
+        self.wrong: set[str] = set()  # runs that the library merges otherwise
+        self._table()
+
+    def _table(self) -> None:
+        """What many runs are merged by: the symbol of each character, and sorted pairs of
+        symbols with the rank and the symbol of what they join to."""
+        names = list(self.rank)
+        place = {name: i for i, name in enumerate(names)}
+        self.width = len(names)
+        pairs = sorted(
+            (place[n[:i]] * self.width + place[n[i:]], self.rank[n], place[n])
+            for n in names
+            for i in range(1, len(n))
+            if n[:i] in place and n[i:] in place
+        )
+        keys, ranks, joined = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.pair_keys = np.append(keys, 1 << 62)
+        self.pair_rank = np.append(ranks, NEVER).astype(np.int32)
+        self.pair_joined = np.append(joined, 0).astype(np.int32)
+        self.symbol_of = np.full(0x110000, -1, np.int32)
+        for name, i in place.items():
+            if len(name) == 1:
+                self.symbol_of[ord(name)] = i
+        self.symbol_ids = np.array([self.ids[name] for name in names], np.int32)
+
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and symbol of what pairs of symbols join to; a negative symbol joins to nothing."""
+        key = left.astype(np.int64) * self.width + right
+        spot = np.searchsorted(self.pair_keys, key)
+        never = (self.pair_keys[spot] != key) | (left < 0) | (right < 0)
+        return np.where(never, NEVER32, self.pair_rank[spot]), self.pair_joined[spot]
 
     @property
     def library(self) -> SentencePieceProcessor:
@@ -153,31 +189,109 @@ class Vocabulary(dict):
         text = text.replace(" ", SPACE)
         return SPACE + text if text and self.dummy_prefix else text
 
-    def encode(self, text: str) -> array:
-        """The ids of a whole text."""
-        if not (text := self.normalised(text)):
-            return array("i")
-        parts = [text] if self.fixed is None else self.fixed.split(text)
-        out = array("i")
-        for place, part in enumerate(parts):
-            if place % 2:  # a fixed symbol, which merges with nothing
-                out.append(self.ids[part])
-            else:
-                out.extend(chain.from_iterable(map(self.__getitem__, self.runs(part))))
-        if not self.byte_fallback:  # neighbouring unknowns are one
-            out = array("i", (x for i, x in enumerate(out) if x != self.unknown or i == 0 or out[i - 1] != x))
-        return out
+    def runs_of(self, text: str) -> list[str]:
+        """The runs of a whole text, which no merge goes beyond."""
+        text = self.normalised(text)
+        if self.fixed is None:
+            return self.runs(text)
+        parts = self.fixed.split(text)  # every other part is a fixed symbol
+        return [run for i, part in enumerate(parts) for run in ([part] if i % 2 else self.runs(part))]
+
+    def ids_of(self, runs: list[str]) -> bytes:
+        """The ids of runs end to end, four bytes each."""
+        out = b"".join(map(self.__getitem__, runs))
+        if self.byte_fallback:
+            return out
+        ids = np.frombuffer(out, np.int32)  # neighbouring unknowns are one
+        again = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[~np.append(False, again)[: len(ids)]].tobytes()
 
-    def __missing__(self, run: str) -> tuple[int, ...] | array:
+    def encode(self, text: str) -> list[int]:
+        """The ids of a whole text."""
+        return np.frombuffer(self.ids_of(self.runs_of(text)), np.int32).tolist()
+
+    def learn(self, texts: list[list[str]], check: bool = False) -> None:
+        """Merge all runs of ``texts`` that are not known, many at a time.
+
+        With ``check`` the library encodes each of them too; a run begins with the blank
+        that the library puts before a text, so it is given the run without it.
+        """
+        new = set().union(*texts) - self.keys()
+        if len(self) + len(new) > CACHE_RUNS:
+            self.clear()
+            new = set().union(*texts)
+        short = [r for r in new if len(r) <= CACHE_CHARACTERS]
+        if not self.unused and self.fixed is None:
+            short.sort(key=len)
+            for first in range(0, len(short), RUNS_AT_ONCE):
+                self._merge_many(short[first : first + RUNS_AT_ONCE])
+        if check and self.own_rules and self.dummy_prefix:
+            probe = [r for r in new if r[0] == SPACE and r != SPACE]
+            for first in range(0, len(probe), PROBED_AT_ONCE):
+                some = probe[first : first + PROBED_AT_ONCE]
+                if not self._library_agrees(some):
+                    self.wrong.update(r for r in some if not self._library_agrees([r]))
+
+    def _library_agrees(self, runs: list[str]) -> bool:
+        text = "".join(runs)[1:].replace(SPACE, " ")
+        theirs = self.library.encode(text, num_threads=1)
+        return array("i", theirs).tobytes() == b"".join(map(self.__getitem__, runs))
+
+    def _merge_many(self, runs: list[str]) -> None:
+        """The ids of runs of about one length: a row of symbols each, and beside it the
+        agenda of its adjacent pairs, of which the best is taken in all rows at once."""
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        width = int(sizes[-1])
+        codes = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
+        symbols = np.full((len(runs), width + 1), -1, np.int32)  # a column to shift in from
+        symbols[np.arange(width + 1) < sizes[:, None]] = self.symbol_of[codes]
+        known = np.nonzero((symbols >= 0).sum(axis=1) == sizes)[0]  # others are spelled one by one
+        symbols, sizes, open_ = symbols[known], sizes[known], np.arange(len(known))
+        merged = symbols.copy()
+        agenda, joined = self._look_up(symbols[:, :-1], symbols[:, 1:])
+        while len(open_):
+            each = np.arange(len(open_))
+            at = agenda.argmin(axis=1)
+            going = agenda[each, at] < NEVER
+            if not going.all():
+                merged[open_[~going], : symbols.shape[1]] = symbols[~going]
+                open_, at = open_[going], at[going]
+                symbols, agenda, joined = symbols[going], agenda[going], joined[going]
+                each = each[: len(open_)]
+                if not len(open_):
+                    break
+            sizes[open_] -= 1
+            whole = joined[each, at]
+            place = np.arange(symbols.shape[1] - 1)
+            symbols = np.where(place > at[:, None], symbols[:, 1:], symbols[:, :-1])
+            symbols[each, at] = whole
+            if symbols.shape[1] < 2:
+                merged[open_, :1] = symbols
+                break
+            moved = place[:-1] >= at[:, None]
+            agenda = np.where(moved, agenda[:, 1:], agenda[:, :-1])
+            joined = np.where(moved, joined[:, 1:], joined[:, :-1])
+            ahead, behind = np.nonzero(at < agenda.shape[1])[0], np.nonzero(at > 0)[0]
+            left = np.concatenate([whole[ahead], symbols[behind, at[behind] - 1]])
+            right = np.concatenate([symbols[ahead, at[ahead] + 1], whole[behind]])
+            pair = np.concatenate([ahead, behind]), np.concatenate([at[ahead], at[behind] - 1])
+            agenda[pair], joined[pair] = self._look_up(left, right)
+        flat = self.symbol_ids[merged[np.arange(width + 1) < sizes[:, None]]].tobytes()
+        ends = (np.cumsum(sizes) * 4).tolist()
+        self.update((runs[i], flat[a:b]) for i, a, b in zip(known.tolist(), [0, *ends], ends))
+
+    def __missing__(self, run: str) -> bytes:
+        if self.fixed is not None and self.fixed.fullmatch(run):
+            return array("i", [self.ids[run]]).tobytes()
         if len(run) <= CACHE_CHARACTERS:
             symbols = self.merge(run) if self.unused else self.merge_short(run)
             if len(self) >= CACHE_RUNS:
                 self.clear()
-            self[run] = out = tuple(self._ids_of(symbols))
+            self[run] = out = array("i", self._ids_of(symbols)).tobytes()
             return out
         edges = [i for i in range(1, len(run)) if run[i - 1 : i + 1] not in self.inner]
         parts = (run[a:b] for a, b in zip([0, *edges], [*edges, len(run)]))
-        return array("i", chain.from_iterable(self._ids_of(self.merge(part)) for part in parts))
+        return b"".join(array("i", self._ids_of(self.merge(part))).tobytes() for part in parts)
 
     def _ids_of(self, symbols: list[str]) -> list[int]:
         out = list(map(self.ids.get, symbols))
@@ -278,8 +392,8 @@ def encode(
 ) -> DataFrame:
     """``docs`` with the ids of ``text`` in place of the text itself.
 
-    With ``agrees`` a boolean column of that name says whether the library gives
-    the same ids; it is asked batch by batch, after the row's own ids are there.
+    With ``agrees`` a boolean column of that name says whether the library gives the
+    same ids to all runs of the text; it is asked batch by batch about the new ones.
     """
     kept = docs.drop(text).columns
     rest = docs.select(*kept)
@@ -292,21 +406,19 @@ def encode(
         for batch in batches:
             flat, offsets = flat_texts(batch.column(batch.schema.get_field_index(text)))
             for first, last in pieces(offsets, BATCH_BYTES):
-                out, ends, same = array("i"), [0], []
+                texts = []
                 for row in range(first, last):
                     body = flat[offsets[row] : offsets[row + 1]].tobytes()
-                    body = body.decode("utf-8", "findling.each_byte")
-                    own = vocabulary.encode(body)
-                    out.extend(own)
-                    ends.append(len(out))
-                    if agrees:
-                        theirs = vocabulary.library.encode(body, num_threads=1)
-                        same.append(own.tolist() == theirs)
+                    texts.append(vocabulary.runs_of(body.decode("utf-8", "findling.each_byte")))
+                vocabulary.learn(texts, bool(agrees))
+                out = list(map(vocabulary.ids_of, texts))
+                ends = np.cumsum([0, *map(len, out)]) // 4
                 columns = [batch.column(i).slice(first, last - first) for i in order]
-                values = np.array(out, np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)))
+                values = pa.array(np.frombuffer(b"".join(out), np.int32))
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
                 if agrees:
-                    columns.append(pa.array(same, pa.bool_()))
+                    same = [vocabulary.wrong.isdisjoint(runs) for runs in texts]
+                    columns.append(pa.array(same if vocabulary.wrong else [True] * len(texts), pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     chosen = docs.select(text, *kept)
