@@ -273,9 +273,56 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
+def _op12_sql() -> str:
+    """Four rounds, each an assignment of all parts and the means of what it assigned."""
+
+    def nearest(name: str, book: str) -> str:
+        square = """list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v)
+            - 2 * list_inner_product(a.v, b.v)"""
+        return f"""{name} AS MATERIALIZED (
+    SELECT p, r, any_value(v) AS v, min(d * 256 + e) % 256 AS e, min(d * 256 + e) // 256 AS d
+    FROM (SELECT a.p, a.r, a.v, b.e, ({square})::BIGINT AS d FROM parts a JOIN {book} b USING (p))
+    GROUP BY p, r
+)"""
+
+    rounds = []
+    for k in range(4):
+        rounds.append(nearest(f"near{k}", f"book{k}"))
+        rounds.append(f"""book{k + 1} AS MATERIALIZED (
+    SELECT b.p, b.e, coalesce(m.v, b.v) AS v
+    FROM book{k} b LEFT JOIN (
+        SELECT p, e, list(m ORDER BY i) AS v
+        FROM (SELECT p, e, i, floor(sum(x) / count(*)) AS m
+              FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{k}) GROUP BY ALL)
+        GROUP BY p, e) m ON m.p = b.p AND m.e = b.e
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS r,
+           [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), parts AS MATERIALIZED (
+    SELECT r, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v
+    FROM kept, (SELECT unnest(range(4)) AS p)
+), book0 AS MATERIALIZED (
+    SELECT p, r AS e, v FROM parts WHERE r < 256
+), {", ".join(rounds)}, {nearest("final", "book4")}, coded AS (
+    SELECT k.vec_id, k.label, string_agg(printf('%02x', f.e), '' ORDER BY f.p) AS code,
+           sum(f.d)::BIGINT AS error
+    FROM kept k JOIN final f USING (r) GROUP BY k.r, k.vec_id, k.label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, i))
+        FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM book4)) AS codebooks_sha256
+FROM coded
+"""
+
+
 ORACLE = {
     "op6_mix_sources": OP6_SQL,
     "op7_warc": _op7_sql(),
     "op8_exact_dedup": OP8_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op12_vector_codes": _op12_sql(),
 }

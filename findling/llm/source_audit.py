@@ -45,10 +45,10 @@ LEAST_DOCUMENTS = 3
 TERM_RANKS = 200
 UNIT = 1_000_000_000
 PIECE_BYTES = 1 << 20  # of text that is cut into terms at once
-BLOCK_ENTRIES = 1 << 19  # postings in a task's memory before it spills them
+BLOCK_ENTRIES = 1 << 18  # postings in a task's memory before it spills them
 BLOCK_BYTES = 64 << 20  # and bytes of their terms
-SHARD_BYTES = 32 << 20  # of text whose postings a task merges
-POOL_LINES = 1 << 19  # that a merge holds open at once
+SHARD_BYTES = 16 << 20  # of text whose postings a task merges
+POOL_LINES = 1 << 18  # that a merge holds open at once
 PAIRS_AT_ONCE = 1 << 21
 SUMS_HELD = 1 << 20
 
@@ -154,24 +154,35 @@ def index_runs(docs: DataFrame) -> tuple[DataFrame, int]:
 class Run:
     """A sorted run, of which a stretch of lines is read at a time."""
 
-    def __init__(self, row: dict, names: pa.Array, stretch: int):
-        self.lang, self.names, self.stretch = row["lang"].as_py(), names, stretch
-        self.terms = row["terms"].as_py().split(b" ")
+    def __init__(self, batch: pa.RecordBatch, row: int, stretch: int):
+        row = {name: batch.column(name)[row] for name in batch.schema.names}
+        self.lang, self.names, self.stretch = row["lang"].as_py(), row["names"].values, stretch
+        self.terms = row["terms"].as_buffer()  # not yet read, from ``begin`` on
         self.columns = [row[c].values for c in ("source", "counts", "dfs")]
-        self.at = 0
-
-    def read(self) -> pa.Table:
-        some = slice(self.at, self.at + self.stretch)
-        terms = pa.array(self.terms[some], pa.binary())
-        source, counts, dfs = (c.slice(self.at, self.stretch) for c in self.columns)
-        lang = pa.array([self.lang], pa.string()).take(pa.array(np.zeros(len(terms), np.int64)))
-        self.at += len(terms)
-        return pa.Table.from_arrays([lang, terms, self.names.take(source), counts, dfs], schema=LINE)
+        self.begin = self.at = 0
+        self.last = (self.lang, b"")  # language and term of the last line read
 
     @property
-    def last(self) -> tuple[str, bytes]:
-        """Language and term of the last line read."""
-        return self.lang, self.terms[self.at - 1]
+    def done(self) -> bool:
+        return self.at == len(self.columns[0])
+
+    def read(self) -> pa.Table:
+        """The next lines: of as many bytes as they take, tried with ever more."""
+        want, size = min(self.stretch, len(self.columns[0]) - self.at), 16 * self.stretch
+        while True:
+            terms = self.terms.slice(self.begin, min(size, self.terms.size - self.begin)).to_pybytes()
+            terms = terms.split(b" ", want)
+            if len(terms) > want or self.begin + size >= self.terms.size:
+                break
+            size *= 2
+        terms = terms[:want]
+        source, counts, dfs = (c.slice(self.at, want) for c in self.columns)
+        self.begin += sum(map(len, terms)) + want
+        self.at += want
+        self.last = (self.lang, terms[-1])
+        lang = pa.array([self.lang], pa.string()).take(pa.array(np.zeros(want, np.int64)))
+        arrays = [lang, pa.array(terms, pa.binary()), self.names.take(source), counts, dfs]
+        return pa.Table.from_arrays(arrays, schema=LINE)
 
 
 def _added_up(lines: pa.Table) -> pa.Table:
@@ -197,15 +208,15 @@ def merged_lines(runs: list[Run], pool_lines: int = POOL_LINES) -> Iterator[pa.T
 
     for run in runs:
         read(run)
-    heads = [(run.last, i) for i, run in enumerate(runs) if run.at < len(run.terms)]
+    heads = [(run.last, i) for i, run in enumerate(runs) if not run.done]
     heapify(heads)
     while heads:
         run = runs[heads[0][1]]
         read(run)
-        if run.at < len(run.terms):
-            heapreplace(heads, (run.last, heads[0][1]))
-        else:
+        if run.done:
             heappop(heads)
+        else:
+            heapreplace(heads, (run.last, heads[0][1]))
         if size >= pool_lines and heads:
             lang, term = heads[0][0]
             lines = _added_up(pa.concat_tables(pool))
@@ -246,14 +257,11 @@ def merge_runs(runs: DataFrame, shards: int, least: int = LEAST_DOCUMENTS) -> Da
     term of at least ``least`` documents; under an empty term all sources, with zeros."""
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            columns = {name: batch.column(name) for name in batch.schema.names}
-            for i in range(len(batch)):
-                row = {name: column[i] for name, column in columns.items()}
-                held.append((row, row["names"].values))
-        stretch = max(256, POOL_LINES // max(1, 2 * len(held)))
-        for lines in merged_lines([Run(row, names, stretch) for row, names in held]):
+        held = list(batches)
+        n_runs = sum(map(len, held))
+        stretch = max(256, POOL_LINES // max(1, 2 * n_runs))
+        runs = [Run(batch, row, stretch) for batch in held for row in range(len(batch))]
+        for lines in merged_lines(runs):
             if (kept := kept_lines(lines, least)) is not None:
                 yield from kept.to_batches(max_chunksize=1 << 16)
 
