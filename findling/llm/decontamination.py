@@ -7,18 +7,20 @@ blocks of bounded size. One pass over the documents searches all blocks, one
 after the other, so that many blocks give what one would.
 
 A phrase is each run of ``WINDOW`` words of an item, or all words of a shorter
-item. Words are compared lower-cased (A-Z); what the index finds by 64-bit word
-hashes is compared byte by byte.
+item; equal ones of a block are searched once. Words are compared lower-cased (A-Z);
+a shard's symbols are words told apart byte by byte, not only by their hash. A text
+longer than a shard is indexed in parts that overlap by all words but one of a phrase.
 
 Defined results: a null text has no words, nor has an item with a null text any
 phrase. An item listed twice counts once, one without id not among the items.
 An empty table of either kind gives documents without hits. Rows of documents
-sharing an id, or without one, are scored each by itself.
+sharing an id, or without one, are scored each by itself. Names of other columns
+are free but for those beginning with ``__found_``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,7 @@ WINDOW = 10
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20  # of test items that a task holds at once
 LOCATE_AT_ONCE = 1 << 18
+BYTES_AT_ONCE = 1 << 21  # of words that are compared at once
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
@@ -79,90 +82,117 @@ def split_words(flat: np.ndarray, offsets: np.ndarray) -> Words:
 
 @dataclass
 class Phrases:
-    """Windows of test items: where each begins among ``words``, how long, whose."""
+    """Different windows of test items, and which items hold each."""
 
     words: Words
-    start: np.ndarray
+    first: np.ndarray  # where each different word stands first among ``words``
+    rows: np.ndarray  # per window its different words, aligned to the right
     length: np.ndarray
-    item: np.ndarray  # the place of the item in ``ids``
+    begin: np.ndarray  # of each window's stretch of ``holders``, and the end of the last
+    holders: np.ndarray  # places of items in ``ids``
     ids: list
 
 
 def make_phrases(ids: list, texts: list, window: int = WINDOW) -> Phrases:
     flat, offsets = flat_texts(pa.array(texts, pa.large_string()))
     words = split_words(flat, offsets)
+    word, first, _ = word_ids(words)
     n = np.diff(words.first)
     per_item = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
     item = np.repeat(np.arange(len(ids)), per_item)
     nth = np.arange(len(item)) - np.repeat(np.cumsum(per_item) - per_item, per_item)
-    return Phrases(words, words.first[item] + nth, np.minimum(n, window)[item], item, ids)
+    length = np.minimum(n, window)[item]
+    back = np.arange(window)[None, :] - window
+    place = (words.first[item] + nth + length)[:, None] + back
+    rows = np.where(-back <= length[:, None], word[np.maximum(place, 0)] if len(word) else -1, -1)
+    rows, of = np.unique(rows.astype(np.int32), axis=0, return_inverse=True)
+    pairs = np.unique(of.ravel().astype(np.int64) * max(len(ids), 1) + item)
+    begin = np.searchsorted(pairs, np.arange(len(rows) + 1) * max(len(ids), 1))
+    return Phrases(words, first, rows, (rows >= 0).sum(axis=1), begin, pairs % max(len(ids), 1), ids)
 
 
 def _same_bytes(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
     """Whether word ``i`` of ``a`` is word ``j`` of ``b``, pair by pair."""
-    size = a.end[i] - a.start[i]
-    same = size == b.end[j] - b.start[j]
-    i, j, size = i[same], j[same], size[same]
-    if len(i):
-        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        equal = a.low[np.repeat(a.start[i], size) + inner] == b.low[np.repeat(b.start[j], size) + inner]
-        same[same] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
-    return same
-
-
-def index_words(words: Words) -> tuple[FMIndex, np.ndarray]:
-    """The index of a shard, and its different word hashes in order."""
-    n_texts = len(words.first) - 1
-    known, ids = np.unique(words.code, return_inverse=True)
-    n_words = np.diff(words.first)
-    symbols = np.zeros(len(ids) + n_texts, np.int64)
-    of = np.repeat(np.arange(n_texts), n_words)
-    symbols[np.arange(len(ids)) + of + 1] = ids + n_texts
-    symbols[words.first[:-1] + np.arange(n_texts)] = np.arange(n_texts)
-    return FMIndex(symbols, len(known) + n_texts), known
-
-
-def occurrences(words: Words, index: FMIndex, known: np.ndarray, phrases: Phrases, window: int = WINDOW):
-    """``(word, phrase)`` number of every occurrence of a phrase within one text of the shard."""
-    n_texts = len(words.first) - 1
-    none = np.zeros(0, np.int64)
-    if not len(phrases.start):
-        return none, none
-    spot = np.minimum(np.searchsorted(known, phrases.words.code), len(known) - 1)
-    symbol = np.where(known[spot] == phrases.words.code, spot + n_texts, -1)
-    back = np.arange(window)[None, :] - window
-    place = phrases.start[:, None] + phrases.length[:, None] + back
-    rows = symbol[np.maximum(place, 0)]
-    low, high = index.search(rows, phrases.length)
-
-    word_parts, phrase_parts = [none], [none]
-    found = np.nonzero(high > low)[0]
-    sizes = (high - low)[found]
-    ends = np.cumsum(sizes)
-    for first in range(0, int(ends[-1]) if len(ends) else 0, LOCATE_AT_ONCE):
-        nth = np.arange(first, min(first + LOCATE_AT_ONCE, int(ends[-1])))
-        k = np.searchsorted(ends, nth, side="right")
-        at = index.locate(low[found[k]] + nth - (ends[k] - sizes[k]))
-        text = np.searchsorted(words.first + np.arange(n_texts + 1), at, side="right") - 1
-        word_parts.append(at - text - 1)
-        phrase_parts.append(found[k])
-    word, phrase = np.concatenate(word_parts), np.concatenate(phrase_parts)
-    return _verified(words, phrases, word, phrase)
-
-
-def _verified(words: Words, phrases: Phrases, word: np.ndarray, phrase: np.ndarray):
-    """The occurrences whose words equal the phrase's byte by byte."""
-    if not len(word):
-        return word, phrase
-    length = phrases.length[phrase]
-    inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    pairs = np.stack(
-        [np.repeat(word, length) + inner, np.repeat(phrases.start[phrase], length) + inner]
-    )
-    key, back = np.unique(pairs[0] << 32 | pairs[1], return_inverse=True)
-    same = _same_bytes(words, key >> 32, phrases.words, key & 0xFFFFFFFF)[back]
-    good = np.logical_and.reduceat(same, np.cumsum(length) - length)
-    return word[good], phrase[good]
+    out = np.zeros(len(i), bool)
+    ends = np.cumsum(a.end[i] - a.start[i])
+    at = 0
+    while at < len(i):  # of a bounded number of bytes, or one word, at once
+        base = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + BYTES_AT_ONCE, side="right")))
+        x, y = i[at:to], j[at:to]
+        size = a.end[x] - a.start[x]
+        same = size == b.end[y] - b.start[y]
+        x, y, size = x[same], y[same], size[same]
+        if len(x):
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            equal = a.low[np.repeat(a.start[x], size) + inner] == b.low[np.repeat(b.start[y], size) + inner]
+            same[same] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+        out[at:to] = same
+        at = to
+    return out
+
+
+def word_ids(words: Words) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """A number for each word, equal for equal bytes; where each number stands first; and
+    the numbers of words whose hash an other word had before, which come last."""
+    known, first, ids = np.unique(words.code, return_index=True, return_inverse=True)
+    extra: dict[bytes, int] = {}
+    places = []
+    for w in np.nonzero(~_same_bytes(words, np.arange(len(ids)), words, first[ids]))[0].tolist():
+        body = words.low[words.start[w] : words.end[w]].tobytes()
+        if body not in extra:
+            extra[body] = len(known) + len(extra)
+            places.append(w)
+        ids[w] = extra[body]
+    return ids, np.concatenate([first, np.array(places, np.int64)]), extra
+
+
+class Shard:
+    """The index of a shard's words, whose symbols are numbers of words after those of texts."""
+
+    def __init__(self, words: Words):
+        self.words, self.n_texts = words, len(words.first) - 1
+        ids, self.first, self.extra = word_ids(words)
+        self.known = words.code[self.first[: len(self.first) - len(self.extra)]]
+        symbols = np.zeros(len(ids) + self.n_texts, np.int64)
+        of = np.repeat(np.arange(self.n_texts), np.diff(words.first))
+        symbols[np.arange(len(ids)) + of + 1] = ids + self.n_texts
+        symbols[words.first[:-1] + np.arange(self.n_texts)] = np.arange(self.n_texts)
+        self.index = FMIndex(symbols, len(self.first) + self.n_texts)
+
+    def symbols(self, phrases: Phrases) -> np.ndarray:
+        """The symbol of each different word of the phrases; -1 if the shard lacks it."""
+        code = phrases.words.code[phrases.first]
+        spot = np.minimum(np.searchsorted(self.known, code), len(self.known) - 1)
+        hashed = np.nonzero(self.known[spot] == code)[0]
+        out = np.full(len(code), -1, np.int64)
+        same = _same_bytes(phrases.words, phrases.first[hashed], self.words, self.first[spot[hashed]])
+        out[hashed[same]] = spot[hashed[same]] + self.n_texts
+        if self.extra:
+            for k in hashed[~same].tolist():
+                w = phrases.first[k]
+                body = phrases.words.low[phrases.words.start[w] : phrases.words.end[w]].tobytes()
+                out[k] = self.extra.get(body, -1 - self.n_texts) + self.n_texts
+        return out
+
+    def occurrences(self, phrases: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(word, window)`` of every occurrence within one text, a bounded number at a time.
+
+        At any word at most one window of each length begins, however often items hold it.
+        """
+        if not len(phrases.rows):
+            return
+        rows = np.append(self.symbols(phrases), -1)[phrases.rows]
+        low, high = self.index.search(rows, phrases.length)
+        found = np.nonzero(high > low)[0]
+        sizes = (high - low)[found]
+        ends = np.cumsum(sizes)
+        for first in range(0, int(ends[-1]) if len(ends) else 0, LOCATE_AT_ONCE):
+            nth = np.arange(first, min(first + LOCATE_AT_ONCE, int(ends[-1])))
+            k = np.searchsorted(ends, nth, side="right")
+            at = self.index.locate(low[found[k]] + nth - (ends[k] - sizes[k]))
+            text = np.searchsorted(self.words.first + np.arange(self.n_texts + 1), at, side="right") - 1
+            yield at - text - 1, found[k]
 
 
 @dataclass
@@ -173,33 +203,37 @@ class Hits:
     spans: list  # of (first word, last word + 1) within each text
     byte_spans: list  # of (first byte, last byte + 1) within each text
     items: list  # of item ids, null ones left out
+    words: Words | None
 
 
-def shard_hits(flat: np.ndarray, offsets: np.ndarray, phrases: Phrases, window: int = WINDOW) -> Hits:
-    return hits_of_blocks(flat, offsets, [phrases], window)
+def shard_hits(flat: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> Hits:
+    return hits_of_blocks(flat, offsets, [phrases])
 
 
-def hits_of_blocks(
-    flat: np.ndarray, offsets: np.ndarray, blocks: Iterable[Phrases], window: int = WINDOW
-) -> Hits:
+def hits_of_blocks(flat: np.ndarray, offsets: np.ndarray, blocks: Iterable[Phrases]) -> Hits:
     """Hits of all blocks in the texts as they stand; the shard is indexed once."""
     words = split_words(flat, offsets)
     n_texts = len(offsets) - 1
     out = Hits(np.diff(words.first), [[] for _ in range(n_texts)], [[] for _ in range(n_texts)],
-               [[] for _ in range(n_texts)])
+               [[] for _ in range(n_texts)], words)
     if not len(words.code):
         return out
-    index, known = index_words(words)
+    shard = Shard(words)
     text_of = np.repeat(np.arange(n_texts), out.n_words)
     change = np.zeros(len(words.code) + 1, np.int64)
     for phrases in blocks:
-        word, phrase = occurrences(words, index, known, phrases, window)
-        change += np.bincount(word, minlength=len(change))
-        change -= np.bincount(word + phrases.length[phrase], minlength=len(change))
-        n_items = len(phrases.ids)
-        for pair in np.unique(text_of[word] * n_items + phrases.item[phrase]).tolist():
-            if (name := phrases.ids[pair % n_items]) is not None:
-                out.items[pair // n_items].append(name)
+        n_windows, pairs = max(len(phrases.rows), 1), np.zeros(0, np.int64)
+        for word, window in shard.occurrences(phrases):
+            np.add.at(change, word, 1)
+            np.add.at(change, word + phrases.length[window], -1)
+            pairs = np.union1d(pairs, text_of[word] * n_windows + window)
+        text, window = pairs // n_windows, pairs % n_windows
+        for t in np.unique(text).tolist():
+            own = window[slice(*np.searchsorted(text, [t, t + 1]))]
+            holders = [phrases.holders[phrases.begin[w] : phrases.begin[w + 1]] for w in own.tolist()]
+            for i in np.unique(np.concatenate(holders)).tolist():
+                if (name := phrases.ids[i]) is not None:
+                    out.items[t].append(name)
     hit = np.cumsum(change)[:-1] > 0
     fresh = np.concatenate([[True], text_of[1:] != text_of[:-1]])
     begins = np.nonzero(hit & (fresh | ~np.concatenate([[False], hit[:-1]])))[0]
@@ -213,6 +247,49 @@ def hits_of_blocks(
     return out
 
 
+def _joined(spans: list) -> list:
+    """Spans in order, with those that overlap or touch as one."""
+    out: list = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
+
+
+def long_text_hits(text: np.ndarray, blocks: Callable[[], Iterable[Phrases]], size: int, window: int = WINDOW) -> Hits:
+    """Hits of one text longer than a shard: in parts that share ``window - 1`` words."""
+    begin, before, room = 0, 0, size
+    spans, byte_spans, items = [], [], []
+    while True:
+        end = begin + room
+        while end < len(text) and IS_WORD[LOWER[text[end]]]:
+            end += 1
+        part = text[begin:end]
+        hits = hits_of_blocks(part, np.array([0, len(part)]), blocks())
+        spans += [(a + before, b + before) for a, b in hits.spans[0]]
+        byte_spans += [(a + begin, b + begin) for a, b in hits.byte_spans[0]]
+        items += hits.items[0]
+        n = int(hits.n_words[0])
+        if end >= len(text):
+            break
+        if n <= 2 * window:  # words so long that the part holds too few of them
+            room *= 2
+            continue
+        begin += int(hits.words.start[n - window + 1])
+        before += n - window + 1
+        room = size
+    # Bytes between two touching words' spans belong to neither; word spans say which are one.
+    ends = dict(zip(spans, byte_spans))
+    merged = _joined(spans)
+    bytes_of = []
+    for first, last in merged:
+        inside = [ends[s] for s in ends if first <= s[0] and s[1] <= last]
+        bytes_of.append((min(a for a, _ in inside), max(b for _, b in inside)))
+    return Hits(np.array([before + n]), [merged], [bytes_of], [sorted(set(items), key=str)], None)
+
+
 _SPANS = "array<struct<first:bigint,last:bigint>>"
 _SPAN_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 FOUND = f"n_words bigint, spans {_SPANS}, byte_spans {_SPANS}, items array<string>"
@@ -235,7 +312,11 @@ def _pass(docs: DataFrame, blocks: Iterable[Phrases], keep: list[str], prefix: s
             flat, offsets = flat_texts(batch.column("text"))
             for first, last in pieces(offsets, SHARD_BYTES):
                 part = offsets[first : last + 1]
-                hits = hits_of_blocks(flat[part[0] : part[-1]], part - part[0], _one_at_a_time(held))
+                body, part = flat[part[0] : part[-1]], part - part[0]
+                if len(body) > SHARD_BYTES:  # one text
+                    hits = long_text_hits(body, lambda: _one_at_a_time(held), SHARD_BYTES)
+                else:
+                    hits = hits_of_blocks(body, part, _one_at_a_time(held))
                 as_structs = [
                     [[{"first": a, "last": b} for a, b in row] for row in rows]
                     for rows in (hits.spans, hits.byte_spans)

@@ -1,6 +1,9 @@
 """The FM-index and decontamination against plain Python."""
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import plain
@@ -146,6 +149,60 @@ def test_cut_does_not_depend_on_blocks(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == want, size
 
 
+def test_repeated_words_stay_in_bounded_memory():
+    """20,000 equal words against an item of 200 of them, in a process of its own."""
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from findling.llm import decontamination as dc
+from findling.llm.common import flat_texts
+phrases = dc.make_phrases([1, 2], [" ".join(["a"] * 200), " ".join(["a"] * 100)])
+flat, offsets = flat_texts(pa.array([" ".join(["A"] * 20000), "a b"]))
+hits = dc.shard_hits(flat, offsets, phrases)
+assert hits.spans == [[(0, 20000)], []] and hits.items == [[1, 2], []]
+assert len(phrases.rows) == 1
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=60,
+                          env={**os.environ, "PYTHONPATH": root})
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 500
+
+
+@pytest.mark.parametrize("size", [90, 400, 3000])
+def test_a_text_longer_than_a_shard(tables, monkeypatch, size):
+    docs, benchmark, items = tables
+    known = plain.windows(items)
+    text = "  ".join((r.text or "") + " " + make(k, 30) for k, r in enumerate(docs.collect())) + " x y z" * 3
+    text += " giant" + "x" * 1000 + " " + items[0][1] + "."
+    phrases = dc.make_phrases(*map(list, zip(*[(i, t or "") for i, t in items])))
+    hits = dc.long_text_hits(np.frombuffer(text.encode(), np.uint8), lambda: [phrases], size)
+    n, hit, names = plain.contamination(text, known)
+    assert int(hits.n_words[0]) == n and sum(b - a for a, b in hits.spans[0]) == hit
+    assert sorted(map(str, hits.items[0])) == sorted(names)
+    whole = dc.shard_hits(*flat_texts(pa.array([text])), phrases)
+    assert hits.spans[0] == whole.spans[0] and hits.byte_spans[0] == whole.byte_spans[0]
+
+
+def test_colliding_hashes(tables, monkeypatch):
+    """With hashes of a few values only, words are still told apart."""
+    docs, _, items = tables
+    phrases = lambda: dc.make_phrases(*map(list, zip(*[(i, t or "") for i, t in items])))
+    flat, offsets = flat_texts(pa.array([r.text for r in docs.collect()]))
+    want = dc.shard_hits(flat, offsets, phrases())
+    whole = dc.split_words
+
+    def few(flat, offsets):
+        words = whole(flat, offsets)
+        words.code = words.code % np.uint64(5)
+        return words
+
+    monkeypatch.setattr(dc, "split_words", few)
+    got = dc.shard_hits(flat, offsets, phrases())
+    assert got.spans == want.spans and list(map(sorted, got.items)) == list(map(sorted, want.items))
+
+
 def test_empty_tables(spark, tables):
     docs, benchmark, _ = tables
     assert dc.report(docs.limit(0), benchmark).collect() == []
