@@ -18,7 +18,8 @@ example, is a false alarm; the rest, and what is both, is unlabelled.
 Defined results: a null text holds no candidates, a null path is empty. Equal
 candidates at different places are scored each. Without findings of both kinds
 every candidate's score is the share of true ones, 0.5 if none is labelled. An
-empty table gives an empty table. Extra columns are ignored.
+empty table gives an empty table. Extra columns are ignored. Texts are searched
+whole, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -55,7 +56,9 @@ BEARER = r"(?<![A-Za-z0-9])(?i:bearer)[ \t]+"
 
 def _given_to(names: str) -> str:
     """The whole run that holds one of ``names``, and what assigns a value to it."""
-    return rf"""(?<!{RUN}){RUN}*(?i:{names}){RUN}*["']?[ \t\r\n]*(?:=>|:=|={{1,3}}|:)[ \t\r\n]*"""
+    # The names are looked for once, at the head of the run, which is then taken whole and not
+    # given back: a run of any length costs its length.
+    return rf"""(?<!{RUN})(?={RUN}*(?i:{names})){RUN}++["']?[ \t\r\n]*(?:=>|:=|={{1,3}}|:)[ \t\r\n]*"""
 
 
 def _value(least: int) -> str:

@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, properties, and defined results for odd rows."""
 
+import time
 import math
 import random
 
@@ -196,6 +197,19 @@ def test_short_unquoted_and_punctuated_secrets(spark):
     assert not found[found["value"].str.startswith("plainword")]["is_secret"].any()
 
 
+def test_long_runs_take_time_by_their_length(spark):
+    """A megabyte of the name of a credential, assigned and not."""
+    run = "token" * 200_000
+    texts = [run, run + ' = "k3yk3yk3yk3y"', "x " + run + ":", "=".join(["token"] * 50_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").cache()
+    docs.count()
+    start = time.perf_counter()
+    found = secrets_forest.candidates(docs, F.lit("")).select("doc_id", "at", F.length("value").alias("n")).collect()
+    assert time.perf_counter() - start < 20
+    assert {(r.doc_id, r.at, r.n) for r in found if r.doc_id < 3} == {
+        (0, 0, len(run)), (1, len(run) + 4, 12), (2, 2, len(run))}
+
+
 def test_forest_generalises_from_given_labels(spark):
     rnd = random.Random(3)
     rows, labels = [], []
