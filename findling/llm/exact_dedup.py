@@ -134,15 +134,16 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Rows alone with their text pass without a shuffle. The others are reduced
     within each task first, so that a group of any size sends one row per task.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("__key", F.xxhash64(_body(text)))
-    marked = mark_possible_repeats(keyed, "__key", "__maybe")
-    alone = marked.filter("NOT __maybe").select(*columns)
-    order = F.struct(F.col(doc_id).isNotNull(), F.col(doc_id))
+    # The row travels as one struct, so that no column of it can meet the names used here.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, F.xxhash64(_body(text)).alias("key"))
+    marked = mark_possible_repeats(keyed, "key", "maybe")
+    alone = marked.filter("NOT maybe").select("row.*")
+    order = F.struct(F.col("row")[doc_id].isNotNull(), F.col("row")[doc_id])
     met = (
-        marked.filter("__maybe")
-        .groupBy(F.sha2(_body(text), 256).alias("__sha"))
-        .agg(F.max_by(F.struct(*columns), order).alias("__row"))
-        .select("__row.*")
+        marked.filter("maybe")
+        .groupBy(F.sha2(F.coalesce(F.col("row")[text], F.lit("")), 256).alias("sha"))
+        .agg(F.max_by("row", order).alias("row"))
+        .select("row.*")
     )
     return alone.unionByName(met)

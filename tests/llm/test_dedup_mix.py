@@ -46,9 +46,14 @@ def test_groups_of_equal_texts(docs):
 
 def test_kept_rows_keep_their_columns(spark, docs):
     odd = docs.withColumn("block", F.lit(1)).withColumn("text_sha256", F.lit("z"))
+    for name in ("key", "__key", "__block", "__bits", "row", "maybe", "a.b", "sha"):
+        odd = odd.withColumn(name, F.lit(f"mine {name}"))
     kept = exact_dedup.drop_exact_copies(odd)
     assert kept.columns == odd.columns
-    got = sorted((r.text or "", r.doc_id) for r in kept.collect())
+    rows = kept.collect()
+    assert {tuple(r)[5:] for r in rows} == {(1, "z", "mine key", "mine __key", "mine __block", "mine __bits",
+                                            "mine row", "mine maybe", "mine a.b", "mine sha")}
+    got = sorted((r.text or "", r.doc_id) for r in rows)
     best = {}
     for r in docs.collect():
         best[r.text or ""] = max(best.get(r.text or "", -1), -1 if r.doc_id is None else r.doc_id)
