@@ -8,7 +8,8 @@ response's payload. Records are rows; ``write_records`` makes files of them and
 ``read_records`` reads such files back, split at record borders.
 
 Defined results: a null url or html is empty, so that a page without a body has
-an empty conversion. Pages sharing number and url share identifiers, as they do
+an empty conversion. Line breaks in a url are percent-encoded, as a header is one
+line. Pages sharing number and url share identifiers, as they do
 in a crawl that stores one response twice. An empty table gives no records.
 """
 
@@ -65,7 +66,8 @@ def _digest(block: str) -> Column:
 def responses(pages: DataFrame) -> DataFrame:
     """Pages as response records: identifier, target, date, origin headers, payload."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    url = F.coalesce(F.col("url"), F.lit(""))
+    url = F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D"))
+    url = F.replace(url, F.lit("\n"), F.lit("%0A"))  # a header is one line
     number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     return pages.select(
         F.col("page_id"),

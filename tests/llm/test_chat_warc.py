@@ -62,7 +62,7 @@ def test_read_back(spark):
 PAGE = ('<html lang="en"><head><title> A  b </title><script>x<y</script></head><body><!-- no --><nav>menu</nav>'
         '<h1>Head &amp; &lt;tail&gt;</h1><p>One<b>two</b>\n three</p><a href="u">link</a></body></html>')
 PAGES = [(1, "http://a/", PAGE), (2, None, None), (None, "http://b/", ""), (3, "http://c/", "plain\r\n\r\nWARC text"),
-         (4, "http://d/", "<p>" + "word " * 40_000), (1, "http://a/", PAGE)]
+         (4, "http://d/", "<p>" + "word " * 40_000), (5, "http://e/\r\nWARC-Type: x\n", "<p>x"), (1, "http://a/", PAGE)]
 
 
 def test_derivatives(spark):
