@@ -12,7 +12,7 @@ order, and pieces are made without a shuffle. Reading back walks through sorted
 rows and keeps running digests only, so a conversation may be of any length.
 
 Defined results: a null text or role is empty. Turns with one number stand in
-order of role and text; a null turn stands first, and a null conversation is
+order of role and rendered text, escapes and all; a null turn stands first, and a null conversation is
 one of its own. An empty table gives an empty table.
 """
 
