@@ -29,16 +29,21 @@ def tokenize(df: DataFrame, key: str, text: str = "text", lang: str = "lang") ->
     return rows.filter(~is_stop_word("term", lang)).select(key, "pos", "term")
 
 
-def build_postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def build_postings(
+    chunks: DataFrame, only: DataFrame | None = None, marked: bool = False
+) -> DataFrame:
     """``(tenant_id, term, chunk_id, doc_id, chunk_terms, tf, positions)``.
 
-    ``chunk_terms`` is the length of the chunk in words, stop words included.
+    ``chunk_terms`` is the length of the chunk in words, stop words included. Chunks
+    that know their ``uploaded_at`` pass it on. With ``marked`` every chunk has one
+    line more, under the empty term, from which totals can be taken.
     Without ``only`` this is the whole index: a chunk is one row, so its words are
     grouped by sorting inside that row and nothing is shuffled. With ``only``, a
     table of ``(tenant_id, term)``, all other words are dropped as they are read
     and just the rest is grouped; that serves a search over chunks not indexed.
     """
-    ids = ("tenant_id", "chunk_id", "doc_id", "lang")
+    dated = ["uploaded_at"] if "uploaded_at" in chunks.columns else []
+    ids = ("tenant_id", "chunk_id", "doc_id", "lang", *dated)
     split = chunks.select(*ids, word_tokens(F.col("text")).alias("words"))
     is_term = ~is_stop_word("term", "lang")
     if only is not None:
@@ -52,7 +57,7 @@ def build_postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFram
             )
             .join(only.select("tenant_id", "term"), ["tenant_id", "term"], "left_semi")
             .filter(is_term)
-            .groupBy("tenant_id", "term", "chunk_id", "doc_id", "chunk_terms")
+            .groupBy("tenant_id", "term", "chunk_id", "doc_id", "chunk_terms", *dated)
             .agg(
                 F.count(F.lit(1)).cast("int").alias("tf"),
                 F.sort_array(F.collect_list("pos")).alias("positions"),
@@ -60,11 +65,10 @@ def build_postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFram
         )
 
     run = "slice(xs, first + 1, coalesce(get(firsts, i + 1), size(xs)) - first)"
-    runs = let(
-        run_starts("xs", "{0}.words"),
-        "firsts",
-        f"transform(firsts, (first, i) -> struct(get(xs, first).words AS term, {run} AS run))",
-    )
+    each = f"transform(firsts, (first, i) -> struct(get(xs, first).words AS term, {run} AS run))"
+    if marked:
+        each = f"concat(array(struct('' AS term, slice(xs, 1, 0) AS run)), {each})"
+    runs = let(run_starts("xs", "{0}.words"), "firsts", each)
     # Zipped arrays compile, where a lambda per word would not.
     places = "slice(sequence(0, size(words)), 1, size(words))"
     placed = f"sort_array(arrays_zip(words, {places}))"
@@ -84,6 +88,7 @@ def build_postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFram
             "chunk_terms",
             F.size(F.col("t")["run"]).alias("tf"),
             F.col("t")["run"]["1"].alias("positions"),
+            *dated,
         )
     )
 

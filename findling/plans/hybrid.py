@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,19 +39,42 @@ def index_chunks(
 def build_index(
     chunks: DataFrame, base: str, dim: int = ingest.DEFAULT_DIM, model=None
 ) -> tuple[str, str, str]:
-    """Store everything retrieval needs below ``base``; returns the folders for ``open_index``."""
+    """Store everything retrieval needs below ``base``; returns the folders for ``open_index``.
+
+    Of a document uploaded more than once the newest upload is stored.
+    """
     spark = chunks.sparkSession
+    if "uploaded_at" in chunks.columns:
+        chunks = index_store.only_newest(chunks)
     stored = index_store.store_chunks(chunks, base, dim, model)
     return (stored, *index_store.store_terms(index_store.read_chunks(spark, stored), base))
 
 
 def open_index(
-    spark: SparkSession, folders: tuple[str, str, str], dim: int = ingest.DEFAULT_DIM
+    spark: SparkSession,
+    folders: tuple[str, str, str],
+    dim: int = ingest.DEFAULT_DIM,
+    deltas: Sequence[tuple[str, str]] = (),
 ) -> Index:
-    """A stored index. Searching it reads texts for the reranked pool only."""
+    """A stored index. Searching it reads texts for the reranked pool only.
+
+    ``deltas`` name the folders of chunks and postings that streams have added to.
+    """
     chunks = index_store.read_chunks(spark, folders[0])
+    postings, stats = (spark.read.parquet(f) for f in folders[1:])
+    if deltas:
+        new = index_store.read_chunks(spark, *(c for c, _ in deltas))
+        terms = index_store.read_terms(spark, *(p for _, p in deltas))
+        chunks, postings, stats = index_store.with_deltas(chunks, postings, new, terms)
     vectors = chunks.select("tenant_id", "doc_id", "chunk_id", "embedding")
-    return Index(chunks, vectors, *(spark.read.parquet(f) for f in folders[1:]), dim)
+    return Index(chunks, vectors, postings.filter("term != ''"), stats, dim)
+
+
+def compact(index: Index, base: str) -> tuple[str, str, str]:
+    """Write an index and what was added to it as one new base; vectors are kept."""
+    spark = index.chunks.sparkSession
+    stored = index_store.store_chunks(index.chunks, base, index.dim)
+    return (stored, *index_store.store_terms(index_store.read_chunks(spark, stored), base))
 
 
 def dense_route(queries: DataFrame, index: Index, k: int) -> DataFrame:

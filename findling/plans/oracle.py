@@ -534,6 +534,7 @@ _add(
 )
 HITS = "SELECT query_id, chunk_id, doc_id, rank, score FROM {0}"
 _add("bm25_topk", HITS.format("lexical"), lambda: _bm25("asked", reg.POOL))
+_add("stream_search", HITS.format("lexical"), lambda: _bm25("asked", reg.POOL))
 _add("bm25_topk_all", HITS.format("lexical"), lambda: _bm25("web_asked", reg.POOL, "all"))
 _add(
     "rrf_fuse",

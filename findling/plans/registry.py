@@ -80,16 +80,23 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.chunk_fixed(_docs(spark, folder)).drop("uploaded_at")
 
 
-_STORED: dict[tuple[str, str], tuple[str, str, str]] = {}
+_STORED: dict[tuple, tuple[str, str, str]] = {}
 
 
-def _index(spark: SparkSession, folder: str) -> hybrid.Index:
-    """The stored index of the tables in ``folder``: built once in a session, then searched."""
-    key = (spark.sparkContext.applicationId, folder)
+def _stored(spark: SparkSession, folder: str) -> tuple[str, str, str]:
+    """The folders of the index of the tables in ``folder``, built once in a session.
+
+    Files that have changed since, in name, size or time, make another index.
+    """
+    key = (spark.sparkContext.applicationId, folder, *src.files_digest(spark, folder, "documents"))
     if key not in _STORED:
         base = scratch_folder(spark, "index")
-        _STORED[key] = hybrid.build_index(_chunks(spark, folder), base, DIM)
-    return hybrid.open_index(spark, _STORED[key], DIM)
+        _STORED[key] = hybrid.build_index(ingest.chunk_fixed(_docs(spark, folder)), base, DIM)
+    return _STORED[key]
+
+
+def _index(spark: SparkSession, folder: str) -> hybrid.Index:
+    return hybrid.open_index(spark, _stored(spark, folder), DIM)
 
 
 def _lexical_hits(spark: SparkSession, folder: str, k: int = TOP) -> DataFrame:
@@ -226,8 +233,10 @@ def metadata_filter(spark, folder):
 def isolation_audit(spark, folder):
     """The hits that users would see, and the owners of the chunks as documents state them."""
     asked = src.search_queries(spark, folder)
-    hits = hybrid.hybrid_search(asked, _index(spark, folder), TOP, POOL)
-    return tenancy.isolation_audit(written(hits, "hits"), _chunks(spark, folder), asked)
+    hits = written(hybrid.hybrid_search(asked, _index(spark, folder), TOP, POOL), "hits")
+    named = hits.select("chunk_id", ingest.document_of(F.col("chunk_id")).alias("doc_id")).distinct()
+    owners = _docs(spark, folder).select("doc_id", "tenant_id").join(named, "doc_id")
+    return tenancy.isolation_audit(hits, owners, asked)
 
 
 @query
@@ -588,6 +597,19 @@ def stream_status(spark, folder):
     return jobs.ingested_status(statuses, chunks)
 
 
+@query
+def stream_search(spark, folder):
+    """Questions to an index of batch and stream: every upload comes a second time by a
+    stream, which hides what the batch had of it, unless the stream rejects it."""
+    base = scratch_folder(spark, "ingest")
+    chunks, terms = f"{base}/chunks", f"{base}/terms"
+    docs = jobs.stream_documents(spark, folder)
+    jobs.stream_ingest(docs, chunks, f"{chunks}-checkpoint", ingest.MAX_UPLOAD_BYTES, DIM).awaitTermination()
+    jobs.stream_terms(spark, chunks, terms, f"{terms}-checkpoint").awaitTermination()
+    index = hybrid.open_index(spark, _stored(spark, folder), DIM, [(chunks, terms)])
+    return hybrid.lexical_route(src.search_queries(spark, folder), index, POOL)
+
+
 @query
 def stream_rate_windows(spark, folder):
     return jobs.run_available(

@@ -57,6 +57,18 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     )
 
 
+def files_digest(spark: SparkSession, folder: str, name: str) -> tuple:
+    """Number, bytes, newest time and a sum over the names of a table's files, unread."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .load(f"{folder}/{name}.parquet").select("path", "length", "modificationTime")
+    )
+    mark = F.pmod(F.xxhash64("path", "length", "modificationTime"), F.lit(1 << 40))
+    return tuple(
+        files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"), F.sum(mark)).first()
+    )
+
+
 def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "pages", schemas.PAGES)
 

@@ -3,7 +3,12 @@
 ``chunks``: the rows of chunks with the vector beside the text, so that one write
 makes both visible or neither, laid out by tenant. ``postings`` and ``stats``:
 terms, laid out by a bucket of tenant and term, sorted within; a search that
-names terms reads the buckets they fall into.
+names terms reads the buckets they fall into. Postings hold one line per chunk more,
+under the empty term, from which the totals of a tenant are taken.
+
+An index is a base that a batch wrote, and beside it what streams have added since
+(``with_deltas``): of a document in both, the newest upload counts, in texts, vectors,
+postings and statistics alike. Writing that union anew makes the next base.
 
 Every batch write goes to a folder of its own, so writers never meet; streams
 write through the Parquet file sink, whose log Spark keeps and reads. A reader
@@ -22,10 +27,13 @@ from pyspark.sql import types as T
 
 from findling.operators.ingest import DEFAULT_DIM, embed_chunks
 from findling.operators.lexical import TERM_BUCKET, build_postings, search_stats, term_bucket
+from findling.session import written
 
 
 def with_vectors(chunks: DataFrame, dim: int = DEFAULT_DIM, model=None) -> DataFrame:
-    """The chunks with ``embedding`` in the same row."""
+    """The chunks with ``embedding`` in the same row; one that is there stays."""
+    if "embedding" in chunks.columns:
+        return chunks
     return embed_chunks(chunks, dim, model, keys=tuple(chunks.columns))
 
 
@@ -58,6 +66,67 @@ def newest_uploads(chunks: DataFrame) -> DataFrame:
     return kept.dropDuplicates(["tenant_id", "chunk_id"])
 
 
+def only_newest(chunks: DataFrame) -> DataFrame:
+    """The same as ``newest_uploads`` where few documents came twice: texts of the others
+    are not shuffled. The documents that did are found first, by their chunks' names."""
+    keys, upload = ["tenant_id", "doc_id"], ["tenant_id", "doc_id", "uploaded_at"]
+    per_upload = (
+        chunks.groupBy(*upload, "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*upload).agg(F.max("n").alias("n"))
+    )
+    doubtful = per_upload.groupBy(*keys).agg(
+        F.max("uploaded_at").alias("uploaded_at"), F.count(F.lit(1)).alias("uploads"), F.max("n").alias("n")
+    ).filter("uploads > 1 OR n > 1")
+    doubtful = written(doubtful, "uploaded-twice")
+    clean = chunks.join(doubtful.select(*keys), keys, "left_anti")
+    newest = chunks.join(doubtful.select(*upload), upload, "left_semi")
+    return clean.unionByName(newest.dropDuplicates(["tenant_id", "chunk_id"]))
+
+
+def read_terms(spark: SparkSession, *folders: str) -> DataFrame:
+    """Stored postings of one or more folders."""
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f) for f in folders])
+
+
+def _live(base: DataFrame, new: DataFrame, newest: DataFrame, *row: str) -> DataFrame:
+    """Rows of documents that did not come again, and those of newest uploads."""
+    keys = ["tenant_id", "doc_id"]
+    kept = base.join(newest.select(*keys), keys, "left_anti")
+    fresh = new.join(newest, [*keys, "uploaded_at"], "left_semi").dropDuplicates([*row])
+    return kept.unionByName(fresh)
+
+
+def with_deltas(
+    chunks: DataFrame, postings: DataFrame, new_chunks: DataFrame, new_postings: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, postings and statistics of a base together with what streams added.
+
+    A document counts as added once its postings are there. One that came again hides
+    what the base has of it, unless the base's upload is the newer one. What is added
+    is small beside the base: only it is deduplicated, and the base's rows meet a
+    short list of documents. Statistics of terms are added up when they are read.
+    """
+    keys = ["tenant_id", "doc_id"]
+    added = new_postings.filter("term = ''").groupBy(*keys).agg(F.max("uploaded_at").alias("uploaded_at"))
+    base = (
+        postings.filter("term = ''").join(added.select(*keys), keys, "left_semi")
+        .groupBy(*keys).agg(F.max("uploaded_at").alias("base_at"))
+    )
+    newest = added.join(base, keys, "left").filter("base_at IS NULL OR uploaded_at >= base_at")
+    newest = written(newest.drop("base_at"), "newest-uploads")
+    chunks = _live(chunks, new_chunks, newest, "tenant_id", "chunk_id")
+    postings = _live(postings, new_postings, newest, TERM_BUCKET, "tenant_id", "term", "chunk_id")
+    totals = postings.filter("term = ''").groupBy("tenant_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum("chunk_terms").alias("n_terms")
+    )
+    stats = (
+        postings.filter("term != ''").groupBy(TERM_BUCKET, "tenant_id", "term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        .join(written(totals, "tenant-totals"), "tenant_id")
+    )
+    return chunks, postings, stats
+
+
 def store_terms(chunks: DataFrame, base: str) -> tuple[str, str]:
     """Write postings and statistics of stored chunks; returns their folders."""
     spark, name = chunks.sparkSession, uuid.uuid4().hex
@@ -68,6 +137,6 @@ def store_terms(chunks: DataFrame, base: str) -> tuple[str, str]:
         rows = rows.sortWithinPartitions(TERM_BUCKET, "tenant_id", "term")
         rows.write.mode("errorifexists").partitionBy(TERM_BUCKET).parquet(folder)
 
-    write(build_postings(chunks), postings)
-    write(search_stats(spark.read.parquet(postings), chunks), stats)
+    write(build_postings(chunks, marked=True), postings)
+    write(search_stats(spark.read.parquet(postings).filter("term != ''"), chunks), stats)
     return postings, stats

@@ -2,6 +2,7 @@
 
 import bisect
 import os
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from findling.operators import ingest, limits, metrics, selection
 from findling.operators.selection import exact_percentiles
+from findling.plans import hybrid
 from findling.sources import documents as src
 from findling.sources import index_store
 from findling.streaming import jobs
@@ -208,3 +210,62 @@ def test_admission_over_several_files(spark, tmp_path):
     assert {r.event_id: r.admitted for r in out} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True}
 
 
+
+def test_stream_and_batch_make_one_index(spark, tmp_path):
+    """Three batches, one document uploaded again newer, one older, one delivered twice."""
+    doc = "doc_id bigint, tenant_id string, lang string, day int, text string"
+    words = "red blue stone river the of data fast slow green cloud seven".split()
+    rnd = random.Random(3)
+    text = lambda: " ".join(rnd.choices(words, k=rnd.randrange(3, 1200)))
+    base = [(i, f"t{i % 2}", "en", 0, text()) for i in range(12)]
+    parts = [
+        [(3, "t1", "en", 2, text()), (20, "t0", "en", 2, text())],
+        [(4, "t0", "en", -1, "stone stone stone"), (21, "t1", "en", 3, text())],  # older than the base's
+        [(3, "t1", "en", 5, "river data"), (21, "t1", "en", 3, "")],
+    ]
+    twice = (22, "t0", "en", 4, text())
+    parts[1].append(twice)
+    parts[2].append(twice)
+    parts[2][1] = (20, "t0", "en", 1, "green green")  # older than the stream's own
+    dated = lambda df: df.select(
+        "*", (F.lit(START) + F.make_dt_interval(F.col("day"))).cast("timestamp_ntz").alias("uploaded_at"),
+        F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit("text/plain").alias("mime"))
+    files_in_turn(spark, tmp_path, "uploads", parts, doc)
+    chunks, terms = str(tmp_path / "chunks"), str(tmp_path / "terms")
+    raw = (
+        spark.readStream.schema(doc).option("pathGlobFilter", "uploads*.parquet")
+        .option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    )
+    jobs.stream_ingest(dated(raw), chunks, f"{chunks}-log", 10**7, dim=16).awaitTermination()
+    for _ in range(2):  # run again, it adds nothing
+        jobs.stream_terms(spark, chunks, terms, f"{terms}-log").awaitTermination()
+    old = dated(spark.createDataFrame([*base, base[0]], doc))  # a row delivered twice to the batch
+    folders = hybrid.build_index(ingest.chunk_fixed(old), str(tmp_path / "base"), 16)
+    merged = hybrid.open_index(spark, folders, 16, [(chunks, terms)])
+
+    newest = {}
+    for row in [*base, *parts[0], *parts[1], *parts[2]]:
+        if row[0] not in newest or newest[row[0]][3] < row[3]:
+            newest[row[0]] = row
+    now = ingest.chunk_fixed(dated(spark.createDataFrame(list(newest.values()), doc)))
+    rebuilt = hybrid.index_chunks(now.drop("uploaded_at"), 16)
+    compacted = hybrid.open_index(spark, hybrid.compact(merged, str(tmp_path / "next")), 16)
+    asked = spark.createDataFrame(
+        [(i, f"t{i % 2}", "en", " ".join(words[i : i + 3])) for i in range(10)],
+        "query_id bigint, tenant_id string, lang string, text string")
+    for route in (lambda x: hybrid.lexical_route(asked, x, 50), lambda x: hybrid.dense_route(asked, x, 50)):
+        want = sorted(map(tuple, route(rebuilt).collect()))
+        assert want and sorted(map(tuple, route(merged).collect())) == want
+        assert sorted(map(tuple, route(compacted).collect())) == want
+    assert merged.chunks.filter("doc_id = 3").select("text").collect()[0].text == "river data"
+
+
+def test_vectors_of_other_tenants_are_not_read(spark, tmp_path):
+    docs = src.scan_documents(spark, FOLDER)
+    folders = hybrid.build_index(ingest.chunk_fixed(docs), str(tmp_path), 8)
+    index = hybrid.open_index(spark, folders, 8)
+    asked = src.search_queries(spark, FOLDER).filter("query_id = 3")
+    hits = hybrid.dense_route(asked, index, 5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan and "(tenant_id#" in plan and "= src3" in plan
+    assert hits.count() > 0
