@@ -203,6 +203,18 @@ def chunk_structured(
     return _chunk_rows(docs, f"if(size(doc.toks) > 0, {chunks}, NULL)", lines_per_page)
 
 
+def chunk_at(docs: DataFrame, marks: str, shared: int, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
+    """Chunks that begin at the tokens which the array column ``marks`` lists, each led by
+    the ``shared`` tokens before. ``page_no`` is the page of a chunk's own first token."""
+    lead = let(
+        f"greatest(first - {shared}, 0)",
+        "start",
+        _cut("first", "start", f"(coalesce(get({marks}, i + 1), size(doc.toks)) - start)"),
+    )
+    chunks = f"transform({marks}, (first, i) -> {lead})"
+    return _chunk_rows(docs, f"if(size(doc.toks) > 0, {chunks}, NULL)", lines_per_page)
+
+
 def document_of(chunk_id: Column) -> Column:
     """Chunk ids start with the id of their document."""
     return F.substring_index(chunk_id, ":", 1).cast("bigint")

@@ -25,6 +25,7 @@ from findling.operators import (
     limits,
     metrics,
     security,
+    segmentation,
     tenancy,
 )
 from findling.plans import hybrid
@@ -190,6 +191,11 @@ def chunk_structured(spark, folder):
     return ingest.chunk_structured(_docs(spark, folder)).drop("uploaded_at")
 
 
+@query
+def chunk_coherent(spark, folder):
+    return segmentation.chunk_coherent(_docs(spark, folder)).drop("uploaded_at")
+
+
 @query
 def embed_chunks(spark, folder):
     vectors = ingest.embed_chunks(_chunks(spark, folder), DIM)
