@@ -16,11 +16,13 @@ from pyspark.sql.window import Window as W
 from findling.functions.text import steady
 from findling.functions.vectors import cosine_distance as cosine
 from findling.operators import (
+    cells,
     containment,
     context,
     dense,
     fusion,
     ingest,
+    latent,
     lexical,
     limits,
     metrics,
@@ -321,6 +323,63 @@ def euclidean_topk(spark, folder):
     return _self_topk(spark, folder, dense.euclidean_topk)
 
 
+N_CELLS, RECALL = 32, 0.95
+
+
+def _celled(spark, folder):
+    """Every hundredth vector as a question, all vectors in cells, the centres, and how many
+    cells to probe for a recall of ``RECALL`` by a sample."""
+    vectors = src.scan_embeddings(spark, folder).select("vec_id", "embedding")
+    centres = cells.fit_cells(vectors, N_CELLS, "vec_id")
+    stored = spark.read.parquet(cells.store_cells(vectors, centres, scratch_folder(spark, "cells")))
+    asked = vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return asked, stored, centres, cells.choose_probes(stored, centres, 10, RECALL, "vec_id")
+
+
+@query
+def cell_topk(spark, folder):
+    asked, stored, centres, probes = _celled(spark, folder)
+    return cells.cell_topk(asked, stored, centres, 10, probes, vector_id="vec_id")
+
+
+@query
+def cell_recall(spark, folder):
+    """What the cells miss of the exact nearest vectors, and what they spare."""
+    asked, stored, centres, probes = _celled(spark, folder)
+    return cells.cell_recall(asked, stored, centres, 10, probes, vector_id="vec_id")
+
+
+def _learned(spark, folder):
+    """The index of the tables, its chunks' learned vectors, and what embeds a question alike."""
+    index = _index(spark, folder)
+    model = latent.fit(index.chunks, DIM)
+    vectors = written(latent.embed(index.chunks, model), "learned-vectors")
+    return index, vectors, lambda asked: latent.embed(asked, model, ("query_id", "tenant_id"))
+
+
+@query
+def learned_topk(spark, folder):
+    """The nearest chunks of every question by vectors learned from the chunks."""
+    _, vectors, embed = _learned(spark, folder)
+    return dense.dense_topk(embed(src.search_queries(spark, folder)), vectors, POOL)
+
+
+@query
+def compare_vectors(spark, folder):
+    """Hashed and learned vectors by the relevance labels."""
+    asked, qrels = eval_queries(spark, folder)
+    index, vectors, embed = _learned(spark, folder)
+    lists = {
+        "hashed": hybrid.dense_route(asked, index, POOL),
+        "learned": dense.dense_topk(embed(asked), vectors, POOL),
+    }
+    hits = {
+        name: df.withColumn("doc_id", ingest.document_of(F.col("chunk_id")))
+        for name, df in lists.items()
+    }
+    return metrics.compare_retrievers(hits, qrels, 10)
+
+
 @query
 def tokenize(spark, folder):
     return lexical.tokenize(_docs(spark, folder), "doc_id")
