@@ -45,10 +45,11 @@ LEAST_DOCUMENTS = 3
 TERM_RANKS = 200
 UNIT = 1_000_000_000
 PIECE_BYTES = 1 << 20  # of text that is cut into terms at once
-BLOCK_ENTRIES = 1 << 18  # postings in a task's memory before it spills them
+BLOCK_ENTRIES = 3 << 16  # postings in a task's memory before it spills them
+ROWS_AT_ONCE = 256
 BLOCK_BYTES = 64 << 20  # and bytes of their terms
 SHARD_BYTES = 16 << 20  # of text whose postings a task merges
-POOL_LINES = 1 << 18  # that a merge holds open at once
+POOL_LINES = 1 << 17  # that a merge holds open at once
 PAIRS_AT_ONCE = 1 << 21
 SUMS_HELD = 1 << 20
 
@@ -139,13 +140,15 @@ def index_runs(docs: DataFrame) -> tuple[DataFrame, int]:
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
         for batch in batches:
-            flat, offsets = flat_texts(batch.column(0))
-            langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for row, (lang, source) in enumerate(zip(langs, sources)):
-                block.add(lang, source, flat[offsets[row] : offsets[row + 1]].tobytes())
-                if block.full:
-                    yield from block.spill(shards)
-                    block = Block()
+            for first in range(0, len(batch), ROWS_AT_ONCE):
+                some = batch.slice(first, ROWS_AT_ONCE)
+                flat, offsets = flat_texts(some.column(0))
+                langs, sources = some.column(1).to_pylist(), some.column(2).to_pylist()
+                for row, (lang, source) in enumerate(zip(langs, sources)):
+                    block.add(lang, source, flat[offsets[row] : offsets[row + 1]].tobytes())
+                    if block.full:
+                        yield from block.spill(shards)
+                        block = Block()
         yield from block.spill(shards)
 
     return read.mapInArrow(indexed, RUN), shards
