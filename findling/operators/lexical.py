@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from findling.functions.arrays import let, run_starts, running_before
+from findling.functions.stems import stemmed
 from findling.functions.text import is_stop_word, placed_tokens, steady, word_tokens
 
 K1, B = 1.2, 0.75
@@ -18,19 +19,27 @@ def term_bucket() -> Column:
     return F.pmod(F.xxhash64("tenant_id", "term"), F.lit(BUCKETS)).cast("int")
 
 
-def tokenize(df: DataFrame, key: str, text: str = "text", lang: str = "lang") -> DataFrame:
+def terms_of(text: Column, lang: str = "lang", stem: bool = False) -> Column:
+    """The words of a text, or their stems; questions and postings must choose alike."""
+    words = word_tokens(text)
+    return stemmed(words, F.col(lang)) if stem else words
+
+
+def tokenize(
+    df: DataFrame, key: str, text: str = "text", lang: str = "lang", stem: bool = False
+) -> DataFrame:
     """One row per word that is no stop word of its language.
 
     Positions are counted before stop words are dropped.
     """
     # A plain explode would test the array for emptiness first, and split every text twice.
-    words = F.posexplode_outer(word_tokens(F.col(text))).alias("pos", "term")
+    words = F.posexplode_outer(terms_of(F.col(text), lang, stem)).alias("pos", "term")
     rows = df.select(key, lang, words).filter("pos IS NOT NULL")
     return rows.filter(~is_stop_word("term", lang)).select(key, "pos", "term")
 
 
 def build_postings(
-    chunks: DataFrame, only: DataFrame | None = None, marked: bool = False
+    chunks: DataFrame, only: DataFrame | None = None, marked: bool = False, stem: bool = False
 ) -> DataFrame:
     """``(tenant_id, term, chunk_id, doc_id, chunk_terms, tf, positions)``.
 
@@ -44,7 +53,7 @@ def build_postings(
     """
     dated = ["uploaded_at"] if "uploaded_at" in chunks.columns else []
     ids = ("tenant_id", "chunk_id", "doc_id", "lang", *dated)
-    split = chunks.select(*ids, word_tokens(F.col("text")).alias("words"))
+    split = chunks.select(*ids, terms_of(F.col("text"), stem=stem).alias("words"))
     is_term = ~is_stop_word("term", "lang")
     if only is not None:
         return (
@@ -113,7 +122,7 @@ def search_stats(postings: DataFrame, chunks: DataFrame) -> DataFrame:
     return term_stats(postings).join(corpus_stats(chunks), "tenant_id")
 
 
-def asked_stats(chunks: DataFrame, only: DataFrame) -> DataFrame:
+def asked_stats(chunks: DataFrame, only: DataFrame, stem: bool = False) -> DataFrame:
     """The same without ``cf`` for the terms ``only`` names, in one pass over the chunks.
 
     Every chunk also counts under the empty term, which yields the totals of its
@@ -121,7 +130,7 @@ def asked_stats(chunks: DataFrame, only: DataFrame) -> DataFrame:
     """
     empty = F.lit("")
     asked = only.select("tenant_id", "term")
-    keyed = chunks.select("tenant_id", "lang", word_tokens(F.col("text")).alias("words")).select(
+    keyed = chunks.select("tenant_id", "lang", terms_of(F.col("text"), stem=stem).alias("words")).select(
         "tenant_id",
         "lang",
         F.size("words").alias("n"),
@@ -144,7 +153,7 @@ def asked_stats(chunks: DataFrame, only: DataFrame) -> DataFrame:
     )
 
 
-def parse_websearch(queries: DataFrame) -> DataFrame:
+def parse_websearch(queries: DataFrame, stem: bool = False) -> DataFrame:
     """Query strings to rows ``(query_id, grp, alt, kind, terms, offsets)``.
 
     Bare words are all required, ``"..."`` asks for neighbours, ``or`` joins
@@ -185,7 +194,7 @@ def parse_websearch(queries: DataFrame) -> DataFrame:
             F.col("i")["grp"].alias("grp"),
             F.col("i")["alt"].alias("alt"),
             F.col("i")["item"].startswith("-").alias("negated"),
-            word_tokens(F.col("i")["item"]).alias("words"),
+            terms_of(F.col("i")["item"], stem=stem).alias("words"),
         )
         .withColumn("placed", placed_tokens("words", "lang"))
         .filter(F.size("placed") > 0)

@@ -426,6 +426,16 @@ def bm25_topk(spark, folder):
     return _lexical_hits(spark, folder, POOL)
 
 
+@query
+def stem_search(spark, folder):
+    """The best chunks by stems, of all chunks and only the terms that are asked for."""
+    parsed = written(lexical.parse_websearch(src.search_queries(spark, folder), stem=True), "parsed")
+    chunks, only = _index(spark, folder).chunks, lexical.asked_terms(parsed)
+    postings = lexical.build_postings(chunks.drop("uploaded_at"), only, stem=True)
+    stats = lexical.asked_stats(chunks, only, stem=True)
+    return lexical.bm25_topk(parsed, postings, stats, POOL, match="any")
+
+
 @query
 def bm25_topk_all(spark, folder):
     asked = web_queries(spark, folder)
