@@ -535,6 +535,38 @@ _add(
 HITS = "SELECT query_id, chunk_id, doc_id, rank, score FROM {0}"
 _add("bm25_topk", HITS.format("lexical"), lambda: _bm25("asked", reg.POOL))
 _add("stream_search", HITS.format("lexical"), lambda: _bm25("asked", reg.POOL))
+_add(
+    "cover_density",
+    HITS.format("close"),
+    lambda: {
+        "pairs": f"""
+        SELECT query_id, tenant_id, term
+        FROM (SELECT query_id, tenant_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS n
+              FROM (SELECT a.* FROM (
+                      SELECT query_id, tenant_id, lang, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos
+                      FROM (SELECT *, {WORDS.format('text')} AS ws FROM asked)) a
+                    ANTI JOIN stop s ON a.lang = s.lang AND a.term = s.word)
+              GROUP BY query_id, tenant_id, term) WHERE n <= 2""",
+        "places": """
+        SELECT query_id, chunk_id, doc_id, term, pos,
+               count(*) OVER (PARTITION BY query_id, chunk_id) AS n_places,
+               lead(pos) OVER near AS next_pos, lead(term) OVER near AS next_term
+        FROM (SELECT q.query_id, p.chunk_id, p.doc_id, p.term, unnest(p.positions) AS pos
+              FROM pairs q JOIN postings p USING (tenant_id, term))
+        WINDOW near AS (PARTITION BY query_id, chunk_id ORDER BY pos)""",
+        "close": f"""
+        SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+          FROM (SELECT query_id, chunk_id, doc_id, round(sum(score), 6) + 0.0 AS score
+                FROM (SELECT query_id, chunk_id, doc_id, 1.0::DOUBLE / (next_pos - pos) AS score
+                      FROM places WHERE next_term <> term
+                      UNION ALL
+                      SELECT query_id, chunk_id, doc_id, 1.0::DOUBLE FROM places
+                      WHERE query_id IN (SELECT query_id FROM pairs GROUP BY ALL HAVING count(*) = 1))
+                GROUP BY ALL))
+        WHERE rank <= {reg.POOL}""",
+    },
+)
 _add("bm25_topk_all", HITS.format("lexical"), lambda: _bm25("web_asked", reg.POOL, "all"))
 _add(
     "rrf_fuse",

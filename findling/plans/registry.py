@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from findling.functions.text import steady
+from findling.functions.text import drop_stop_words, steady, word_tokens
 from findling.functions.vectors import cosine_distance as cosine
 from findling.operators import (
     cells,
@@ -26,6 +26,7 @@ from findling.operators import (
     lexical,
     limits,
     metrics,
+    proximity,
     security,
     segmentation,
     tenancy,
@@ -426,6 +427,23 @@ def bm25_topk(spark, folder):
     return _lexical_hits(spark, folder, POOL)
 
 
+def pair_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """The first two different words of every passage that are no stop words."""
+    words = drop_stop_words("words", "lang")
+    asked = src.search_queries(spark, folder).withColumn("words", word_tokens(F.col("text")))
+    pair = F.slice(F.array_distinct(words), 1, 2)
+    return asked.select("query_id", "tenant_id", "lang", F.array_join(pair, " ").alias("text"))
+
+
+@query
+def cover_density(spark, folder):
+    """Chunks by how closely two words of a passage stand together."""
+    parsed = proximity.parse_proximity(pair_queries(spark, folder))
+    index = _index(spark, folder)
+    terms = index.stats.select("tenant_id", "term")
+    return proximity.cover_density(proximity.expand_prefixes(parsed, terms), index.postings, POOL)
+
+
 @query
 def stem_search(spark, folder):
     """The best chunks by stems, of all chunks and only the terms that are asked for."""
