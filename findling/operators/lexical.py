@@ -12,6 +12,7 @@ from findling.functions.text import is_stop_word, placed_tokens, steady, word_to
 
 K1, B = 1.2, 0.75
 TERM_BUCKET, BUCKETS = "term_bucket", 32  # how stored postings are laid out
+NAMED_TERMS = 2000  # asked terms that a scan is told by name
 
 
 def term_bucket() -> Column:
@@ -231,13 +232,26 @@ def query_terms(parsed: DataFrame) -> DataFrame:
     )
 
 
-def in_asked_buckets(stored: DataFrame, parsed: DataFrame) -> DataFrame:
-    """``stored`` cut to the folders that the asked terms fall into; at most ``BUCKETS``
-    numbers come to the driver. A table not laid out by bucket stays as it is."""
-    if TERM_BUCKET not in stored.columns:
-        return stored
-    asked = asked_terms(parsed).select(term_bucket().alias("b")).distinct().collect()
-    return stored.filter(F.col(TERM_BUCKET).isin([r.b for r in asked]))
+def only_asked(parsed: DataFrame, *stored: DataFrame) -> list[DataFrame]:
+    """Stored tables cut to what can hold the asked terms.
+
+    The folders they fall into are always named, at most ``BUCKETS`` of them. Few terms,
+    ``NAMED_TERMS`` at most, are named themselves with their tenants: rows are sorted by
+    both, so that the files' own statistics skip the rest. One short list comes to the
+    driver for all tables. A table not laid out by bucket stays as it is.
+    """
+    if not any(TERM_BUCKET in df.columns for df in stored):
+        return list(stored)
+    asked = asked_terms(parsed).distinct().withColumn("b", term_bucket())
+    named = asked.limit(NAMED_TERMS + 1).collect()
+    within = F.lit(True)
+    if len(named) <= NAMED_TERMS:
+        tenants, terms = ({r[c] for r in named if r[c] is not None} for c in ("tenant_id", "term"))
+        within = F.col("tenant_id").isin(sorted(tenants)) & F.col("term").isin(sorted(terms))
+    else:
+        named = asked.select("b").distinct().collect()
+    within = within & F.col(TERM_BUCKET).isin(sorted({r.b for r in named}))
+    return [df.filter(within) if TERM_BUCKET in df.columns else df for df in stored]
 
 
 def _placed(terms: DataFrame, postings: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -84,7 +84,7 @@ def dense_route(queries: DataFrame, index: Index, k: int) -> DataFrame:
 
 def lexical_route(queries: DataFrame, index: Index, k: int, match: str = "any") -> DataFrame:
     parsed = lexical.parse_websearch(queries)
-    tables = [lexical.in_asked_buckets(t, parsed) for t in (index.postings, index.stats)]
+    tables = lexical.only_asked(parsed, index.postings, index.stats)
     return lexical.bm25_topk(parsed, *tables, k, match)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from findling import schemas
 from findling.functions.text import LANGUAGES, SENTENCE_END, stop_words
 from findling.operators.ingest import BLOCK, ENTITIES, NOISE
+from findling.operators.significance import COVERED, POISSON, SEED
 from findling.operators.security import INJECTIONS, REDACTED, SECRETS
 from findling.operators.tenancy import PERMISSIONS
 from findling.plans import registry as reg
@@ -710,6 +711,21 @@ _add(
               count(*) FILTER (WHERE event_type = 'error') AS n_failed, round(avg(value), 6) AS mean_latency
        FROM events GROUP BY ALL""",
 )
+_add(
+    "argument_stats",
+    """SELECT path, kind, count(*) AS n_calls, sum(n)::BIGINT AS n_values,
+              count(*) FILTER (WHERE event_type = 'error') AS n_failed
+       FROM (SELECT event_id, event_type, path, kind, count(*) AS n FROM (
+               SELECT event_id, event_type, j.fullkey AS path,
+                      CASE j.type WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT'
+                                  WHEN 'NULL' THEN 'VOID' ELSE j.type END AS kind
+               FROM events, json_tree(CASE WHEN json_valid(props) THEN props END) j
+               UNION ALL
+               SELECT event_id, event_type, NULL, 'malformed' FROM events
+               WHERE NOT coalesce(json_valid(props), false))
+             GROUP BY ALL)
+       GROUP BY ALL""",
+)
 _add("qrels_from_passages", "SELECT item_id, tenant_id, doc_id FROM labelled")
 _add(
     "retrieval_metrics",
@@ -753,6 +769,44 @@ def _compare() -> str:
 
 
 ORACLE["compare_retrievers"] = _compare
+
+
+def _significance() -> str:
+    parts = {**_dense("eval_asked"), **_bm25("eval_asked", reg.POOL), **_fused()}
+    hits = {"dense": "hits_d", "fused": "hits_f", "lexical": "lexical"}
+    for name, source in {"d": "dense", "f": "fused"}.items():
+        parts[f"hits_{name}"] = f"SELECT query_id, doc_id, rank FROM {source} JOIN chunks USING (chunk_id)"
+    rows = []
+    for name, table in hits.items():
+        parts.update(_judged(table, f"m_{name}"))
+        rows.append(f"SELECT '{name}' AS method, query_id, round(ndcg * 1e6)::BIGINT AS s FROM m_{name}_judged")
+    parts["scores"] = " UNION ALL ".join(rows)
+    parts["differences"] = """
+        SELECT x.query_id, x.method AS a, y.method AS b, x.s - y.s AS d
+        FROM scores x JOIN scores y ON x.query_id = y.query_id AND x.method < y.method"""
+    weight = " + ".join(f"(chance >= {p!r}::DOUBLE)::BIGINT" for p in POISSON)
+    parts["draws"] = f"""
+        SELECT a, b, r, sum(({weight}) * d)::BIGINT AS wd, sum({weight})::BIGINT AS w, sum(sign * d)::BIGINT AS sd
+        FROM (SELECT *, ('0x' || substr(h, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS chance,
+                     1 - 2 * (('0x' || substr(h, 14, 1))::BIGINT % 2) AS sign
+              FROM (SELECT *, md5(concat_ws('|', '{SEED}', r::VARCHAR, query_id)) AS h
+                    FROM (SELECT *, unnest(range({reg.RESAMPLES})) AS r FROM differences)))
+        GROUP BY ALL"""
+    parts["observed"] = "SELECT a, b, count(*) AS n_queries, sum(d)::BIGINT AS total FROM differences GROUP BY ALL"
+    tail = (1 - COVERED) / 2
+    at = "means[greatest(ceil(len(means) * {}::DOUBLE), 1)::BIGINT]"
+    return _sql(
+        f"""SELECT a, b, n_queries, round(total / n_queries::DOUBLE / 1e6, 6) + 0.0 AS difference,
+                   round({at.format(repr(tail))}, 6) + 0.0 AS low, round({at.format(repr(1 - tail))}, 6) + 0.0 AS high,
+                   round((n_extreme + 1) / {reg.RESAMPLES + 1}.0::DOUBLE, 6) AS p_value
+            FROM (SELECT a, b, n_queries, total, list_sort(list(wd::DOUBLE / w / 1e6) FILTER (WHERE w > 0)) AS means,
+                         count(*) FILTER (WHERE abs(sd) >= abs(total)) AS n_extreme
+                  FROM draws JOIN observed USING (a, b) GROUP BY ALL)""",
+        **parts,
+    )
+
+
+ORACLE["retriever_significance"] = _significance
 _add(
     "rate_limit",
     f"""SELECT event_id, user_id, n AS attempts, n > {reg.LIMIT} AS throttled

@@ -29,6 +29,7 @@ from findling.operators import (
     proximity,
     security,
     segmentation,
+    significance,
     tenancy,
 )
 from findling.plans import hybrid
@@ -41,6 +42,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DIM = 64
 POOL, TOP = 20, 5
+RESAMPLES = 400
 BUDGET = 1200
 AS_OF = "2024-01-31 00:00:00"
 TENANT = "src3"
@@ -614,6 +616,11 @@ def tool_call_stats(spark, folder):
     return metrics.tool_call_stats(src.scan_traces(spark, folder))
 
 
+@query
+def argument_stats(spark, folder):
+    return metrics.argument_stats(src.scan_traces(spark, folder))
+
+
 @query
 def qrels_from_passages(spark, folder):
     return metrics.qrels_from_passages(src.scan_benchmark(spark, folder), _docs(spark, folder))
@@ -649,6 +656,19 @@ def compare_retrievers(spark, folder):
     return metrics.compare_retrievers(hits, qrels, 10)
 
 
+@query
+def retriever_significance(spark, folder):
+    """Whether vectors, words and both fused differ in nDCG, pair by pair."""
+    asked, qrels = eval_queries(spark, folder)
+    index = _index(spark, folder)
+    by_vector = written(hybrid.dense_route(asked, index, POOL), "hits")
+    by_words = written(hybrid.lexical_route(asked, index, POOL), "hits")
+    lists = {"dense": by_vector, "fused": fusion.rrf_fuse(by_vector, by_words, k=POOL)}
+    hits = {n: df.withColumn("doc_id", ingest.document_of(F.col("chunk_id"))) for n, df in lists.items()}
+    scores = metrics.judged({**hits, "lexical": by_words}, qrels, 10)
+    return significance.compare_pairs(written(scores, "scores"), "ndcg", RESAMPLES)
+
+
 # Limits and streams
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from findling.operators import ingest, limits, metrics, selection
+from findling.operators import ingest, lexical, limits, metrics, selection
 from findling.operators.selection import exact_percentiles
 from findling.plans import hybrid
 from findling.sources import documents as src
@@ -269,3 +269,27 @@ def test_vectors_of_other_tenants_are_not_read(spark, tmp_path):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(tenant_id" in plan and "(tenant_id#" in plan and "= src3" in plan
     assert hits.count() > 0
+
+
+def test_one_question_reads_few_files(spark, tmp_path):
+    """One tenant's two words: other folders, and rows of other tenants, stay unread."""
+    folders = hybrid.build_index(ingest.chunk_fixed(src.scan_documents(spark, FOLDER)), str(tmp_path), 8)
+    index = hybrid.open_index(spark, folders, 8)
+    common = index.stats.filter("tenant_id = 'src3'").orderBy(F.desc("df"), "term").limit(2).collect()
+    asked = spark.createDataFrame(
+        [(1, "src3", "xx", " ".join(r.term for r in common))], "query_id bigint, tenant_id string, lang string, text string"
+    )
+    parsed = lexical.parse_websearch(asked)
+    for table, whole in zip(lexical.only_asked(parsed, index.postings, index.stats), (index.postings, index.stats)):
+        files = lambda df: df.select(F.input_file_name()).distinct().count()
+        assert files(table) <= 2 < files(whole)
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        pushed = plan[plan.index("PushedFilters") :]
+        assert "EqualTo(tenant_id,src3)" in pushed and "In(term, [" in pushed
+    assert hybrid.lexical_route(asked, index, 5).count() > 0
+    every = spark.createDataFrame(
+        [(1, "src3", "xx", " ".join(f"w{i}" for i in range(lexical.NAMED_TERMS + 5)) + " " + common[0].term)],
+        "query_id bigint, tenant_id string, lang string, text string")
+    many = lexical.only_asked(lexical.parse_websearch(every), index.postings)[0]
+    assert "In(term" not in many._jdf.queryExecution().executedPlan().toString()
+    assert hybrid.lexical_route(every, index, 5).count() > 0
