@@ -50,7 +50,7 @@ ROWS_AT_ONCE = 256
 BLOCK_BYTES = 64 << 20  # and bytes of their terms
 SHARD_BYTES = 16 << 20  # of text whose postings a task merges
 POOL_LINES = 1 << 17  # that a merge holds open at once
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 18
 SUMS_HELD = 1 << 20
 
 _TERMS = re.compile(rb"[a-z\x80-\xff]+").findall
