@@ -45,7 +45,7 @@ LEAST_DOCUMENTS = 3
 TERM_RANKS = 200
 UNIT = 1_000_000_000
 PIECE_BYTES = 1 << 20  # of text that is cut into terms at once
-BLOCK_ENTRIES = 3 << 16  # postings in a task's memory before it spills them
+BLOCK_ENTRIES = 1 << 17  # postings in a task's memory before it spills them
 ROWS_AT_ONCE = 256
 BLOCK_BYTES = 64 << 20  # and bytes of their terms
 SHARD_BYTES = 16 << 20  # of text whose postings a task merges
