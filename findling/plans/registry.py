@@ -30,6 +30,7 @@ from findling.operators import (
     security,
     segmentation,
     significance,
+    summary,
     tenancy,
 )
 from findling.plans import hybrid
@@ -164,6 +165,14 @@ def scan_documents(spark, folder):
     return _docs(spark, folder)
 
 
+@query
+def scan_files(spark, folder):
+    """The bytes of the documents' files as they were uploaded: name, length and digest."""
+    files = src.scan_files(spark, f"{folder}/documents.parquet", "*.parquet")
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    return files.select(name, "length", F.md5("content").alias("content_md5"))
+
+
 @query
 def validate_uploads(spark, folder):
     checked = ingest.validate_uploads(_docs(spark, folder), ingest.MAX_UPLOAD_BYTES)
@@ -536,6 +545,19 @@ def history_summary(spark, folder):
     return context.history_summary(src.scan_conversations(spark, folder), 2)
 
 
+@query
+def extractive_summary(spark, folder):
+    """The central sentences of every document, and of all that was said in a conversation."""
+    docs = _docs(spark, folder).select(F.concat(F.lit("d"), "doc_id").alias("id"), "lang", "text")
+    said = (
+        src.scan_conversations(spark, folder).groupBy("conv_id")
+        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+        .select(F.concat(F.lit("c"), "conv_id").alias("id"), F.lit("en").alias("lang"),
+                F.array_join(F.transform("turns", lambda t: t["text"]), "\n").alias("text"))
+    )
+    return summary.extractive_summary(docs.unionByName(said), "id")
+
+
 @query
 def compact_prompt(spark, folder):
     out = context.compact_prompt(_docs(spark, folder))
