@@ -4,9 +4,11 @@ A fingerprint has eight bytes at fixed positions. Two fingerprints that differ
 in at most three bits differ in at most three bytes, so they share five or more
 by position, and three or more within the first or the second half. The index
 lists fingerprints under each three positions of a half (eight lists each, of
-24 bits); members of a list are tallied over all eight positions, pairs short
-of the guaranteed number are dropped, the rest are verified bit by bit. No pair
-within the distance is lost, and nothing is capped.
+24 bits). Standing in a list together is what tallies a pair: three shared
+positions of a half at once, in place of counting them list by list. Members are
+then compared on their whole fingerprints, by shared positions and by bits; the
+bits decide, as so few of them leave five positions alike anyway. No pair within
+the distance is lost, and nothing is capped.
 
 Equal fingerprints are one entry. A list longer than a block is cut into
 blocks that meet two by two in different tasks. Each task walks through the
