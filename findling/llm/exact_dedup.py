@@ -4,6 +4,10 @@ Pass one sets two bits per text, counted over all rows, and keeps as a filter
 the bits that were set more than once. Pass two tests every row against that
 filter: a text with a bit that nobody else has set is alone and goes straight
 on; the others, true repeats and a few false alarms, meet by their SHA-256.
+Pass one shuffles the filter's bits, two small numbers a row, counted within tasks
+before. A filter of up to ``BROADCAST_BLOCKS`` blocks (16.8 million rows) travels as a
+broadcast; beyond that rows meet it by a shuffle, slim ones in ``duplicate_groups``
+but whole ones in ``drop_exact_copies``.
 
 Defined results: a null text counts as empty. Texts are equal when their bytes
 are. Of equal texts the row with the largest id stays, a null id being the
