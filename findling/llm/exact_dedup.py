@@ -6,8 +6,13 @@ filter: a text with a bit that nobody else has set is alone and goes straight
 on; the others, true repeats and a few false alarms, meet by their SHA-256.
 Pass one shuffles the filter's bits, two small numbers a row, counted within tasks
 before. A filter of up to ``BROADCAST_BLOCKS`` blocks (16.8 million rows) travels as a
-broadcast; beyond that rows meet it by a shuffle, slim ones in ``duplicate_groups``
-but whole ones in ``drop_exact_copies``.
+broadcast; beyond that slim rows, keys without texts, meet it by a shuffle.
+
+``drop_exact_copies`` moves whole rows, so it decides on keys alone which texts are
+repeated and puts those into a second filter, which is as large as the repeats are
+many. Whole rows only ever meet that one, by a broadcast: if it has more than
+``BROADCAST_BLOCKS`` blocks, it is cut into as many ranges as that takes, and each range
+reads the rows once more. No row whose text is alone is shuffled, at any size.
 
 Defined results: a null text counts as empty. Texts are equal when their bytes
 are. Of equal texts the row with the largest id stays, a null id being the
@@ -17,6 +22,8 @@ empty table. Columns of any name may come along.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +32,7 @@ from findling.session import written
 BLOCK_BITS = 32768  # the width of Spark's bitmaps: 4096 bytes
 BITS_PER_ROW = 32
 SALTS = 16  # parts that the rows of one text are split into where they meet
-BROADCAST_BLOCKS = 16384  # 64 MB; a larger filter is joined by a shuffle of slim rows
+BROADCAST_BLOCKS = 16384  # 64 MB, the most that one broadcast holds
 
 
 def _body(text: str) -> Column:
@@ -132,22 +139,61 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return alone.unionByName(met)
 
 
-def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_keys(keys: DataFrame, key: str) -> DataFrame:
+    """``(key)``, distinct: those that more than one row of ``keys`` has.
+
+    Keys the filter calls possibly repeated are counted, within each task first.
+    """
+    marked = mark_possible_repeats(keys.select(F.col(key).alias("key")), "key", "maybe")
+    return marked.filter("maybe").groupBy("key").count().filter("count > 1").select("key")
+
+
+def key_filter(keys: DataFrame, key: str, n_blocks: int) -> DataFrame:
+    """``(block, bits)``: the bits of all ``keys``, which are distinct."""
+    first, second = _bits(key)
+    return (
+        keys.select(_block(key, n_blocks).alias("block"), F.explode(F.array(first, second)).alias("bit"))
+        .groupBy("block")
+        .agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
+    )
+
+
+def drop_exact_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_blocks: int | None = None
+) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
     Rows alone with their text pass without a shuffle. The others are reduced
     within each task first, so that a group of any size sends one row per task.
+    At most ``most_blocks`` blocks of 4 kB are broadcast at once (``BROADCAST_BLOCKS``);
+    each range of so many, 16.8 million repeated texts as it stands, reads ``docs`` once.
     """
+    most = BROADCAST_BLOCKS if most_blocks is None else most_blocks
     # The row travels as one struct, so that no column of it can meet the names used here.
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    keyed = docs.select(row, F.xxhash64(_body(text)).alias("key"))
-    marked = mark_possible_repeats(keyed, "key", "maybe")
-    alone = marked.filter("NOT maybe").select("row.*")
+    keyed = docs.select(row, F.xxhash64(_body(f"`{text}`")).alias("key"))
+    repeated = written(repeated_keys(keyed, "key"), "repeated-keys")
+    n_blocks = filter_blocks(repeated.count())
+    held = written(key_filter(repeated, "key", n_blocks), "repeated-filter")
+    ranges = -(-n_blocks // most)
+    first, second = _bits("key")
+    in_filter = F.coalesce(_is_set(F.col("bits"), first) & _is_set(F.col("bits"), second), F.lit(False))
     order = F.struct(F.col("row")[doc_id].isNotNull(), F.col("row")[doc_id])
-    met = (
-        marked.filter("maybe")
-        .groupBy(F.sha2(F.coalesce(F.col("row")[text], F.lit("")), 256).alias("sha"))
-        .agg(F.max_by("row", order).alias("row"))
-        .select("row.*")
-    )
-    return alone.unionByName(met)
+
+    def stay(part: int) -> DataFrame:
+        """What stays of the rows whose block lies in one range."""
+        within = F.col("block") % ranges == part
+        marked = (
+            keyed.withColumn("block", _block("key", n_blocks))
+            .filter(within)
+            .join(F.broadcast(held.filter(within)), "block", "left")
+            .withColumn("maybe", in_filter)
+        )
+        met = (
+            marked.filter("maybe")
+            .groupBy(F.sha2(F.coalesce(F.col("row")[text], F.lit("")), 256).alias("sha"))
+            .agg(F.max_by("row", order).alias("row"))
+        )
+        return marked.filter("NOT maybe").select("row.*").unionByName(met.select("row.*"))
+
+    return reduce(DataFrame.unionByName, [stay(part) for part in range(ranges)])

@@ -76,6 +76,35 @@ def test_filter_too_large_for_a_broadcast(spark, docs, monkeypatch):
     assert sum(r.kept for r in got.collect()) == len({r.text or "" for r in docs.collect()})
 
 
+def test_rows_alone_are_not_shuffled_at_any_size(spark, monkeypatch):
+    rows = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 2500).cast("string")).alias("text")
+    )
+    want = {(i, f"text {i % 2500}") for i in range(500, 3000)}
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BLOCKS", 1)  # nothing else fits into a broadcast
+    monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", 256)  # several blocks for the 500 repeats
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = exact_dedup.drop_exact_copies(rows)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in kept.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(want) and set(got) == want
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 8  # four ranges, two sides each
+    # Dealt by a hash are the rows of repeated texts, once a range, by their digest; none by block.
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == plan.count("BroadcastHashJoin") / 2
+    assert not any("block#" in line or "key#" in line for line in dealt)
+
+
+def test_repeated_keys_are_exact(spark):
+    keys = spark.range(5000).select((F.col("id") % 4000).alias("k"))
+    got = sorted(r.key for r in exact_dedup.repeated_keys(keys, "k").collect())
+    assert got == list(range(1000))
+    assert exact_dedup.repeated_keys(keys.filter("k < 0"), "k").count() == 0
+
+
 def test_fingerprints_and_components(docs):
     known = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = known.collect()
