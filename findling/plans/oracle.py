@@ -533,6 +533,14 @@ _add(
              FROM asked) q
        JOIN chunks c ON c.tenant_id = q.tenant_id AND contains(c.text, q.t)""",
 )
+_add(
+    "substring_search",
+    """SELECT q.query_id, c.chunk_id, CAST(instr(c.text, q.t) AS BIGINT) AS at
+       FROM (SELECT concat(query_id, ':whole') AS query_id, tenant_id, text AS t FROM asked
+             UNION ALL SELECT concat(query_id, ':inner'), tenant_id, substr(text, 4, 9) FROM asked
+             UNION ALL SELECT concat(query_id, ':head'), tenant_id, substr(text, 1, 2) FROM asked) q
+       JOIN chunks c ON c.tenant_id = q.tenant_id AND contains(c.text, q.t)""",
+)
 HITS = "SELECT query_id, chunk_id, doc_id, rank, score FROM {0}"
 _add("bm25_topk", HITS.format("lexical"), lambda: _bm25("asked", reg.POOL))
 _add("stream_search", HITS.format("lexical"), lambda: _bm25("asked", reg.POOL))

@@ -7,6 +7,7 @@ doubles rounded, long texts as their md5.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from findling.operators import (
     security,
     segmentation,
     significance,
+    substrings,
     summary,
     tenancy,
 )
@@ -106,6 +108,17 @@ def _index(spark: SparkSession, folder: str) -> hybrid.Index:
     return hybrid.open_index(spark, _stored(spark, folder), DIM)
 
 
+_GRAMS: dict[tuple[str, str, str], tuple[str, str]] = {}
+
+
+def _stored_grams(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """The folders of the trigrams of the stored chunks, built once beside them."""
+    stored = _stored(spark, folder)
+    if stored not in _GRAMS:
+        _GRAMS[stored] = substrings.store_grams(_index(spark, folder).chunks, scratch_folder(spark, "grams"))
+    return _GRAMS[stored]
+
+
 def _lexical_hits(spark: SparkSession, folder: str, k: int = TOP) -> DataFrame:
     asked = src.search_queries(spark, folder)
     return hybrid.lexical_route(asked, _index(spark, folder), k)
@@ -433,6 +446,19 @@ def like_search(spark, folder):
     return containment.like_search(forms[0].unionByName(forms[1]), _index(spark, folder).chunks)
 
 
+@query
+def substring_search(spark, folder):
+    """Every passage whole, nine characters out of it that may cut words, and its first two."""
+    asked = src.search_queries(spark, folder)
+    forms = {"whole": F.col("text"), "inner": F.substring("text", 4, 9), "head": F.substring("text", 1, 2)}
+    patterns = [
+        asked.select(F.format_string("%d:%s", "query_id", F.lit(name)).alias("query_id"), "tenant_id", text.alias("text"))
+        for name, text in forms.items()
+    ]
+    lists = substrings.open_grams(spark, _stored_grams(spark, folder))
+    return substrings.substring_search(reduce(DataFrame.unionByName, patterns), _index(spark, folder).chunks, *lists)
+
+
 @query
 def bm25_topk(spark, folder):
     return _lexical_hits(spark, folder, POOL)
