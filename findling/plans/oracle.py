@@ -713,6 +713,30 @@ _add(
               round(quantile_cont(value, 0.99), 6) AS p99
        FROM events GROUP BY ALL""",
 )
+_add(
+    "latency_trailing",
+    """SELECT stage, strftime(day, '%Y-%m-%d') AS day, max(n)::BIGINT AS n,
+              min(value) FILTER (upto * 1000 >= n * 500) AS p50,
+              min(value) FILTER (upto * 1000 >= n * 950) AS p95,
+              min(value) FILTER (upto * 1000 >= n * 990) AS p99
+       FROM (SELECT *, sum(weight) OVER (PARTITION BY stage, day) AS n,
+                    sum(weight) OVER (PARTITION BY stage, day ORDER BY value) AS upto
+             FROM (SELECT d.stage, d.day, value, sum(weight) AS weight
+                   FROM (SELECT DISTINCT stage, day FROM points) d
+                   JOIN points p ON p.stage = d.stage AND p.day BETWEEN d.day - 6 AND d.day
+                   GROUP BY ALL))
+       GROUP BY ALL""",
+    lambda: {
+        "ranks": """
+        SELECT *, sum(c) OVER (PARTITION BY stage, day) AS n, sum(c) OVER (PARTITION BY stage, day ORDER BY value) AS upto
+        FROM (SELECT event_type AS stage, CAST(ts AS DATE) AS day, value, count(*) AS c
+              FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL)""",
+        "points": """
+        SELECT stage, day, value, upto - lag(upto, 1, 0) OVER (PARTITION BY stage, day ORDER BY value) AS weight
+        FROM (SELECT *, greatest(1, n // 100) AS step FROM ranks)
+        WHERE upto // step > (upto - c) // step OR upto = n""",
+    },
+)
 _add(
     "tool_call_stats",
     """SELECT TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS arg, count(*) AS n_calls,

@@ -32,6 +32,7 @@ from findling.operators import (
     segmentation,
     significance,
     substrings,
+    summaries,
     summary,
     tenancy,
 )
@@ -46,6 +47,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 DIM = 64
 POOL, TOP = 20, 5
 RESAMPLES = 400
+ONE_IN, TRAILING_DAYS, PER_MILLE = 100, 7, {"p50": 500, "p95": 950, "p99": 990}
 BUDGET = 1200
 AS_OF = "2024-01-31 00:00:00"
 TENANT = "src3"
@@ -659,6 +661,14 @@ def latency_breakdown(spark, folder):
     return metrics.latency_breakdown(src.scan_traces(spark, folder))
 
 
+@query
+def latency_trailing(spark, folder):
+    """Percentiles of the last seven days per stage and day, from summaries kept by day."""
+    daily = src.scan_traces(spark, folder).withColumn("day", F.to_date("ts"))
+    points = written(summaries.rank_summaries(daily, ["stage", "day"], "latency", ONE_IN), "latency-points")
+    return summaries.trailing_percentiles(points, ["stage"], "day", TRAILING_DAYS, PER_MILLE)
+
+
 @query
 def tool_call_stats(spark, folder):
     return metrics.tool_call_stats(src.scan_traces(spark, folder))
