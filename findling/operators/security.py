@@ -24,6 +24,65 @@ INJECTIONS = {
     "hidden_comment": r"(?s)<!--.*?-->",
     "script_block": r"(?is)<script\b.*?</script>",
 }
+# Of these, what is wording rather than markup: searched for in disguise as well.
+WORDING = ("override", "role_change", "prompt_leak")
+# Characters without width, and letters that look like Latin ones.
+NO_WIDTH = r"[\u00AD\u180E\u200B-\u200F\u202A-\u202E\u2060-\u2064\uFEFF\x{E0000}-\x{E007F}]"
+LOOK_ALIKE = {
+    "аеорсухіјѕһԁԛԝ": "aeopcyxijshdqw",
+    "АВЕКМНОРСТХІЅЈ": "ABEKMHOPCTXISJ",
+    "οαινρυΟΑΒΕΗΙΚΜΝΡΤΧΥΖ": "oaivpuOABEHIKMNPTXYZ",
+}
+# Single letters with a mark, or else a space, between them; Base64 of twelve bytes or more.
+SPACED = [rf"(?<![\p{{L}}\p{{N}}])(\p{{L}}){mark}(?=\p{{L}}(?![\p{{L}}\p{{N}}]))" for mark in ("[.*_-]", " ")]
+BASE64 = r"[A-Za-z0-9+/_-]{16,}"
+
+
+def folded(text: Column) -> Column:
+    """``text`` as it reads: nothing without width, look-alike and full-width letters as Latin
+    ones, letters set apart put together."""
+    wide = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "\u3000\u00A0"
+    narrow = "".join(map(chr, range(0x21, 0x7F))) + "  "
+    text = F.regexp_replace(text, NO_WIDTH, "")
+    text = F.translate(text, wide + "".join(LOOK_ALIKE), narrow + "".join(LOOK_ALIKE.values()))
+    for apart in SPACED:
+        text = F.regexp_replace(text, apart, "$1")
+    return text
+
+
+def decoded(text: Column) -> Column:
+    """What the runs of Base64 in ``text`` say, joined by spaces; bytes that are no text are replaced."""
+    runs = F.regexp_extract_all(F.translate(text, "-_", "+/"), F.lit(BASE64), F.lit(0))
+    # Runs come without their padding; a single character too many says nothing.
+    cut = lambda run: F.substring(run, F.lit(1), F.length(run) - (F.length(run) % 4 == 1).cast("int"))
+    whole = lambda run: F.rpad(cut(run), F.ceil(F.length(cut(run)) / 4).cast("int") * 4, F.lit("="))
+    said = F.transform(
+        runs, lambda run: F.make_valid_utf8(F.try_to_binary(whole(run), F.lit("base64")).cast("string"))
+    )
+    return F.array_join(F.array_compact(said), " ")
+
+
+def hidden_instructions(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``(*keys, found)`` of every row: which wording stands in it, and how it is disguised.
+
+    ``found`` lists ``(view, pattern)``; ``view`` is ``plain`` for wording as it stands,
+    ``folded`` for what only shows once ``folded``, ``decoded`` for what stands in Base64.
+    Null and empty texts find nothing. Each view is one pass over the text, linear in it.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    views = df.select(*keys, body.alias("_plain"), folded(body).alias("_folded"), folded(decoded(body)).alias("_decoded"))
+
+    def entry(view: str, name: str, unless: Column) -> Column:
+        hit = ~unless & F.col(f"_{view}").rlike(INJECTIONS[name])
+        return F.when(hit, F.struct(F.lit(view).alias("view"), F.lit(name).alias("pattern")))
+
+    entries = []
+    for name in WORDING:
+        plain = F.col("_plain").rlike(INJECTIONS[name])
+        entries.append(entry("plain", name, F.lit(False)))
+        entries.append(entry("folded", name, (F.col("_folded") == F.col("_plain")) | plain))
+        entries.append(entry("decoded", name, F.col("_decoded") == ""))
+    return views.select(*keys, F.array_compact(F.array(*entries)).alias("found"))
 
 
 def scrubbed(text: Column) -> Column:

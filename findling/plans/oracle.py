@@ -8,7 +8,7 @@ from findling import schemas
 from findling.functions.text import LANGUAGES, SENTENCE_END, stop_words
 from findling.operators.ingest import BLOCK, ENTITIES, NOISE
 from findling.operators.significance import COVERED, POISSON, SEED
-from findling.operators.security import INJECTIONS, REDACTED, SECRETS
+from findling.operators.security import INJECTIONS, REDACTED, SECRETS, WORDING
 from findling.operators.tenancy import PERMISSIONS
 from findling.plans import registry as reg
 
@@ -683,6 +683,14 @@ ORACLE["injection_flags"] = lambda: " UNION ALL ".join(
         _found("documents", "text", INJECTIONS, "'documents' AS origin"),
     )
 )
+_add(
+    "hidden_instructions",
+    f"""SELECT coalesce(doc_id % 6, 0)::BIGINT AS form, count(*) AS n_docs,
+               count(*) FILTER (WHERE text IS NOT NULL AND coalesce(doc_id % 6, 0) >= 2
+                                OR {' OR '.join(f"regexp_matches(text, '{INJECTIONS[n]}')" for n in WORDING)}) AS n_flagged,
+               count(*) FILTER (WHERE text IS NOT NULL AND doc_id % 6 = 5) AS n_decoded
+        FROM documents GROUP BY ALL""",
+)
 _add("encrypt_keys", "SELECT DISTINCT user_id, true AS opens, true AS sealed FROM events")
 ORACLE["dataset_health"] = lambda: " UNION ALL ".join(
     f"""SELECT '{t}' AS table_name, CASE WHEN count(*) > 0 THEN 'healthy' ELSE 'empty' END AS status,
