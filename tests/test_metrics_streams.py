@@ -185,6 +185,25 @@ def test_two_streams_are_read_together(spark, tmp_path):
     assert {r.doc_id for r in index_store.read_chunks(spark, *folders).collect()} == {1, 2}
 
 
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    """A table written by Spark is a folder, and its parts do not bear the table's name."""
+    doc = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i, f"word{i}", "en", "s", 5) for i in range(6)]
+    spark.createDataFrame(rows, doc).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    event = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    seen = [(i, START + timedelta(hours=i), 1, "view", 1.0, "{}") for i in range(4)]
+    spark.createDataFrame(seen, event).repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    chunks, terms = str(tmp_path / "chunks"), str(tmp_path / "terms")
+    docs = jobs.stream_documents(spark, str(tmp_path))
+    jobs.stream_ingest(docs, chunks, f"{chunks}-log", 100, dim=8).awaitTermination()
+    jobs.stream_terms(spark, chunks, terms, f"{terms}-log").awaitTermination()
+    assert {r.doc_id for r in index_store.read_chunks(spark, chunks).collect()} == set(range(6))
+    assert {r.term for r in index_store.read_terms(spark, terms).collect()} == {"", *(t for _, t, *_ in rows)}
+    events = jobs.stream_events(spark, str(tmp_path))
+    out = jobs.run_available(jobs.stream_admission(events, 9, 3600), "admission").collect()
+    assert {r.event_id for r in out} == set(range(4))
+
+
 def test_retention_follows_the_newest_upload(spark, tmp_path):
     """Document 1 comes again on day 3, together with an older copy; later files move the time on."""
     schema = "doc_id bigint, tenant_id string, day int"
