@@ -334,6 +334,7 @@ def lexical_match(parsed: DataFrame, postings: DataFrame) -> DataFrame:
         F.col("t")["offsets"].alias("off"),
     )
     asked, keys = _placed(asked, postings)
+    asked = written(asked, "asked")  # short, and known to be: postings are not shuffled to meet it
     found = postings.join(asked, keys).select(
         "query_id",
         "grp",
@@ -390,26 +391,25 @@ def bm25_topk(
     """The best ``k`` chunks of each query by BM25, ties by chunk id.
 
     ``match='all'`` ranks what ``lexical_match`` accepts; ``'any'`` ranks every
-    chunk holding one required term. Postings of other terms are dropped first,
-    by a semi-join against the short list of asked terms.
+    chunk holding one required term. Postings meet the short list of asked terms with
+    their weights, which drops those of other terms.
     """
     wanted, keys = _placed(query_terms(parsed), postings)
-    named, _ = _placed(asked_terms(parsed), postings)
     idf = F.log(
         F.lit(1.0) + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     )
-    weights = stats.join(named, keys, "left_semi").select(
+    # A short list, written so that Spark knows it may be broadcast: postings are not shuffled.
+    weights = stats.select(
         *keys, idf.alias("idf"), (F.col("n_terms") / F.col("n_chunks")).alias("mean_terms")
     )
+    weighted = written(wanted.join(weights, keys).select(*keys, "query_id", "idf", "mean_terms"), "weighted")
     tf = F.col("tf")
     scale = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("chunk_terms") / F.col("mean_terms"))
     part = F.col("idf") * tf * (K1 + 1) / (tf + scale)
     scored = (
         postings.select(*keys, "chunk_id", "doc_id", "chunk_terms", "tf")
-        .join(named, keys, "left_semi")
-        .join(weights, keys)
-        .select(*keys, "chunk_id", "doc_id", part.alias("part"))
-        .join(wanted, keys)
+        .join(weighted, keys)
+        .select("query_id", "chunk_id", "doc_id", part.alias("part"))
         .groupBy("query_id", "chunk_id", "doc_id")
         .agg(steady(F.sum("part")).alias("score"))
     )

@@ -200,3 +200,54 @@ def test_questions_go_to_the_blocks_of_their_tenant(spark):
     left, right = dense.tenant_blocks(asked, stored, 10_000, 80 * 20)
     assert left.count() < 1100 and right.count() == 3400
     assert left.filter("tenant = '7'").count() == 21  # 403 vectors, 20 a block
+
+
+def test_words_are_grouped_in_blocks_of_chunks(spark, monkeypatch):
+    """Odd texts, chunks of many words and blocks of few, against counting by hand."""
+    monkeypatch.setattr(lexical, "WORDS_AT_ONCE", 7)
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choices("red blue the stone river".split(), k=n)) for n in (0, 1, 6, 30, 2, 2, 9)]
+    rows = [("t", i, f"{i}:0", "en", t) for i, t in enumerate([*texts, None, "...", "red", "red"])]
+    rows.append(("u", 50, "50:0", None, "the the"))
+    want = set()
+    for tenant, doc, chunk, lang, text in rows:
+        words = [] if text in (None, "...") else text.split()
+        for w in {w for w in words if w != "the" or lang is None}:
+            places = tuple(i for i, x in enumerate(words) if x == w)
+            want.add((tenant, w, chunk, doc, len(words), len(places), places))
+        if text is not None:
+            want.add((tenant, "", chunk, doc, len(words), 0, ()))
+    chunks = spark.createDataFrame(rows, CHUNK).coalesce(1)
+    got = lexical.build_postings(chunks, marked=True)
+    assert got.count() == len(want) and {(*r[:6], tuple(r.positions)) for r in got.collect()} == want
+    plain = lexical.build_postings(chunks)
+    assert got.filter("term != ''").exceptAll(plain).count() == plain.filter("term = ''").count() == 0
+    texted = chunks.filter("text IS NOT NULL")
+    stats = lexical.search_stats(plain, texted)
+    assert lexical.marked_stats(got).columns == stats.columns
+    assert sorted(lexical.marked_stats(got).collect()) == sorted(stats.collect())
+
+
+@pytest.mark.parametrize("match", ["any", "all"])
+def test_postings_are_not_shuffled_to_meet_few_terms(spark, tmp_path, match):
+    """Statistics too long to broadcast are cut to the asked terms before postings meet them."""
+    rows = [("t", i, f"{i}:0", "xx", " ".join(f"w{i * 50 + k}" for k in range(50)) + " stone river") for i in range(300)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    lexical.build_postings(chunks).write.parquet(str(tmp_path / "p"))
+    postings = spark.read.parquet(str(tmp_path / "p"))
+    lexical.search_stats(postings, chunks).write.parquet(str(tmp_path / "s"))
+    stats = spark.read.parquet(str(tmp_path / "s"))
+    asked = spark.createDataFrame([(1, "t", "xx", "stone river")], QUERY)
+    asked.write.parquet(str(tmp_path / "q"))
+    parsed = lexical.parse_websearch(spark.read.parquet(str(tmp_path / "q")))
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "20000")
+    try:
+        hits = lexical.bm25_topk(parsed, postings, stats, 5, match)
+        plan = hits._jdf.queryExecution().optimizedPlan().toString()
+        physical = hits._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" not in plan
+        assert physical.count("SortMergeJoin") == (0 if match == "any" else physical.count("SortMergeJoin [query_id"))
+        assert [r.rank for r in hits.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+    finally:
+        spark.conf.set(key, before)
