@@ -487,10 +487,13 @@ def cover_density(spark, folder):
 def stem_search(spark, folder):
     """The best chunks by stems, of all chunks and only the terms that are asked for."""
     parsed = written(lexical.parse_websearch(src.search_queries(spark, folder), stem=True), "parsed")
-    chunks, only = _index(spark, folder).chunks, lexical.asked_terms(parsed)
-    postings = lexical.build_postings(chunks.drop("uploaded_at"), only, stem=True)
-    stats = lexical.asked_stats(chunks, only, stem=True)
-    return lexical.bm25_topk(parsed, postings, stats, POOL, match="any")
+    chunks, asked = _index(spark, folder).chunks, lexical.asked_terms(parsed)
+    only = written(asked.unionByName(asked.withColumn("term", F.lit(""))).distinct(), "asked-terms")
+    marked = lexical.build_postings(chunks.drop("uploaded_at"), marked=True, stem=True)
+    marked = written(marked.join(only, ["tenant_id", "term"], "left_semi"), "asked-postings")
+    return lexical.bm25_topk(
+        parsed, marked.filter("term != ''"), lexical.marked_stats(marked), POOL, match="any"
+    )
 
 
 @query
