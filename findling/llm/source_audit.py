@@ -26,7 +26,6 @@ pieces. An empty table gives an empty result. Columns other than ``text``,
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heapreplace
 from zlib import crc32
@@ -45,7 +44,7 @@ LEAST_DOCUMENTS = 3
 TERM_RANKS = 200
 UNIT = 1_000_000_000
 PIECE_BYTES = 1 << 20  # of text that is cut into terms at once
-BLOCK_ENTRIES = 1 << 17  # postings in a task's memory before it spills them
+BLOCK_ENTRIES = 1 << 18  # postings in a task's memory before it spills them
 ROWS_AT_ONCE = 256
 BLOCK_BYTES = 64 << 20  # and bytes of their terms
 SHARD_BYTES = 16 << 20  # of text whose postings a task merges
@@ -72,26 +71,67 @@ def term_lists(text: bytes, piece: int = PIECE_BYTES) -> Iterator[list[bytes]]:
         first = last
 
 
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    if not len(starts):
+        return (keys, *counts)
+    return (keys[starts], *(np.add.reduceat(x[order], starts) for x in counts))
+
+
+class Words(dict):
+    """A number for every different term, in order of their first occurrence."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = number = len(self)
+        return number
+
+
 class Block:
-    """Postings in memory: of each language and source, occurrences and documents by term."""
+    """Postings in memory: of each language and source, occurrences and documents by term.
+
+    They are held as numbers, ``group << 32 | term`` beside its two counts, so that a term
+    is an object once a block. Those of new texts wait, and are added up when as many wait
+    as the block may hold; it is full when that leaves it half full or more.
+    """
 
     def __init__(self):
-        self.held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        self.entries = self.bytes = 0
+        self.words = Words()
+        self.groups: dict[tuple[str, str], int] = {}
+        self.held = [np.zeros(0, np.int64)] * 3  # keys in order, occurrences, documents
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.entries = self.bytes = 0  # the bytes of those that wait are at most their texts'
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        counts, dfs = self.held.setdefault((lang, source), (Counter(), Counter()))
-        before, seen = len(counts), set()
+        group = self.groups.setdefault((lang, source), len(self.groups)) << 32
+        found = []
         for terms in term_lists(text):
-            counts.update(terms)
-            seen.update(terms)
-        dfs.update(seen)
-        self.entries += len(counts) - before
-        self.bytes += min(len(text), sum(map(len, seen))) if len(counts) > before else 0
+            codes = np.fromiter(map(self.words.__getitem__, terms), np.int64, len(terms))
+            found.append(np.unique(codes, return_counts=True))
+        if len(found) > 1:
+            codes, counts = (np.concatenate(x) for x in zip(*found))
+            found = [_summed(codes, counts)]
+        for codes, counts in found:
+            self.waiting.append((codes | group, counts, np.ones(len(codes), np.int64)))
+            self.entries += len(codes)
+        self.bytes += len(text)
+
+    def _add_up(self) -> None:
+        if self.waiting:
+            self.held = list(_summed(*map(np.concatenate, zip(self.held, *self.waiting))))
+            self.waiting = []
+            sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+            self.bytes = int(sizes[self.held[0] & 0xFFFFFFFF].sum())
+            self.entries = len(self.held[0])
 
     @property
     def full(self) -> bool:
-        return self.entries >= BLOCK_ENTRIES or self.bytes >= BLOCK_BYTES
+        if self.entries < BLOCK_ENTRIES and self.bytes < BLOCK_BYTES:
+            return False
+        self._add_up()
+        return 2 * self.entries >= BLOCK_ENTRIES or 2 * self.bytes >= BLOCK_BYTES
 
     def spill(self, shards: int) -> Iterator[pa.RecordBatch]:
         """The block as runs, one of each language and hash shard, in order of terms.
@@ -99,33 +139,36 @@ class Block:
         A run's terms stand in one string with blanks between, once for each source
         that has them. The empty term, of shard 0, lists the sources of a language.
         """
-        by_lang: dict[str, list] = {}
-        for (lang, source), postings in self.held.items():
-            by_lang.setdefault(lang, []).append((source, *postings))
+        self._add_up()
+        empty = self.words[b""]
+        terms = list(self.words)
+        shard = np.fromiter(map(crc32, terms), np.int64, len(terms)) % shards
+        order = pc.array_sort_indices(pa.array(terms, pa.large_binary())).to_numpy()
+        place = np.empty(len(terms), np.int64)  # by shard, then by term
+        place[order[np.argsort(shard[order], kind="stable")]] = np.arange(len(terms))
+        edges = np.searchsorted(self.held[0], np.arange(len(self.groups) + 1) << 32)
+        by_lang: dict[str, list[tuple[str, int]]] = {}
+        for (lang, source), group in self.groups.items():
+            by_lang.setdefault(lang, []).append((source, group))
         for lang, parts in by_lang.items():
-            terms, counts, dfs, codes = [b""] * len(parts), [], [], []
-            for code, (_, count, df) in enumerate(parts):
-                terms.extend(count)
-                counts.extend(count.values())
-                dfs.extend(map(df.__getitem__, count))
-                codes.append(np.full(len(count), code))
-            empty = np.zeros(len(parts), np.int64)
-            code = np.concatenate([np.arange(len(parts)), *codes])
-            counts = np.concatenate([empty, np.array(counts, np.int64)])
-            dfs = np.concatenate([empty, np.array(dfs, np.int64)])
-            shard = np.fromiter(map(crc32, terms), np.int64, len(terms)) % shards
-            order = pc.array_sort_indices(pa.array(terms, pa.large_binary())).to_numpy()
-            order = order[np.argsort(shard[order], kind="stable")]
-            ordered = list(map(terms.__getitem__, order.tolist()))
-            at = shard[order]
-            edges = np.nonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))[0].tolist()
-            names = [name for name, *_ in parts]
-            for a, b in zip(edges[:-1], edges[1:]):
+            names = [name for name, _ in parts]
+            spans = [slice(edges[group], edges[group + 1]) for _, group in parts]
+            none = np.zeros(len(parts), np.int64)
+            own = [np.concatenate([none, *(x[span] for span in spans)]) for x in self.held]
+            words, counts, dfs = own[0] & 0xFFFFFFFF, own[1], own[2]
+            words[: len(parts)] = empty
+            sizes = [span.stop - span.start for span in spans]
+            code = np.concatenate([np.arange(len(parts)), np.repeat(np.arange(len(parts)), sizes)])
+            order = np.argsort(place[words], kind="stable")
+            at = shard[words[order]]
+            ends = np.nonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))[0].tolist()
+            for a, b in zip(ends[:-1], ends[1:]):
                 some = order[a:b]
+                line = b" ".join(map(terms.__getitem__, words[some].tolist()))
                 lists = [code[some].astype(np.int32), counts[some], dfs[some]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([at[a]], pa.int32()), pa.array([lang], pa.string()),
-                     pa.array([names], pa.list_(pa.string())), pa.array([b" ".join(ordered[a:b])], pa.binary()),
+                     pa.array([names], pa.list_(pa.string())), pa.array([line], pa.binary()),
                      *(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), pa.array(x)) for x in lists)],
                     ["shard", "lang", "names", "terms", "source", "counts", "dfs"],
                 )
@@ -262,7 +305,7 @@ def merge_runs(runs: DataFrame, shards: int, least: int = LEAST_DOCUMENTS) -> Da
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         n_runs = sum(map(len, held))
-        stretch = max(256, POOL_LINES // max(1, 2 * n_runs))
+        stretch = max(64, POOL_LINES // max(1, 2 * n_runs))
         runs = [Run(batch, row, stretch) for batch in held for row in range(len(batch))]
         for lines in merged_lines(runs):
             if (kept := kept_lines(lines, least)) is not None:

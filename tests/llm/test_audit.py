@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
@@ -108,3 +109,18 @@ def test_runs_reach_the_shuffle_packed(spark):
     docs = spark.createDataFrame(make_rows(), DOC).coalesce(1)
     runs, shards = sa.index_runs(docs.select("text", "lang", "source"))
     assert shards == 1 and runs.count() == 4  # en, fr, xx and the empty language
+
+
+def test_a_block_holds_a_term_once():
+    """Twenty sources with the same 5,000 terms: as numbers, not as objects of each source."""
+    text = " ".join(f"{a}{b}{c}x" for a in "abcdefghijklmnopq" for b in "abcdefghijklmnopq" for c in "abcdefghijklmnopqr")
+    tracemalloc.start()
+    block = sa.Block()
+    for source in range(20):
+        block.add("en", str(source), text.encode())
+    assert not block.full
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert block.entries == 20 * 17 * 17 * 18 and held < 60 * block.entries
+    batches = list(block.spill(1))
+    assert sum(map(len, (b.column("counts")[0] for b in batches))) == block.entries + 20
