@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,42 @@ def test_postings_are_not_shuffled_to_meet_few_terms(spark, tmp_path, match):
         assert [r.rank for r in hits.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
     finally:
         spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_few_distances_are_computed_of_many_pairs(monkeypatch, metric):
+    """Slabs of few vectors, ties, copies and zero vectors against all distances sorted."""
+    rnd = np.random.Generator(np.random.PCG64(3))
+    matrix = rnd.integers(-3, 4, (3000, 6)).astype(float)
+    matrix[500:600], matrix[700] = matrix[499], 0
+    matrix[1500:] = rnd.normal(size=(1500, 6))
+    asked = matrix[::10]
+    dist = dense._distances(asked, matrix, metric)
+    want = {
+        (10 * i, int(v), row[v])
+        for i, row in enumerate(dist)
+        for v in np.lexsort((np.arange(3000), row))[:7]
+        if not np.isnan(row[v])
+    }
+    computed, plain = [], dense._pair_distances
+    monkeypatch.setattr(dense, "CELLS", 100 * len(asked))
+    monkeypatch.setattr(dense, "_pair_distances", lambda a, b, m: computed.append(len(a)) or plain(a, b, m))
+    vectors = pd.DataFrame({"tenant": "", "v": np.arange(3000), "vec": list(matrix)}).sample(frac=1, random_state=1)
+    queries = pd.DataFrame({"tenant": "", "q": np.arange(0, 3000, 10), "vec": list(asked)})
+    got = dense._compare(dense._askers(queries), vectors, 7, metric)
+    assert len(got) == len(want) and set(got.itertuples(index=False, name=None)) == want
+    assert sum(computed) < dist.size // 20
+
+
+def test_work_that_fits_in_memory_is_dealt_over_tasks(spark, monkeypatch):
+    side = lambda n, key: spark.range(n).select(
+        F.lit("t").alias("tenant"), F.col("id").alias(key), F.array(F.rand(1), F.rand(2)).alias("vec")
+    )
+    monkeypatch.setattr(dense, "PAIRS_A_TASK", 1000)
+    for n_q, n_v in ((300, 300), (10, 3000)):
+        left, right = dense.tenant_blocks(side(n_q, "q"), side(n_v, "v"), 10**6)
+        pairs = left.groupBy("q_block", "v_block").count().join(
+            right.groupBy("q_block", "v_block").agg(F.count(F.lit(1)).alias("m")), ["q_block", "v_block"]
+        ).selectExpr("count * m AS n").toPandas()["n"]
+        assert pairs.sum() == n_q * n_v and pairs.max() < 3000
+    assert right.count() == 3000  # few questions go to the vectors' blocks, not the reverse
