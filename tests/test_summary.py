@@ -69,3 +69,13 @@ def test_documents_of_the_table(spark):
     want = dict(zip(first.values(), dense_walk(model(list(first), longest.lang).astype(float))))
     share = {r.sentence_no: r.share for r in rows if r.doc_id == longest.doc_id}
     assert share and all(want[p] == pytest.approx(s, abs=2e-6) for p, s in share.items())
+
+
+@pytest.mark.parametrize("n", [1, 2, 30, summary.SQUARED, 100])
+def test_a_walk_ends_when_it_has_arrived(monkeypatch, n):
+    """Ten million allowed steps are not taken one by one."""
+    monkeypatch.setattr(summary, "steps_for", lambda *_: 10**7)
+    rnd = np.random.Generator(np.random.PCG64(n))
+    rows = rnd.integers(0, 3, (n, 9)) * (rnd.random((n, 9)) < 0.4)
+    rows[rnd.random(n) < 0.1] = 0
+    assert summary.centrality(rows.astype(np.float32)) == pytest.approx(dense_walk(rows.astype(float)), abs=1e-8)
