@@ -305,7 +305,7 @@ def merge_runs(runs: DataFrame, shards: int, least: int = LEAST_DOCUMENTS) -> Da
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         n_runs = sum(map(len, held))
-        stretch = max(64, POOL_LINES // max(1, 2 * n_runs))
+        stretch = max(128, POOL_LINES // max(1, 2 * n_runs))
         runs = [Run(batch, row, stretch) for batch in held for row in range(len(batch))]
         for lines in merged_lines(runs):
             if (kept := kept_lines(lines, least)) is not None:
