@@ -291,3 +291,11 @@ def test_work_that_fits_in_memory_is_dealt_over_tasks(spark, monkeypatch):
         ).selectExpr("count * m AS n").toPandas()["n"]
         assert pairs.sum() == n_q * n_v and pairs.max() < 3000
     assert right.count() == 3000  # few questions go to the vectors' blocks, not the reverse
+
+
+def test_the_vocabulary_is_cut_for_short_patterns_only(spark, monkeypatch):
+    texts = spark.createDataFrame([("a", "one two three four five"), ("b", "two three")], "t string, text string")
+    patterns = spark.createDataFrame([("p", "two three four"), ("q", "ne two three four fi")], "p string, text string")
+    monkeypatch.setattr(containment, "_letter_runs", None)
+    got = {(r.p, r.t, r.at) for r in containment.containment_pairs(patterns, texts, "p", "t").collect()}
+    assert got == {("p", "a", 5), ("q", "a", 2)}
