@@ -7,6 +7,9 @@ import os
 import zipfile
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,6 +69,21 @@ def likely_language(text: str) -> Column:
     return F.when(best["n"] > 0, best["code"]).otherwise(F.lit("en"))
 
 
+def token_stop_words() -> dict[str, list[str]]:
+    """The stop words that a token can equal, by language; for the driver, to send to tasks."""
+    return {code: [w for w in stop_words(code) if w.isalnum()] for code in LANGUAGES}
+
+
+def stop_word_marks(words: pa.Array, langs: pa.DictionaryArray, stops: dict[str, list[str]]) -> np.ndarray:
+    """Whether each of ``words`` is a stop word, a row per language of the dictionary of ``langs``
+    and a last one for no language; as ``is_stop_word`` tells."""
+    marks = np.zeros((len(langs.dictionary) + 1, len(words)), bool)
+    for i, lang in enumerate(langs.dictionary.to_pylist()):
+        if lang in stops:
+            marks[i] = pc.is_in(words, value_set=pa.array(stops[lang], words.type)).to_numpy(zero_copy_only=False)
+    return marks
+
+
 def is_stop_word(term: str, lang: str) -> Column:
     """Whether the column ``term`` is a stop word; compiles, unlike a test inside a lambda."""
     found = [f"({lang} = '{code}' AND {term} IN ({_word_list(code)}))" for code in LANGUAGES]

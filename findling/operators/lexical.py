@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,13 +14,13 @@ from pyspark.sql.window import Window as W
 
 from findling.functions.arrays import let, running_before
 from findling.functions.stems import stemmed
-from findling.functions.text import is_stop_word, placed_tokens, steady, word_tokens
+from findling.functions.text import is_stop_word, placed_tokens, steady, stop_word_marks, token_stop_words, word_tokens
 from findling.session import written
 
 K1, B = 1.2, 0.75
 TERM_BUCKET, BUCKETS = "term_bucket", 32  # how stored postings are laid out
 NAMED_TERMS = 2000  # asked terms that a scan is told by name
-WORDS_AT_ONCE = 1 << 18  # words that a task groups at once
+WORDS_AT_ONCE = 1 << 20  # words that a task groups at once
 
 
 def term_bucket() -> Column:
@@ -81,14 +82,32 @@ def build_postings(
             )
         )
 
-    rows = _grouped(split, ids, marked).filter(is_term)
+    rows = _grouped(split, ids, marked)
     columns = ("tenant_id", "term", "chunk_id", "doc_id", "chunk_terms", "tf", "positions")
     return rows.select(*columns, *dated)
 
 
+def _ranks(values: pa.DictionaryArray) -> np.ndarray:
+    """The place of every value among those of its dictionary in order; nulls come last."""
+    places = np.empty(len(values.dictionary) + 1, np.int64)
+    places[pc.array_sort_indices(values.dictionary).to_numpy()] = np.arange(len(values.dictionary))
+    places[-1] = len(values.dictionary)
+    return places[values.indices.fill_null(len(values.dictionary)).to_numpy(zero_copy_only=False)]
+
+
+def _order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What sorts ``key``, equal ones as they stand, and the sorted key."""
+    bits = max(len(key), 1).bit_length()
+    if len(key) and int(key.max()).bit_length() + bits > 63:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort(key << bits | np.arange(len(key)))  # numbers sort faster than their order is found
+    return both & ((1 << bits) - 1), both >> bits
+
+
 def _grouped(split: DataFrame, ids: tuple[str, ...], marked: bool) -> DataFrame:
-    """A row per chunk and word of it, with its places; the words are grouped inside the chunk,
-    neighbouring chunks of ``WORDS_AT_ONCE`` words at a time."""
+    """A row per chunk and word of it that is no stop word, with its places; neighbouring chunks
+    of ``WORDS_AT_ONCE`` words at a time, whose rows come sorted by tenant and word."""
     fields = [
         *(split.schema[c] for c in ids),
         T.StructField("chunk_terms", T.IntegerType()),
@@ -96,7 +115,7 @@ def _grouped(split: DataFrame, ids: tuple[str, ...], marked: bool) -> DataFrame:
         T.StructField("tf", T.IntegerType()),
         T.StructField("positions", T.ArrayType(T.IntegerType())),
     ]
-    names = [f.name for f in fields]
+    names, stops = [f.name for f in fields], token_stop_words()
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,18 +123,25 @@ def _grouped(split: DataFrame, ids: tuple[str, ...], marked: bool) -> DataFrame:
             there = lists.is_valid().to_numpy(zero_copy_only=False)
             ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy()))
             words = lists.flatten().dictionary_encode()
-            codes, known = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+            codes, tenant = _ranks(words), _ranks(batch.column(0).dictionary_encode())
+            spoken = batch.column(ids.index("lang")).dictionary_encode()
+            lang = spoken.indices.fill_null(len(spoken.dictionary)).to_numpy(zero_copy_only=False)
+            known = max(len(words.dictionary), 1)
+            by_name = words.dictionary.take(pc.array_sort_indices(words.dictionary))
+            marks = stop_word_marks(by_name, spoken, stops)
             first = 0
             while first < len(lists):
                 last = max(int(np.searchsorted(ends, ends[first] + WORDS_AT_ONCE, "right")) - 1, first + 1)
                 sizes = np.diff(ends[first : last + 1])
                 row = np.repeat(np.arange(last - first), sizes)
                 place = np.arange(len(row)) - np.repeat(ends[first:last] - ends[first], sizes)
-                key = row * known + codes[ends[first] : ends[last]]
-                order = np.argsort(key, kind="stable")  # so that places stay in order
-                key = key[order]
-                heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-                chunk, term = key[heads] // max(known, 1), words.dictionary.take(pa.array(key[heads] % max(known, 1)))
+                code = codes[ends[first] : ends[last]]
+                kept = ~marks[lang[first:last][row], code]
+                row, place, code = row[kept], place[kept], code[kept]
+                order, key = _order(tenant[first:last][row] * known + code)
+                row, place = row[order], place[order]
+                heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))[: len(key)])
+                chunk, term = row[heads], by_name.take(pa.array(key[heads] % known))
                 starts = np.append(heads, len(key))
                 if marked:
                     every = np.flatnonzero(there[first:last])
@@ -129,7 +155,7 @@ def _grouped(split: DataFrame, ids: tuple[str, ...], marked: bool) -> DataFrame:
                         pa.array(sizes[chunk], pa.int32()),
                         term,
                         pa.array(np.diff(starts), pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(place[order], pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(place, pa.int32())),
                     ],
                     names,
                 )
@@ -395,6 +421,8 @@ def bm25_topk(
     their weights, which drops those of other terms.
     """
     wanted, keys = _placed(query_terms(parsed), postings)
+    wanted = written(wanted, "wanted")  # short: statistics of other terms are not even added up
+    stats = stats.join(wanted.select(*keys), keys, "left_semi")
     idf = F.log(
         F.lit(1.0) + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     )

@@ -37,14 +37,15 @@ def index_chunks(
 
 
 def build_index(
-    chunks: DataFrame, base: str, dim: int = ingest.DEFAULT_DIM, model=None
+    chunks: DataFrame, base: str, dim: int = ingest.DEFAULT_DIM, model=None, settled: bool = False
 ) -> tuple[str, str, str]:
     """Store everything retrieval needs below ``base``; returns the folders for ``open_index``.
 
-    Of a document uploaded more than once the newest upload is stored.
+    Of a document uploaded more than once the newest upload is stored. ``settled`` chunks
+    are of newest uploads alone already, as ``index_store.newest_chunked`` makes them.
     """
     spark = chunks.sparkSession
-    if "uploaded_at" in chunks.columns:
+    if "uploaded_at" in chunks.columns and not settled:
         chunks = index_store.only_newest(chunks)
     stored = index_store.store_chunks(chunks, base, dim, model)
     return (stored, *index_store.store_terms(index_store.read_chunks(spark, stored), base))

@@ -103,7 +103,8 @@ def _stored(spark: SparkSession, folder: str) -> tuple[str, str, str]:
     key = (spark.sparkContext.applicationId, folder, *src.files_digest(spark, folder, "documents"))
     if key not in _STORED:
         base = scratch_folder(spark, "index")
-        _STORED[key] = hybrid.build_index(ingest.chunk_fixed(_docs(spark, folder)), base, DIM)
+        chunks = index_store.newest_chunked(_docs(spark, folder), ingest.chunk_fixed)
+        _STORED[key] = hybrid.build_index(chunks, base, DIM, settled=True)
     return _STORED[key]
 
 

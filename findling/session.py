@@ -44,13 +44,22 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to the scratch folder and read back.
+def written(df: DataFrame, purpose: str, *by: str) -> DataFrame:
+    """``df`` written to the scratch folder, parted by the columns ``by``, and read back.
 
     Used for small results that several branches of a plan need: they are
     computed once, survive lost executors, and carry their real size, by which
     Spark decides between a broadcast and a shuffle.
     """
     target = scratch_folder(df.sparkSession, purpose)
-    df.write.parquet(target)
+    (df.write.partitionBy(*by) if by else df.write).parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+GROUP_BYTES = 16 << 20  # a row group of stored texts, by which scans are split
+BUCKET_BYTES = 4 << 20  # one of a table laid out by bucket, by which scans are pruned
+
+
+def stored_options(group_bytes: int = GROUP_BYTES) -> dict[str, str]:
+    """How the files of stored tables are written."""
+    return {"parquet.block.size": str(group_bytes), "compression": "zstd"}

@@ -2,8 +2,9 @@
 
 ``chunks``: the rows of chunks with the vector beside the text, so that one write
 makes both visible or neither, laid out by tenant. ``postings`` and ``stats``:
-terms, laid out by a bucket of tenant and term, sorted within; a search that
-names terms reads the buckets they fall into. Postings hold one line per chunk more,
+terms, laid out by a bucket of tenant and term, sorted within, postings in a run a
+task and batch of chunks, so that they are not shuffled; a search that names terms
+reads the buckets they fall into. Postings hold one line per chunk more,
 under the empty term, from which the totals of a tenant are taken.
 
 An index is a base that a batch wrote, and beside it what streams have added since
@@ -19,6 +20,7 @@ shows the last one only.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findling.operators.ingest import DEFAULT_DIM, embed_chunks
-from findling.operators.lexical import TERM_BUCKET, build_postings, marked_stats, term_bucket
-from findling.session import written
+from findling.operators.lexical import TERM_BUCKET, build_postings, term_bucket
+from findling.session import BUCKET_BYTES, stored_options, written
 
 
 def with_vectors(chunks: DataFrame, dim: int = DEFAULT_DIM, model=None) -> DataFrame:
@@ -41,7 +43,8 @@ def store_chunks(chunks: DataFrame, base: str, dim: int = DEFAULT_DIM, model=Non
     """Write chunks and vectors at once, to a fresh folder below ``base``; returns it."""
     folder = f"{base}/chunks-{uuid.uuid4().hex}"
     rows = with_vectors(chunks, dim, model).hint("rebalance", "tenant_id")
-    rows.write.mode("errorifexists").partitionBy("tenant_id").parquet(folder)
+    writer = rows.write.mode("errorifexists").options(**stored_options())
+    writer.partitionBy("tenant_id").parquet(folder)
     return folder
 
 
@@ -83,6 +86,18 @@ def only_newest(chunks: DataFrame) -> DataFrame:
     return clean.unionByName(newest.dropDuplicates(["tenant_id", "chunk_id"]))
 
 
+def newest_chunked(docs: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The newest uploads' chunks as ``cut`` makes them of documents: the documents that came
+    twice are found by their keys, so that the texts of all others are cut just once."""
+    keys = ["tenant_id", "doc_id"]
+    twice = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys)
+    twice = written(twice, "came-twice")
+    if twice.isEmpty():
+        return cut(docs)
+    again = newest_uploads(cut(docs.join(twice, keys, "left_semi")))
+    return cut(docs.join(twice, keys, "left_anti")).unionByName(again)
+
+
 def read_terms(spark: SparkSession, *folders: str) -> DataFrame:
     """Stored postings of one or more folders."""
     return reduce(DataFrame.unionByName, [spark.read.parquet(f) for f in folders])
@@ -133,14 +148,21 @@ def store_terms(chunks: DataFrame, base: str) -> tuple[str, str]:
     postings, stats = f"{base}/postings-{name}", f"{base}/stats-{name}"
 
     def write(df: DataFrame, folder: str) -> None:
-        rows = df.withColumn(TERM_BUCKET, term_bucket()).hint("rebalance", TERM_BUCKET)
-        rows = rows.sortWithinPartitions(TERM_BUCKET, "tenant_id", "term")
-        rows.write.mode("errorifexists").partitionBy(TERM_BUCKET).parquet(folder)
+        writer = df.write.mode("errorifexists").options(**stored_options(BUCKET_BYTES))
+        writer.partitionBy(TERM_BUCKET).parquet(folder)
 
-    write(build_postings(chunks, marked=True), postings)
+    # Postings come in runs sorted by tenant and term, which the writer's stable sort by bucket keeps.
+    write(build_postings(chunks, marked=True).withColumn(TERM_BUCKET, term_bucket()), postings)
+    stored = spark.read.parquet(postings)
+    totals = stored.filter("term = ''").groupBy("tenant_id").agg(F.sum("chunk_terms").alias("n_terms"))
     # What a chunk without a text counts for is known by the chunks alone; their texts stay unread.
     n_chunks = chunks.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    counted = marked_stats(spark.read.parquet(postings)).drop("n_chunks")
-    columns = ("tenant_id", "term", "df", "cf", "n_chunks", "n_terms")
-    write(counted.join(n_chunks, "tenant_id").select(*columns), stats)
+    counted = (
+        stored.filter("term != ''").groupBy(TERM_BUCKET, "tenant_id", "term")
+        .agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("cf"))
+        .join(written(n_chunks.join(totals, "tenant_id"), "tenant-totals"), "tenant_id")
+    )
+    columns = ("tenant_id", "term", "df", "cf", "n_chunks", "n_terms", TERM_BUCKET)
+    rows = counted.select(*columns).hint("rebalance", TERM_BUCKET)
+    write(rows.sortWithinPartitions(TERM_BUCKET, "tenant_id", "term"), stats)
     return postings, stats

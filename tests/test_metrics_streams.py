@@ -312,3 +312,18 @@ def test_one_question_reads_few_files(spark, tmp_path):
     many = lexical.only_asked(lexical.parse_websearch(every), index.postings)[0]
     assert "In(term" not in many._jdf.queryExecution().executedPlan().toString()
     assert hybrid.lexical_route(every, index, 5).count() > 0
+
+
+def test_documents_that_came_twice_are_found_by_keys(spark):
+    """The same chunks as by comparing chunks, of documents with repeated, null and empty rows."""
+    fields = "doc_id bigint, tenant_id string, lang string, text string, uploaded_at timestamp_ntz"
+    row = lambda i, text, day=0, t="t": (i, t, "en", text, START + timedelta(days=day))
+    rows = [row(1, "a b"), row(1, "c d", 2), row(2, "e"), row(2, "e"), row(3, "f"), row(3, "", 5), row(4, None),
+            row(None, "g"), row(None, "g"), row(5, "h", 0, None), row(5, "h", 0, None), row(1, "i", 0, "u")]
+    docs = spark.createDataFrame(rows, fields)
+    want = index_store.only_newest(ingest.chunk_fixed(docs))
+    for some in (docs, docs.filter("doc_id = 4 OR tenant_id = 'u'")):
+        got = index_store.newest_chunked(some, ingest.chunk_fixed)
+        same = index_store.only_newest(ingest.chunk_fixed(some))
+        assert got.exceptAll(same).count() == same.exceptAll(got).count() == 0
+    assert want.count() == 8

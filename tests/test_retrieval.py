@@ -293,6 +293,22 @@ def test_work_that_fits_in_memory_is_dealt_over_tasks(spark, monkeypatch):
     assert right.count() == 3000  # few questions go to the vectors' blocks, not the reverse
 
 
+def test_postings_come_in_sorted_runs(spark, monkeypatch):
+    """A batch's lines come by tenant and term, so that they are stored without a shuffle."""
+    rnd = random.Random(9)
+    rows = [(f"t{rnd.randrange(3)}", i, f"{i}:0", rnd.choice(["en", "de", "xx", None]), " ".join(rnd.choices("the der a b é z w und 7".split(), k=30)))
+            for i in range(40)]
+    chunks = spark.createDataFrame(rows, CHUNK).coalesce(1)
+    got = [tuple(r) for r in lexical.build_postings(chunks).select("tenant_id", "term", "chunk_id", "positions").collect()]
+    named = [(r[0], r[1]) for r in got]
+    assert named == sorted(named)
+    tokens = lexical.tokenize(chunks, "chunk_id").groupBy("chunk_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    assert sorted((r[2], r[1], r[3]) for r in got) == sorted(tuple(r) for r in tokens.collect())
+    key = np.array([5, 1 << 62, 5, 0, 1 << 62])  # too wide to be joined with its places
+    order, ordered = lexical._order(key)
+    assert order.tolist() == [3, 0, 2, 1, 4] and ordered.tolist() == key[order].tolist()
+
+
 def test_the_vocabulary_is_cut_for_short_patterns_only(spark, monkeypatch):
     texts = spark.createDataFrame([("a", "one two three four five"), ("b", "two three")], "t string, text string")
     patterns = spark.createDataFrame([("p", "two three four"), ("q", "ne two three four fi")], "p string, text string")
