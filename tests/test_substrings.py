@@ -77,3 +77,51 @@ def test_empty_tables(spark, tables):
     bare = substrings.build_grams(none).withColumn(substrings.BUCKET, substrings._bucket())
     sizes = substrings.gram_stats(bare).withColumn(substrings.BUCKET, substrings._bucket())
     assert substrings.substring_search(patterns, none, bare, sizes).count() == 0
+
+
+def test_lists_are_stored_by_run_without_a_shuffle(spark):
+    """One row for a trigram of a task's chunks, however many hold it."""
+    df = spark.createDataFrame([("t", f"c{i}", "abcd") for i in range(50)], CHUNK).coalesce(1)
+    plan = substrings.build_lists(df)._jdf.queryExecution().executedPlan().toString()
+    folders = substrings.store_grams(df, scratch_folder(spark, "grams"))
+    assert "Exchange" not in plan and spark.read.parquet(folders[0]).count() == 4
+    grams, stats = substrings.open_grams(spark, folders)
+    assert grams.count() == 200 and {r.n_places for r in stats.collect()} == {50}
+
+
+@pytest.mark.parametrize("signs", (40, 70_000))  # the second does not fit one number
+def test_lists_equal_plain_ones(spark, signs):
+    rnd = random.Random(signs)
+    letters = [chr(c) for c in range(1, signs) if not 0xD800 <= c < 0xE000]
+    rows = [(rnd.choice(["t", "u", None]), f"c{i}", "".join(rnd.choices(letters, k=rnd.randrange(80)))) for i in range(30)]
+    rows += [("t", "every", "".join(letters[:9000])), ("t", None, "xyx"), ("u", "null", None)]
+    group = substrings.np.arange(len(rows)) << (20 if signs > 40 else 0)
+    wide = substrings._listed([t or "" for *_, t in rows], group)
+    assert len(wide[0]) == sum(len(t or "") for *_, t in rows)
+    assert list(zip(*map(list, wide))) == sorted(zip(*map(list, substrings.placed_grams([t or "" for *_, t in rows]))))
+    want = sorted(
+        (str(tenant), str(chunk), gram, places)
+        for tenant, chunk, text in rows
+        for gram, places in _plain_places(text or "").items()
+    )
+    got = substrings.build_grams(spark.createDataFrame(rows, CHUNK)).collect()
+    assert sorted((str(r.tenant_id), str(r.chunk_id), r.gram, r.places) for r in got) == want
+
+
+def _plain_places(text):
+    codes, found = [*map(ord, text), substrings.FILL, substrings.FILL], {}
+    for i in range(len(text)):
+        gram = codes[i] << 2 * substrings.BITS | codes[i + 1] << substrings.BITS | codes[i + 2]
+        found.setdefault(gram, []).append(i + 1)
+    return found
+
+
+def test_short_patterns_give_one_candidate_a_chunk(spark):
+    df = spark.createDataFrame([("t", "c", "ab" * 30), ("t", "c", "ab" * 30), ("t", "d", "xabab")], CHUNK)
+    folders = substrings.store_grams(df, scratch_folder(spark, "grams"))
+    asked = spark.createDataFrame([(1, "t", "a"), (2, "t", "ab"), (3, "t", "aba"), (4, "t", "abab")], ASKED)
+    lists = substrings.open_grams(spark, folders)
+    found = [(r.query_id, r.chunk_id, r.at) for r in substrings.candidates(asked, *lists).collect()]
+    assert sorted(x for x in found if x[0] < 4) == [(q, c, at) for q in (1, 2, 3) for c, at in (("c", 1), ("d", 2))]
+    got = sorted(tuple(r) for r in substrings.substring_search(asked, df, *lists).collect())
+    assert got == [(q, c, at) for q in (1, 2, 3, 4) for c, at in (("c", 1), ("d", 2))]
