@@ -314,6 +314,24 @@ def test_one_question_reads_few_files(spark, tmp_path):
     assert hybrid.lexical_route(every, index, 5).count() > 0
 
 
+def test_added_rows_are_compared_only_if_delivered_twice(spark):
+    """Postings and texts that a stream added once are not shuffled to find repeated ones."""
+    fields = "tenant_id string, doc_id bigint, chunk_id string, lang string, text string, uploaded_at timestamp_ntz"
+    row = lambda i, text, day=0: ("t", i, f"{i}:0", "en", text, START + timedelta(days=day))
+    lines = lambda df: lexical.build_postings(df, marked=True).withColumn("term_bucket", lexical.term_bucket())
+    base = spark.createDataFrame([row(1, "red"), row(2, "blue")], fields)
+    for more, shuffled in (([], False), ([row(3, "stone"), row(3, "stone")], True)):
+        new = spark.createDataFrame([row(2, "blue sky", 2), row(4, "sky"), *more], fields)
+        chunks, postings, stats = index_store.with_deltas(base, lines(base), new, lines(new))
+        for table in (chunks, postings):
+            plan = table._jdf.queryExecution().optimizedPlan().toString()
+            assert ("Aggregate" in plan) == shuffled
+        assert sorted(r.text for r in chunks.collect()) == sorted(["red", "blue sky", "sky", *(["stone"] if more else [])])
+        df = {r.term: (r.df, r.cf, r.n_chunks) for r in stats.collect()}
+        n = 4 if more else 3
+        assert df["sky"] == (2, 2, n) and df["blue"] == (1, 1, n) and (not more or df["stone"] == (1, 1, n))
+
+
 def test_documents_that_came_twice_are_found_by_keys(spark):
     """The same chunks as by comparing chunks, of documents with repeated, null and empty rows."""
     fields = "doc_id bigint, tenant_id string, lang string, text string, uploaded_at timestamp_ntz"
@@ -327,3 +345,21 @@ def test_documents_that_came_twice_are_found_by_keys(spark):
         same = index_store.only_newest(ingest.chunk_fixed(some))
         assert got.exceptAll(same).count() == same.exceptAll(got).count() == 0
     assert want.count() == 8
+
+
+def test_a_stream_task_a_core_writes_postings(spark, tmp_path):
+    """However many files a batch has, a bucket gets a file a core at most, so files stay few."""
+    schema = "tenant_id string, doc_id bigint, chunk_id string, lang string, text string, uploaded_at timestamp_ntz"
+    rows = [(f"t{i}", i, f"{i}:0", "en", "red blue", START) for i in range(24)]
+    spark.createDataFrame(rows, schema).repartition(24).write.partitionBy("tenant_id").parquet(str(tmp_path / "chunks"))
+    with_conf = ("spark.sql.files.openCostInBytes", "134217728")
+    before = spark.conf.get(with_conf[0])
+    spark.conf.set(*with_conf)  # every file is a task of its own
+    try:
+        jobs.stream_terms(spark, str(tmp_path / "chunks"), str(tmp_path / "terms"), str(tmp_path / "log")).awaitTermination()
+    finally:
+        spark.conf.set(with_conf[0], before)
+    per_bucket = [len([f for f in os.listdir(tmp_path / "terms" / b) if f.endswith(".parquet")])
+                  for b in os.listdir(tmp_path / "terms") if b.startswith("term_bucket")]
+    assert max(per_bucket) <= spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(str(tmp_path / "terms")).count() == 72
